@@ -50,3 +50,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if new.where("label <> was").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
+
+
+def bound_batches(df: DataFrame, mb: int = 16) -> None:
+    """Holds the Arrow batches that Python workers of this session get to about `mb` MB, whatever their rows hold."""
+    conf = df.sparkSession.conf
+    now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not now.isdigit() or int(now) > mb << 20:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
