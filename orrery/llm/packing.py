@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._common import materialise, width
 
-#: Entries of a worker's cache of tokenised chunks, and the bytes of a chunk that may enter it.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
+#: Entries of a worker's cache of tokenised chunks; beyond that it starts anew.
+CACHE_CHUNKS = 700_000
+#: Marks that the splitter always parts from a word before them.
+MARKS = b".,;:!?*$%&#|"
+#: What the tokenizer's splitter keeps as one piece.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _workers: dict[str, Tokens] = {}
 
 
@@ -29,30 +35,78 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        suffix = getattr(self.encoder.model, "end_of_word_suffix", None)
+        self.final = None
+        if suffix:
+            self.final = np.zeros(self.encoder.get_vocab_size(), bool)
+            self.final[[i for t, i in self.encoder.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.dtype = np.dtype("<u2") if self.encoder.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.pool = np.empty(1 << 16, self.dtype)
-        self.starts, self.lengths, self.used = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64), 0
-
-    def learn(self, chunks: list[bytes]) -> None:
+        self.starts, self.lengths, self.used = np.empty(1 << 15, np.int32), np.empty(1 << 15, np.int32), 0
+
+    def encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after another, and how many each has, from one call for all of them.
+
+        Where every word ends in a token of its own kind, the ends are counted off: a chunk has as many as it has
+        pieces. If the counts don't agree, or a special token may be there, chunks are encoded one by one.
+        """
+        if self.final is not None and not any(b"<|" in c for c in chunks):
+            pieces = np.fromiter((1 if c.isalpha() else len(PIECES.findall(c.decode())) for c in chunks), np.int64, len(chunks))
+            ids = np.array(self.encoder.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.nonzero(self.final[ids])[0]
+            if len(ends) == pieces.sum() and (not len(ids) or ends[-1] == len(ids) - 1):
+                return ids, np.diff(np.concatenate([[0], ends + 1])[np.cumsum(pieces)], prepend=0)
+        got = [e.ids for e in self.encoder.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], self.dtype), np.fromiter(map(len, got), np.int64, len(got))
+
+    def learn(self, chunks: list[bytes], group: int = 1000) -> None:
         """Adds chunks that are not known yet."""
-        got = [e.ids for e in self.encoder.encode_batch([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), self.dtype, int(sizes.sum()))
+        parts = [self.encoded(chunks[k : k + group]) for k in range(0, len(chunks), group)]
+        self.add(chunks, *(np.concatenate([p[j] for p in parts]) for j in (0, 1)))
+
+    def add(self, chunks: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         k, total = len(self.known), self.used + len(flat)
         if total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(max(total, 2 * self.used) - self.used, self.dtype)])
-        if k + len(got) > len(self.starts):
-            more = np.empty(max(k + len(got), 2 * k) - k, np.int64)
+        if k + len(sizes) > len(self.starts):
+            more = np.empty(max(k + len(sizes), 2 * k) - k, np.int32)
             self.starts, self.lengths = np.concatenate([self.starts[:k], more]), np.concatenate([self.lengths[:k], more])
         self.pool[self.used : total] = flat
-        self.starts[k : k + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[k : k + len(got)] = sizes
+        self.starts[k : k + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[k : k + len(sizes)] = sizes
         self.used = total
-        self.known.update(zip(chunks, range(k, k + len(got)), strict=True))
+        self.known.update(zip(chunks, range(k, k + len(sizes)), strict=True))
+
+    def learn_all(self, new: set[bytes]) -> None:
+        """As learn; a word with marks after it is put together from the word and the marks, each encoded once."""
+        if self.final is None:
+            self.learn(list(new))
+            return
+        made, whole = [], []
+        for c in new:
+            word = c.rstrip(MARKS)
+            if word and len(word) < len(c) and (word.isalpha() or unicodedata.normalize("NFC", word.decode()).lower().isalpha()):
+                made.append((c, word, c[len(word) :]))
+            else:
+                whole.append(c)
+        need = {x for m in made for x in m[1:]}.union(whole) - self.known.keys()
+        if need:
+            self.learn(list(need))
+        made = [m for m in made if m[0] not in self.known]
+        if made:
+            a, b = (np.fromiter((self.known[m[j]] for m in made), np.int64, len(made)) for j in (1, 2))
+            parts = np.column_stack([a, b]).ravel()
+            self.add([m[0] for m in made], self.gathered(parts), self.lengths[a] + self.lengths[b])
+
+    def gathered(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the numbered chunks one after another."""
+        sizes = self.lengths[at]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        return self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
@@ -62,13 +116,11 @@ class Tokens:
             self.clear()
             new = set().union(*split)
         if new:
-            self.learn(sorted(new))
+            self.learn_all(new)
         out = []
         for words in split:
             at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            sizes = self.lengths[at]
-            ends = np.cumsum(sizes)
-            out.append(self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)])
+            out.append(self.gathered(at))
         return out
 
 
