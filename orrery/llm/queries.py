@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lm, packing, quality, secrets, simhash
-from .sql import OP1, OP6, OP7
+from . import ann, chat, decontam, lines, lm, packing, quality, secrets, simhash
+from .sql import OP1, OP6, OP7, OP9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op7_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turn_rows(rows.unionByName(probe)))
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -56,10 +64,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_context_tree_lm,
         op6_credential_linking,
         op7_schema_chat_format,
+        op8_qgram_decontamination,
+        op9_winnowing_line_dedup,
     )
 }
 ORACLE: dict[str, str] = {
     op1_block_matrix_ann.__name__: OP1,
     op6_credential_linking.__name__: OP6,
     op7_schema_chat_format.__name__: OP7,
+    op9_winnowing_line_dedup.__name__: OP9,
 }

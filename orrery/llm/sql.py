@@ -80,3 +80,20 @@ FROM r GROUP BY conv_id
 
 
 OP7 = _op7()
+
+OP9 = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos
+  FROM documents WHERE text IS NOT NULL
+), n AS (
+  SELECT doc_id, pos, trim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE trim(line, ' ') <> ''
+), w AS (
+  SELECT a.doc_id, a.i, a.pos AS pos1, b.pos AS pos2, a.line || chr(10) || b.line AS key FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS k FROM w),
+gone AS (SELECT doc_id, pos1 AS pos FROM r WHERE k > 1 UNION SELECT doc_id, pos2 FROM r WHERE k > 1),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text, count(*) AS n_lines, count(gone.pos) AS n_deleted
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+  coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS n_deleted
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
