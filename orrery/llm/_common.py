@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,20 @@ def bound_batches(df: DataFrame, mb: int = 16) -> None:
     now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
     if not now.isdigit() or int(now) > mb << 20:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of each q bytes of x; q from 8 to 16."""
+    n = len(x) - q + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    w = x.astype(np.uint64)
+    w = w[:-1] | (w[1:] << np.uint64(8))
+    w = w[:-2] | (w[2:] << np.uint64(16))
+    w = w[:-4] | (w[4:] << np.uint64(32))  # eight bytes from each place on
+    h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += w[q - 8 : q - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches
+from ._common import bound_batches, gram_hashes
 
 
 def normal(text: bytes) -> bytes:
@@ -18,23 +18,6 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of each q bytes of x; q from 8 to 16."""
-    n = len(x) - q + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    w = x.astype(np.uint64)
-    w = w[:-1] | (w[1:] << np.uint64(8))
-    w = w[:-2] | (w[2:] << np.uint64(16))
-    w = w[:-4] | (w[4:] << np.uint64(32))  # eight bytes from each place on
-    h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += w[q - 8 : q - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h
-
-
 def align(item: np.ndarray, text: np.ndarray, budget: int, free_start: bool = True) -> tuple[int, int]:
     """Least edits of item against a part of text that ends anywhere (and starts anywhere, if free_start), and where that ends.
 

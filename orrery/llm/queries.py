@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, lines, lm, packing, quality, secrets, simhash
+from . import ann, chat, decontam, lines, lm, packing, quality, secrets, simhash, suffixes
 from .sql import OP1, OP6, OP7, OP9
 
 
@@ -54,6 +54,10 @@ def op9_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_schema_chat_format,
         op8_qgram_decontamination,
         op9_winnowing_line_dedup,
+        op10_suffix_array_dedup,
     )
 }
 ORACLE: dict[str, str] = {
