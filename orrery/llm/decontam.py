@@ -119,6 +119,31 @@ class Items:
         return end - back, end, edits
 
 
+def found_in(index: Items, column: pa.Array, step: int = 2 << 20) -> Iterator[tuple[int, int, int, int, int]]:
+    """Finds in the texts of an Arrow column, about `step` bytes at a time: (row, item, start, end, edits)."""
+    column, a = column.cast(pa.binary()), 0
+    while index.ids and a < len(column):
+        texts, total, b = [], 0, a
+        while b < len(column) and total < step:
+            texts.append(normal(column[b].as_py() or b""))
+            total += len(texts[-1]) + 1
+            b += 1
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        for t, *rest in index.regions(np.frombuffer(b"\n".join(texts), np.uint8), np.concatenate([[0], ends[:-1] + 1]), ends):
+            yield a + t, *rest
+        a = b
+
+
+def blocks_of(benchmark: DataFrame, rate: float, q: int, item_col: str, item_text: str, block_mb: int) -> Iterator[Items]:
+    """The benchmark in blocks of about block_mb MB; only one block at a time is on the driver."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("t")).where(F.octet_length("t") >= q).distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // (block_mb << 20)))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).orderBy("item_id", "t").collect()
+        yield Items.of([(r.item_id, normal(r.t.encode())) for r in part], rate, q)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int = 12, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_mb: int = 4) -> DataFrame:
     """Where whole benchmark items occur in documents with at most rate x length edits: doc_id, item_id, start, end, edits.
 
@@ -133,45 +158,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int
     Other columns are not read.
     """
     bound_batches(docs)
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("t")).where(F.octet_length("t") >= q).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // (block_mb << 20)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, start long, end long, edits int"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
     def search(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index: Items = held.value
             for batch in batches:
-                ids, column = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-                a = 0
-                while a < len(ids):  # texts of about 2 MB, a line each
-                    texts, total, b = [], 0, a
-                    while b < len(ids) and total < 2 << 20:
-                        texts.append(normal(column[b].as_py() or b""))
-                        total += len(texts[-1]) + 1
-                        b += 1
-                    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-                    starts = np.concatenate([[0], ends[:-1] + 1])
-                    found = index.regions(np.frombuffer(b"\n".join(texts), np.uint8), starts, ends) if index.ids else []
-                    if found:
-                        t, i, s, e, edits = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[a + k] for k in t], pa.int64()), pa.array([index.ids[k] for k in i], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "start", "end", "edits"])
-                    a = b
-
-        return rows.mapInArrow(run, schema)
-
-    out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).orderBy("item_id", "t").collect()  # a block: bounded
-        index = Items.of([(r.item_id, normal(r.t.encode())) for r in part], rate, q)
-        got = search(spark.sparkContext.broadcast(index))
-        out = got if out is None else out.unionAll(got)
+                if found := list(found_in(index, batch.column(1))):
+                    t, i, s, e, edits = zip(*found, strict=True)
+                    columns = ([batch.column(0)[k].as_py() for k in t], [index.ids[k] for k in i], s, e, edits)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
+
+        return rows.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int")
+
+    passes = [search(docs.sparkSession.sparkContext.broadcast(index)) for index in blocks_of(benchmark, rate, q, item_col, item_text, block_mb)]
+    out = passes[0]
+    for p in passes[1:]:
+        out = out.unionAll(p)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **of_find) -> DataFrame:
-    """Rows of docs without those whose id find_leaks reports. Null ids: dropped only if a null id is reported."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, **of_find).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int = 12, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_mb: int = 4) -> DataFrame:
+    """Rows of docs in which find_leaks finds nothing, with all their columns. Each row is judged by its own text, so
+    null ids and repeated rows need no rule; null texts stay."""
+    bound_batches(docs)
+    at = docs.columns.index(text_col)
+    for index in blocks_of(benchmark, rate, q, item_col, item_text, block_mb):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[f[0] for f in found_in(held.value, batch.column(at))]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

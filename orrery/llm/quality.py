@@ -146,3 +146,16 @@ def classify(docs: DataFrame, labels: DataFrame, **of_fit: int) -> DataFrame:
     score comes from the text alone.
     """
     return score(docs, fit(docs, labels, **of_fit))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int = 15, power: int = 4, text_col: str = "text", **of_fit: int) -> DataFrame:
+    """Rows of docs whose score is at least the threshold, with all their columns; see classify for nulls and repeats."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **of_fit))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(held.value.scores(texts, k, power) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

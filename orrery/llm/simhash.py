@@ -122,3 +122,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs that name their component, the least id of each, with all their columns. Rows of one id stay or go
+    together; null ids stay where no id of their component is known."""
+    found = near_duplicates(docs, radius, words, id_col, text_col)
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__named")).distinct()
+    return docs.join(materialise(named, "named"), F.col(id_col).cast("long").eqNullSafe(F.col("__named")), "left_semi")
