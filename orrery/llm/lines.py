@@ -31,14 +31,15 @@ def windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str
 def repeated_windows(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Windows that occur earlier, with their first place: doc, print, i, at, from_doc, from_print, from_i.
 
-    Only windows whose fingerprint, the minimum, stands in two places are joined by their lines' hashes.
+    Only windows whose fingerprint, the minimum, stands in two places are joined by their lines' hashes. Both sides of
+    each join are written tables, so that AQE can split the rows of a hot fingerprint.
     """
     w = materialise(windows(docs, window, id_col, text_col), "windows")
     place = F.struct("doc", "print", "low_at")
-    twice = w.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("low")
-    held = w.join(twice, "low", "left_semi").select("doc", "print", "i", "at", "key")
+    twice = materialise(w.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("low"), "fingerprints")
+    held = materialise(w.join(twice, "low", "left_semi").select("doc", "print", "i", "at", "key"), "candidates")
     me = F.struct("doc", "print", "i")
-    first = held.groupBy("key").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("not (first <=> last)").select("key", "first")
+    first = materialise(held.groupBy("key").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("not (first <=> last)").select("key", "first"), "first")
     later = held.join(first, "key").where(~me.eqNullSafe(F.col("first")))
     return later.select("doc", "print", "i", "at", F.col("first.doc").alias("from_doc"), F.col("first.print").alias("from_print"), F.col("first.i").alias("from_i"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -42,29 +42,38 @@ class Grams:
     ends: np.ndarray  # after the scored bytes of each text
 
 
-def grams(bodies: list[bytes]) -> Grams:
-    """Level by level: numbers of the distinct prefixes, each with one more byte; no sort is needed."""
+def grams(bodies: list[bytes], table: int = 1 << 22) -> Grams:
+    """Prefixes get numbers, byte by byte; where the next byte would take more than `table` numbers, those in use are
+    numbered anew. No sort is needed. Keys may hold a few strings over the end of a text, which nothing refers to."""
     pad = bytes([END]) * DEPTH
     x = np.frombuffer(b"".join(pad + b + pad[:1] for b in bodies), np.uint8)
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
     ends = np.cumsum(sizes)
-    scored = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.arange(len(bodies)) + 1) * DEPTH, sizes)
     used = np.unique(x)
     dense = np.zeros(256, np.int32)
     dense[used] = np.arange(len(used))
-    number, keys = np.zeros(len(scored), np.int32), np.zeros(1, np.uint64)
-    for back in (*range(1, DEPTH + 1), 0):
-        code = number.astype(np.int64) * len(used) + dense[x[scored - back]]
-        if len(keys) * len(used) <= max(1 << 24, 4 * len(code)):
-            seen = np.zeros(len(keys) * len(used), bool)
-            seen[code] = True
-            found = np.nonzero(seen)[0]
-            place = np.cumsum(seen, dtype=np.int32) - 1
-            number = place[code]
-        else:
-            found, number = np.unique(code, return_inverse=True)
-        keys = (keys[found // len(used)] << np.uint64(8)) | used[found % len(used)].astype(np.uint64)
-    return Grams(keys, number, ends)
+    y, n = dense[x], max(0, len(x) - DEPTH)
+    number, keys = np.zeros(n, np.int32), np.zeros(1, np.uint64)
+    for step, back in enumerate((*range(1, DEPTH + 1), 0)):
+        if step and len(keys) * len(used) > table:
+            number, keys = renumbered(number, keys)
+        wide = np.int32 if len(keys) * len(used) < 1 << 31 else np.int64
+        number = number.astype(wide) * wide(len(used)) + y[DEPTH - back : DEPTH - back + n]
+        keys = ((keys[:, None] << np.uint64(8)) | used.astype(np.uint64)[None, :]).ravel()
+    number, keys = renumbered(number, keys)
+    scored = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(np.arange(len(bodies)) * DEPTH, sizes)
+    return Grams(keys, number[scored], ends)
+
+
+def renumbered(number: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and keys of those that occur, in the same order."""
+    if len(keys) > max(1 << 26, 8 * len(number)):
+        found, number = np.unique(number, return_inverse=True)
+        return number.astype(np.int32), keys[found]
+    seen = np.zeros(len(keys), bool)
+    seen[number] = True
+    place = np.cumsum(seen, dtype=np.int32) - 1
+    return place[number], keys[seen]
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -250,10 +259,19 @@ def gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def word_keys(words: Counter[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Sorted distinct keys of the words and of the end token, and the words in that order after it."""
-    by = sorted((word_key(w), w) for w in words)
-    return np.array([END_KEY, *(k for k, _ in by)], np.uint64), [w for _, w in by]
+def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the end token and of distinct words, sorted, and each one's place among (end, *words)."""
+    keys = np.fromiter((END_KEY, *map(word_key, words)), np.uint64, len(words) + 1)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
+def numbered(bodies: list[bytes]) -> tuple[np.ndarray, list[int], dict[bytes, int]]:
+    """All words of the bodies as numbers from 1, how many each body has, and the numbers by word."""
+    split = [b.split(b" ") if b else [] for b in bodies]
+    flat = list(chain.from_iterable(split))
+    number = dict(zip(dict.fromkeys(flat), count(1)))
+    return np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), list(map(len, split)), number
 
 
 def word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -282,7 +300,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chunks = chunked(docs, id_col, text_col)
     buckets = width(docs)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, held, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 bodies = bodies_of(packed.as_py())
@@ -290,12 +308,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 learn = np.repeat(~np.array(held, bool), np.diff(g.ends, prepend=0))
                 n = np.bincount(g.at[learn], minlength=len(g.keys))
                 rows = [(1, b, chunk, g.keys[i].tobytes(), n[i].tobytes()) for b, every in runs(g.keys, buckets, gram_bucket(g.keys, buckets)) if (i := every[n[every] > 0]).size]
-                seen, train = Counter(), Counter()
-                for out, body in zip(held, bodies, strict=True):
-                    (seen if out else train).update(body.split(b" ") if body else ())
-                every = train + Counter(dict.fromkeys(seen, 1)) if seen else train
-                keys, words = word_keys(every)
-                n = np.array([len(held) - sum(held), *(train[w] for w in words)], np.int64)
+                words, sizes, number = numbered(bodies)
+                learnt = np.bincount(words[np.repeat(~np.array(held, bool), sizes)], minlength=len(number) + 1)
+                learnt[0] = len(held) - sum(held)
+                keys, order = word_keys(list(number))
+                n = learnt[order]
                 rows += [(0, b, chunk, keys[i].tobytes(), n[i].tobytes()) for b, i in runs(keys, buckets, word_bucket(keys, buckets))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "bucket", "chunk", "keys", "counts"])
 
@@ -312,7 +329,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows += [(0, bucket, int(c), b"", total[inverse[cuts[j] : cuts[j + 1]]].tobytes()) for j, c in enumerate(part.chunk)]
         return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "keys", "counts"])
 
-    counted = chunks.select("chunk", "held", "body").mapInArrow(count, RUN)
+    counted = chunks.select("chunk", "held", "body").mapInArrow(tally, RUN)
     merged = materialise(counted.groupBy("kind", "bucket").applyInPandas(add, RUN), "counts")
     sizes = [np.frombuffer(r.counts, np.int64) for r in merged.where("kind = 2").select("counts").collect()]  # two numbers a bucket
     n_train, n_known = (int(sum(s[j] for s in sizes)) for j in (0, 1))
@@ -361,17 +378,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             value[i] = np.frombuffer(by[1, b], np.float64)
         starts = np.concatenate([[0], g.ends[:-1]])
         scores = np.add.reduceat(value[g.at], starts)
-        split = [b.split(b" ") if b else [] for b in bodies]
-        keys, words = word_keys(Counter({w: 1 for ws in split for w in ws}))
+        words, sizes, number = numbered(bodies)
+        keys, order = word_keys(list(number))
         n = np.empty(len(keys), np.int64)
         for b, i in runs(keys, buckets, word_bucket(keys, buckets)):
-            n[i] = np.frombuffer(by[0, b], np.int64)
-        number = dict(zip(words, range(1, len(words) + 1), strict=True))
+            n[order[i]] = np.frombuffer(by[0, b], np.int64)
         log = np.log10((n + 0.5) / (n_train + 0.5 * (n_known + 1)))
+        cuts = np.cumsum([0, *sizes])
         rows = []
-        for j, ws in enumerate(split):
-            at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-            rows.append((len(ws) + 1, int((n[at] > 0).sum() + (n[0] > 0)), float(log[at].sum() + log[0])))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = words[a:b]
+            rows.append((b - a + 1, int((n[at] > 0).sum() + (n[0] > 0)), float(log[at].sum() + log[0])))
         size = np.diff(g.ends, prepend=0)
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
         return out.assign(doc_id=pd.array(doc, "Int64"), held_out=held, train_tokens=n_train, score=scores, bits_per_byte=-scores / np.log10(2) / size)[SCORED]

@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     member = components(near_links(classes, radius), "a", "b")
     named = classes.join(member, classes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    named = materialise(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "named")  # so that AQE can split a hot fingerprint's rows
     return prints.join(named, "fp").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
