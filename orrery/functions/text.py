@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,23 +84,27 @@ def parse_coords(text: Column) -> Column:
     return bind(strip(text), of)
 
 
-@F.pandas_udf(T.DoubleType())
-def python_round6(x: pd.Series) -> pd.Series:
+def _by_value(of: Callable, kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
+    return lambda x: pa.array([None if v is None else of(v) for v in x.to_pylist()], kind)
+
+
+@F.arrow_udf(T.DoubleType())
+def python_round6(x: pa.Array) -> pa.Array:
     """Round to six places by the exact binary value, ties to even."""
-    return x.map(lambda v: None if pd.isna(v) else round(float(v), 6))
+    return _by_value(lambda v: round(v, 6), pa.float64())(x)
 
 
 def python_format(spec: str):
-    """A UDF that formats doubles as Python's format() does."""
+    """A UDF that formats doubles as Python's format() does; null for null."""
 
-    @F.pandas_udf(T.StringType())
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else format(float(v), spec))
+    @F.arrow_udf(T.StringType())
+    def run(x: pa.Array) -> pa.Array:
+        return _by_value(lambda v: format(v, spec), pa.string())(x)
 
     return run
 
 
-@F.pandas_udf(T.StringType())
-def python_json(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def python_json(x: pa.Array) -> pa.Array:
     """JSON text in Python's own spacing, ASCII and number format, from JSON text."""
-    return x.map(lambda v: None if v is None else json.dumps(json.loads(v)))
+    return _by_value(lambda v: json.dumps(json.loads(v)), pa.string())(x)
