@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ._common import bound_batches, gram_hashes, materialise, width
 
-#: Bytes of the grams whose least hash names a window's shard.
+#: Bytes of the grams whose least hash names a window's shard, and low bits of a hash that give way to a place.
 GRAM = 16
+PLACE = np.uint64((1 << 18) - 1)
 FIRST = np.iinfo(np.int64).min  # a null id: before all others
 
 
@@ -123,7 +124,9 @@ def least_holder(segments: list[bytes], holders: np.ndarray, length: int) -> lis
 def minima(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows (first, last, name): all windows of `length` bytes within texts, by the least hash of their grams.
 
-    A window's name depends on its bytes alone, so equal windows have equal names in any text.
+    A window's name depends on its bytes alone, so equal windows have equal names in any text. A run ends where the
+    name or the place of its (first) gram changes, so it has length - GRAM + 1 windows at most, and text that repeats
+    itself gives equal runs. step: below 1 << 18 by 2 x length at least.
     """
     n = len(x) - length + 1
     if n <= 0:
@@ -132,6 +135,7 @@ def minima(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, ste
     for s in range(0, n, step):
         e = min(n, s + step)
         m, wide = gram_hashes(x[s : e + length - 1], GRAM), 1
+        m = (m & ~PLACE) | np.arange(len(m), dtype=np.uint64)
         while 2 * wide <= length - GRAM + 1:
             m = np.minimum(m[:-wide], m[wide:])
             wide *= 2
@@ -146,7 +150,7 @@ def minima(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, ste
     first = inside & (change | ~np.concatenate([[False], inside[:-1]]))
     last = inside & (np.concatenate([change[1:], [True]]) | ~np.concatenate([inside[1:], [False]]))
     a, b = np.nonzero(first)[0], np.nonzero(last)[0]
-    return a, b, name[a] & ~np.uint64(1)
+    return a, b, (name[a] & ~PLACE) * np.uint64(0x9E3779B97F4A7C15)  # least hashes are small; names fill all ranges
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 6) -> DataFrame:
@@ -254,7 +258,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
-    buckets = width(docs)
+    buckets = 4 * width(docs)  # shards: several to a task, one at a time in memory
     chunks = chunked(docs, id_col, text_col)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
