@@ -173,7 +173,7 @@ def curve_key(ids: list[np.ndarray], buckets: int, dims: int, bits: int) -> np.n
 
 
 def tokenised(docs: DataFrame, tokenizer: str, eos: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = 256, dims: int = 3, bits: int = 12, step: int = 2_000_000) -> DataFrame:
-    """curve (Hilbert key), doc, ids (little-endian, as wide as the vocabulary needs, with eos last); a row for each row of docs."""
+    """curve (Hilbert key), doc, n (tokens), ids (zstd of them, little-endian, as wide as the vocabulary needs, with eos last); a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokens_of(tokenizer)
@@ -188,10 +188,11 @@ def tokenised(docs: DataFrame, tokenizer: str, eos: int, id_col: str = "doc_id",
                     b += 1
                 ids = tk.encode(texts[a:b])
                 keys = curve_key(ids, buckets, dims, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), doc.slice(a, b - a), pa.array([np.concatenate([x, end]).tobytes() for x in ids], pa.binary())], ["curve", "doc", "ids"])
+                blobs = [pa.compress(np.concatenate([x, end]).tobytes(), "zstd", asbytes=True) for x in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), doc.slice(a, b - a), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(blobs, pa.binary())], ["curve", "doc", "n", "ids"])
                 a = b
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc", f"`{text_col}` as text").mapInArrow(run, "curve long, doc long, ids binary")
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc", f"`{text_col}` as text").mapInArrow(run, "curve long, doc long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, eos: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -205,11 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, eos: int = 2, id_c
     document of its own. An empty table gives no rows. Other columns of docs are not read.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if with_ids), a row a piece.
     """
-    wide = "<u2"
-    from tokenizers import Tokenizer
-
-    if Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16:
-        wide = "<u4"
+    wide = tokens_of(tokenizer).dtype
     table = materialise(tokenised(docs, tokenizer, eos, id_col, text_col), "tokens")
     sorted_ = table.repartitionByRange(width(docs), "curve", "doc").sortWithinPartitions("curve", "doc")
 
@@ -236,8 +233,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, eos: int = 2, id_c
             return pa.RecordBatch.from_arrays(arrays, NAMES + ["ids"] * with_ids)
 
         for batch in batches:
-            for doc, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids, at = np.frombuffer(blob, wide), 0
+            for doc, n, blob in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                ids, at = np.frombuffer(pa.decompress(blob, n * wide.itemsize, "zstd", asbytes=True), wide), 0
                 while at < len(ids):
                     take = min(length - filled, len(ids) - at)
                     open_.append((doc, at, ids[at : at + take], len(ids)))
