@@ -17,7 +17,7 @@ from ._common import bound_batches, materialise, width
 from .quality import held_out
 
 #: Bytes of context, and the byte that ends a text and stands before it.
-DEPTH, END = 4, 10
+DEPTH, END = 5, 10
 LN2 = float(np.log(2))
 END_KEY = 0  # of the end token; words are hashed to other keys
 
@@ -52,28 +52,34 @@ def grams(bodies: list[bytes], table: int = 1 << 22) -> Grams:
     used = np.unique(x)
     dense = np.zeros(256, np.int32)
     dense[used] = np.arange(len(used))
-    y, n = dense[x], max(0, len(x) - DEPTH)
-    number, keys = np.zeros(n, np.int32), np.zeros(1, np.uint64)
+    y, n, a = dense[x], max(0, len(x) - DEPTH), len(used)
+    number, keys, since = np.zeros(n, np.int32), np.zeros(1, np.uint64), 0
     for step, back in enumerate((*range(1, DEPTH + 1), 0)):
-        if step and len(keys) * len(used) > table:
-            number, keys = renumbered(number, keys)
-        wide = np.int32 if len(keys) * len(used) < 1 << 31 else np.int64
-        number = number.astype(wide) * wide(len(used)) + y[DEPTH - back : DEPTH - back + n]
-        keys = ((keys[:, None] << np.uint64(8)) | used.astype(np.uint64)[None, :]).ravel()
-    number, keys = renumbered(number, keys)
-    scored = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(np.arange(len(bodies)) * DEPTH, sizes)
+        if step and len(keys) * a ** (since + 1) > table:
+            number, keys, since = *renumbered(number, keys, used, since), 0
+        since += 1
+        wide = np.int32 if len(keys) * a**since < 1 << 31 else np.int64
+        number = number.astype(wide) * wide(a) + y[DEPTH - back : DEPTH - back + n]
+    number, keys = renumbered(number, keys, used, since)
+    scored = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat(np.arange(len(bodies), dtype=np.int32) * np.int32(DEPTH), sizes)
     return Grams(keys, number[scored], ends)
 
 
-def renumbered(number: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and keys of those that occur, in the same order."""
-    if len(keys) > max(1 << 26, 8 * len(number)):
+def renumbered(number: np.ndarray, keys: np.ndarray, used: np.ndarray, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of those that occur, in the same order, and their keys: number // len(used) ** since tells the key so far."""
+    size = len(keys) * len(used) ** since
+    if size > max(1 << 24, 4 * len(number)):
         found, number = np.unique(number, return_inverse=True)
-        return number.astype(np.int32), keys[found]
-    seen = np.zeros(len(keys), bool)
-    seen[number] = True
-    place = np.cumsum(seen, dtype=np.int32) - 1
-    return place[number], keys[seen]
+        number = number.astype(np.int32)
+    else:
+        seen = np.zeros(size, bool)
+        seen[number] = True
+        found = np.nonzero(seen)[0]
+        number = (np.cumsum(seen, dtype=np.int32) - np.int32(1))[number]
+    more = np.zeros(len(found), np.uint64)
+    for k in range(since):
+        more |= used[(found // len(used) ** k) % len(used)].astype(np.uint64) << np.uint64(8 * k)
+    return number, (keys[found // len(used) ** since] << np.uint64(8 * since)) | more
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -208,7 +214,7 @@ class Top:
         return total
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 8) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 5) -> DataFrame:
     """A table of chunks of about `mb` MB: chunk, docs, held (arrays), body (zstd of the normalised texts, a line each)."""
     bound_batches(docs)
 
@@ -286,7 +292,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, a row for each row.
     A text is its words (A-Z lowered, cut at ASCII white space) joined by single spaces, and an end byte. Each byte is
-    eight binary decisions, each of which has contexts of 0 to 4 bytes before it; a context's estimate is mixed with
+    eight binary decisions, each of which has contexts of 0 to 5 bytes before it; a context's estimate is mixed with
     its deeper one by the weights of context-tree weighting; contexts never seen leave the word to the shallower one.
 
     The corpus becomes chunks in a written table. Chunks send sorted runs of their distinct contexts and words with
@@ -304,16 +310,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             for chunk, held, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 bodies = bodies_of(packed.as_py())
-                g = grams(bodies)
-                learn = np.repeat(~np.array(held, bool), np.diff(g.ends, prepend=0))
-                n = np.bincount(g.at[learn], minlength=len(g.keys))
-                rows = [(1, b, chunk, g.keys[i].tobytes(), n[i].tobytes()) for b, every in runs(g.keys, buckets, gram_bucket(g.keys, buckets)) if (i := every[n[every] > 0]).size]
                 words, sizes, number = numbered(bodies)
                 learnt = np.bincount(words[np.repeat(~np.array(held, bool), sizes)], minlength=len(number) + 1)
                 learnt[0] = len(held) - sum(held)
                 keys, order = word_keys(list(number))
                 n = learnt[order]
-                rows += [(0, b, chunk, keys[i].tobytes(), n[i].tobytes()) for b, i in runs(keys, buckets, word_bucket(keys, buckets))]
+                rows = [(0, b, chunk, keys[i].tobytes(), n[i].tobytes()) for b, i in runs(keys, buckets, word_bucket(keys, buckets))]
+                del words, number, keys, order  # before the arrays of the contexts
+                g = grams(bodies)
+                learn = np.repeat(~np.array(held, bool), np.diff(g.ends, prepend=0))
+                n = np.bincount(g.at[learn], minlength=len(g.keys))
+                rows += [(1, b, chunk, g.keys[i].tobytes(), n[i].tobytes()) for b, every in runs(g.keys, buckets, gram_bucket(g.keys, buckets)) if (i := every[n[every] > 0]).size]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "bucket", "chunk", "keys", "counts"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
@@ -360,7 +367,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         counts[inverse[: len(have)]] = n
         value = top.value.log10(every, counts)
         cuts = np.cumsum([len(have), *map(len, wanted)])
-        rows = [(1, int(b), int(c), b"", value[inverse[cuts[j] : cuts[j + 1]]].tobytes()) for j, (b, c) in enumerate(zip(asked.bucket, asked.chunk, strict=True))]
+        rows = [(1, int(b), int(c), b"", value[inverse[cuts[j] : cuts[j + 1]]].astype(np.float32).tobytes()) for j, (b, c) in enumerate(zip(asked.bucket, asked.chunk, strict=True))]
         return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "keys", "counts"])
 
     asked = chunks.select("chunk", "body").mapInArrow(ask, "bucket int, chunk long, keys binary")
@@ -372,12 +379,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         bodies, held = bodies_of(chunk["body"].iloc[0]), list(chunk["held"].iloc[0])
         doc = list(chunk["docs"].iloc[0])
         by = {(int(k), int(b)): v for k, b, v in zip(got.kind, got.bucket, got.counts, strict=True)}
-        g = grams(bodies)
-        value = np.empty(len(g.keys))
-        for b, i in runs(g.keys, buckets, gram_bucket(g.keys, buckets)):
-            value[i] = np.frombuffer(by[1, b], np.float64)
-        starts = np.concatenate([[0], g.ends[:-1]])
-        scores = np.add.reduceat(value[g.at], starts)
         words, sizes, number = numbered(bodies)
         keys, order = word_keys(list(number))
         n = np.empty(len(keys), np.int64)
@@ -389,6 +390,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             at = words[a:b]
             rows.append((b - a + 1, int((n[at] > 0).sum() + (n[0] > 0)), float(log[at].sum() + log[0])))
+        del words, number, keys, order  # before the arrays of the contexts
+        g = grams(bodies)
+        value = np.empty(len(g.keys), np.float32)
+        for b, i in runs(g.keys, buckets, gram_bucket(g.keys, buckets)):
+            value[i] = np.frombuffer(by[1, b], np.float32)
+        starts = np.concatenate([[0], g.ends[:-1]])
+        scores = np.add.reduceat(value[g.at], starts, dtype=np.float64)
         size = np.diff(g.ends, prepend=0)
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
         return out.assign(doc_id=pd.array(doc, "Int64"), held_out=held, train_tokens=n_train, score=scores, bits_per_byte=-scores / np.log10(2) / size)[SCORED]
