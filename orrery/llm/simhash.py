@@ -129,4 +129,5 @@ def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "do
     together; null ids stay where no id of their component is known."""
     found = near_duplicates(docs, radius, words, id_col, text_col)
     named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__named")).distinct()
-    return docs.join(materialise(named, "named"), F.col(id_col).cast("long").eqNullSafe(F.col("__named")), "left_semi")
+    named = materialise(named, "named").hint("shuffle_hash")  # one plan at any size: the ids kept grow with the input
+    return docs.join(named, F.col(id_col).cast("long").eqNullSafe(F.col("__named")), "left_semi")
