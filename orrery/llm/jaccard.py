@@ -1,0 +1,197 @@
+"""Near-duplicates by word shingles: every pair of texts with a Jaccard similarity of `least` or more, by prefix filters."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import bound_batches, components, materialise
+
+
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles of one text: A-Z lowered, split at ASCII white space; none for no words."""
+    from xxhash import xxh64_intdigest
+
+    split = text.lower().split()
+    if not split:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(split)
+    if len(split) <= words:
+        return np.array([xxh64_intdigest(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)
+    starts = np.concatenate([[0], ends[:-words]])
+    return np.unique(np.array([xxh64_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def named(held: np.ndarray) -> int:
+    """Name of a set of shingles, a signed long; 0 for the empty set."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(held.tobytes())).view(np.int64)) if len(held) else 0
+
+
+#: Shingles that prefixes of similar sets have in common, where the sets have so many.
+SHARED = 6
+
+
+def needed(n: np.ndarray | int, m: np.ndarray | int, least: float) -> np.ndarray:
+    """Shared shingles from which on sets of n and m have the similarity."""
+    return np.ceil(least / (1 + least) * (np.asarray(n, np.int64) + m) - 1e-9)
+
+
+def common(docs: DataFrame, words: int, text_col: str, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of frequent shingles, by hash, from about `sample` texts. They only order prefixes, so that these
+    begin with rare shingles; the pairs found do not depend on them. At most `most` rows come to the driver."""
+    texts = docs.where(F.col(text_col).isNotNull())
+    every = max(1, texts.count() // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [shingles(t.as_py(), words) for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *flat]).view(np.int64))], ["h"])
+
+    held = texts.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(text_col).mapInArrow(run, "h long")
+    rows = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def shared_prefixes(docs: DataFrame, least: float, words: int, text_col: str) -> DataFrame:
+    """members (fp, n, at) of each shingle that stands in the prefixes of several sets, its size n and place at there.
+
+    A prefix is the n - ceil(least n) + SHARED first shingles of a set in one order of all shingles. Sets with the
+    similarity have SHARED shingles of both prefixes in common, or all that they need where that is fewer.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(common(docs, words, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, count = held.value
+        for batch in batches:
+            out = []
+            for t in batch.column(0).cast(pa.binary()):
+                s = shingles(t.as_py() or b"", words)
+                if not len(s):
+                    continue
+                rank = np.zeros(len(s), np.int64)
+                if len(often):
+                    k = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    rank = np.where(often[k] == s, count[k], 0)
+                m = min(len(s), len(s) - ceil(least * len(s) - 1e-9) + SHARED)
+                first = s[np.lexsort((s, rank))[:m]]
+                out.append((first.view(np.int64), np.full(m, named(s)), np.full(m, len(s), np.int32), np.arange(m, dtype=np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "fp", "n", "at"])
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "h long, fp long, n int, at int")
+    return rows.groupBy("h").agg(F.collect_set(F.struct("fp", "n", "at")).alias("members")).where(F.size("members") > 1)
+
+
+def pairs_of(n: np.ndarray, at: np.ndarray, part: np.ndarray, least: float, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of one shingle's sets, in different parts, whose sizes and places in prefixes allow the similarity."""
+    rows = max(1, step // len(n))
+    left = n - at
+    for k in range(0, len(n), rows):
+        i = slice(k, k + rows)
+        low, high = np.minimum(n[i, None], n[None]), np.maximum(n[i, None], n[None])
+        may = (low >= least * high - 1e-9) & (part[i, None] != part[None])
+        # what stands before both places may be shared, too
+        may &= np.minimum(left[i, None], left[None]) + np.minimum(at[i, None], at[None]) >= needed(low, high, least)
+        u, v = np.nonzero(may)
+        u += k
+        yield u[u < v], v[u < v]
+
+
+def enough(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that stand, one row a shared shingle of their prefixes, as often as the similarity asks; total: both sizes."""
+    need = F.ceil(F.lit(least / (1 + least)) * F.max("total") - 1e-9)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("times"), need.alias("need")).where(F.col("times") >= F.least(F.lit(SHARED), "need")).select("a", "b")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, least: float, words: int, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of set names whose shingles have the similarity, by both sets' shingles; docs has __fp."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingles(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in held], pa.binary())], ["fp", "held"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                keep[k] = len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y), least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    inside = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "inside")
+    texts = docs.where(F.col(text_col).isNotNull()).select("__fp", text_col).join(inside, F.col("__fp") == F.col("fp"), "left_semi")
+    sets = materialise(texts.groupBy("__fp").agg(F.min(text_col).alias("t")).mapInArrow(hold, "fp long, held binary"), "sets")
+    one, two = (sets.select(F.col("fp").alias(c), F.col("held").alias(f"held_{c}")) for c in ("a", "b"))
+    return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long"), "similar")
+
+
+def links(docs: DataFrame, least: float, words: int, text_col: str) -> DataFrame:
+    """Links (a, b) of set names that join the same sets as all pairs with the similarity do, each link such a pair.
+
+    First each shingle's sets are linked in a row, by size, so that a large group of near copies becomes one part
+    without its pairs; then all pairs of different parts are looked at. Both rounds are verified by whole sets.
+    """
+    shared = materialise(shared_prefixes(docs, least, words, text_col), "shared")
+    by_size = F.array_sort(F.transform("members", lambda m: F.struct(m["n"].alias("n"), m["fp"].alias("fp"))))
+    row = shared.select(by_size.alias("m")).select(F.explode(F.arrays_zip(F.slice("m", F.lit(1), F.size("m") - 1).alias("x"), F.slice("m", F.lit(2), F.size("m") - 1).alias("y"))).alias("p"))
+    row = row.where(F.col("p.x.n") >= least * F.col("p.y.n") - 1e-9).select(F.least("p.x.fp", "p.y.fp").alias("a"), F.greatest("p.x.fp", "p.y.fp").alias("b"), (F.col("p.x.n") + F.col("p.y.n")).alias("total"))
+    first = similar(materialise(enough(row, least), "rows"), docs, least, words, text_col)
+
+    parts = components(first, "a", "b")
+    each = shared.select("h", F.explode("members").alias("m")).select("h", "m.*")
+    each = each.join(parts, each.fp == parts.node, "left").select("h", "fp", "n", "at", F.coalesce("component", "fp").alias("part"))
+    grouped = each.groupBy("h").agg(F.collect_list(F.struct("fp", "n", "at", "part")).alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("m")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for m in batch.column(0):
+                fp, n, at, part = (m.values.field(k).to_numpy() for k in range(4))
+                n = n.astype(np.int64)
+                for u, v in pairs_of(n, at.astype(np.int64), part, least):
+                    if len(u):
+                        out.append((np.minimum(fp[u], fp[v]), np.maximum(fp[u], fp[v]), n[u] + n[v]))
+                    if sum(len(o[0]) for o in out[-1:]) > 1 << 16 or len(out) > 1 << 12:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "total"])
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "total"])
+
+    more = materialise(enough(grouped.mapInArrow(apart, "a long, b long, total long"), least), "apart")
+    return first.unionAll(similar(more, docs, least, words, text_col))
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs that name their component, the least id of each, with all their columns.
+
+    Components are of texts whose sets of `words`-word shingles (fewer words: the whole text) have a Jaccard similarity
+    of `least` or more, exactly but for equal 64-bit hashes. Null, empty and blank texts are one component. Rows of one
+    id stay or go together; null ids stay where no id of their component is known. An empty table gives no rows.
+    """
+    bound_batches(docs)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([named(shingles(t.as_py() or b"", words)) for t in batch.column(1).cast(pa.binary())], pa.int64())], ["doc", "text", "__fp"])
+
+    prints = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(name, "doc long, text string, __fp long")
+    prints = materialise(prints, "prints")
+    member = components(links(prints, least, words, "text"), "a", "b")
+    classes = prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc").alias("least"))
+    part = materialise(classes.join(member, classes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "classes")
+    ids = part.groupBy("component").agg(F.min("least").alias("component_id"))
+    stay = materialise(part.join(ids, "component").where(F.col("least").eqNullSafe(F.col("component_id"))).select("fp", "component_id"), "stay")
+    rows = prints.select("doc", "__fp").join(stay, F.col("__fp") == F.col("fp")).where(F.col("doc").eqNullSafe(F.col("component_id")))
+    kept = materialise(rows.select(F.col("doc").alias("__named")).distinct(), "named").hint("shuffle_hash")  # one plan at any size: the ids kept grow with the input
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__named")), "left_semi")
