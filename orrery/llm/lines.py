@@ -15,11 +15,16 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Windows of `window` lines that are not blank: doc, print (hash of the text), i (number of the window), at (places
-    of its lines), key (their hashes), low (the least of them) and low_at (its last place)."""
+def _has_words(line: Column, words: int) -> Column:
+    """Whether a trimmed line has so many words; lines too short to hold them are not split."""
+    return (F.length(line) >= 2 * words - 1) & (F.size(F.split(line, r"\s+")) >= words)
+
+
+def windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+    """Windows of `window` lines that are not blank and have `words` words or more: doc, print (hash of the text), i
+    (number of the window), at (places of its lines), key (their hashes), low (the least of them) and low_at (its last place)."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("print"), _lines(F.col(text_col)).alias("l"))
-    hashed = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda x: x["line"] != "")
+    hashed = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda x: (x["line"] != "") & _has_words(x["line"], words) if words else x["line"] != "")
     rows = rows.select("doc", "print", F.transform(hashed, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("hash"))).alias("h")).where(F.size("h") >= window)
     rows = rows.select("doc", "print", F.col("h.at").alias("ats"), F.col("h.hash").alias("hashes"), F.explode(F.sequence(F.lit(1), F.size("h") - window + 1)).alias("i"))
     rows = rows.select("doc", "print", "i", F.slice("ats", F.col("i"), window).alias("at"), F.slice("hashes", F.col("i"), window).alias("key"))
@@ -28,13 +33,13 @@ def windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str
     return rows.withColumn("low_at", F.element_at("at", last))
 
 
-def repeated_windows(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
     """Windows that occur earlier, with their first place: doc, print, i, at, from_doc, from_print, from_i.
 
     Only windows whose fingerprint, the minimum, stands in two places are joined by their lines' hashes. Both sides of
     each join are written tables, so that AQE can split the rows of a hot fingerprint.
     """
-    w = materialise(windows(docs, window, id_col, text_col), "windows")
+    w = materialise(windows(docs, window, id_col, text_col, words), "windows")
     place = F.struct("doc", "print", "low_at")
     twice = materialise(w.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("low"), "fingerprints")
     held = materialise(w.join(twice, "low", "left_semi").select("doc", "print", "i", "at", "key"), "candidates")
@@ -58,8 +63,9 @@ def repeated_runs(found: DataFrame, window: int = 2) -> DataFrame:
     ).drop("shift", "island")
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with its text short of every run of `window` or more lines that stands earlier, in a lesser id or higher up.
+def dedup_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, long_words: int = 0) -> DataFrame:
+    """docs with its text short of every run of `window` or more lines that stands earlier, in a lesser id or higher up;
+    if long_words, of every single line of so many words or more that stands earlier, too.
 
     Lines are compared without surrounding spaces; blank lines are left out of runs and stay. Every window of a
     repeated run has the same minimum wherever it stands, so no such run is missed; it is matched to the first place
@@ -70,7 +76,9 @@ def dedup_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_c
     document and get the same text; ids with several texts are ordered by a hash of the text. Columns of docs are
     kept, n_deleted and n_lines are added if counts. An empty table gives no rows.
     """
-    runs = repeated_runs(repeated_windows(docs, window, id_col, text_col), window)
+    runs = repeated_runs(repeated_windows(docs, window, id_col, text_col), window).select("doc", "print", "at")
+    if long_words and window > 1:  # the first place of a line is in no run that goes, so one copy stays
+        runs = runs.unionAll(repeated_windows(docs, 1, id_col, text_col, long_words).select("doc", "print", "at"))
     gone = runs.groupBy(F.col("doc").alias("__doc"), F.col("print").alias("__print")).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__gone"))
     own = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__print")) & F.col(text_col).isNotNull()
     joined = docs.join(gone, own, "left")
