@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,17 @@ def bound_batches(df: DataFrame, mb: int = 16) -> None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def steps_of(batches: Iterator[pa.RecordBatch], text: int, step: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose texts, in the column of that number, have about `step` bytes; a longer text is a part of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of each q bytes of x; q from 8 to 16."""
     n = len(x) - q + 1

@@ -2,126 +2,117 @@
 
 from __future__ import annotations
 
-import unicodedata
+import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import materialise, width
-
-#: Entries of a worker's cache of tokenised chunks; beyond that it starts anew.
-CACHE_CHUNKS = 700_000
-#: Marks that the splitter always parts from a word before them.
-MARKS = b".,;:!?*$%&#|"
-#: What the tokenizer's splitter keeps as one piece.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+from ._common import bound_batches, materialise, steps_of, width
+
+#: Entries of a worker's store of tokenised words; beyond that it starts anew.
+STORED_WORDS = 1_500_000
+#: Words that the normaliser leaves as they are and the splitter never cuts: lower-case letters that nothing composes with.
+PLAIN = "[a-zß-öø-ÿ]"
+#: Marks that the splitter always parts from a letter before them.
+MARKS = "[.,;:!?*$%&#|]"
+# The normaliser and the splitter of tokenizer files whose texts may be cut at ASCII white space first.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _workers: dict[str, Tokens] = {}
 
 
 class Tokens:
-    """Ids of whole texts by a tokenizer file whose pre-tokenizer never joins text across ASCII white space.
-
-    A text is cut at ASCII white space and each distinct chunk is encoded once per worker; equal to encoding the
-    whole text, as the file's normaliser and splitter act within such chunks. Chunks that hold a special token's
-    opening keep their case, as such tokens are matched before the normaliser lowers it.
+    """Ids of whole texts by a tokenizer file.
+
+    If its normaliser and splitter are those above, they never look across ASCII white space: a text is then lowered
+    and cut there and between a plain letter and a mark, each distinct word is encoded once a worker, and texts gather
+    their words' ids. A plain word is one piece, so many of them go to the encoder as one text, and the ends of words
+    in its ids part them again. All other words are encoded by themselves with the whole file. Texts that hold a special
+    token's opening keep their case, as such tokens are matched before the normaliser lowers it, and their marks in
+    place. Other files encode each text as it is.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
-        suffix = getattr(self.encoder.model, "end_of_word_suffix", None)
-        self.final = None
-        if suffix:
-            self.final = np.zeros(self.encoder.get_vocab_size(), bool)
-            self.final[[i for t, i in self.encoder.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.dtype = np.dtype("<u2") if self.encoder.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.clear()
+        file = json.loads(self.encoder.to_str())
+        kinds = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
+        splits = [s.get("pattern", {}).get("Regex") for s in (file["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        suffix = file["model"].get("end_of_word_suffix")
+        self.by_word = kinds == NORMALISER and splits == [SPLITTER, None] and bool(suffix)
+        if self.by_word:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.final = np.zeros(self.encoder.get_vocab_size(), bool)
+            self.final[[i for t, i in file["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool = np.empty(1 << 16, self.dtype)
-        self.starts, self.lengths, self.used = np.empty(1 << 15, np.int32), np.empty(1 << 15, np.int32), 0
-
-    def encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks one after another, and how many each has, from one call for all of them.
-
-        Where every word ends in a token of its own kind, the ends are counted off: a chunk has as many as it has
-        pieces. If the counts don't agree, or a special token may be there, chunks are encoded one by one.
-        """
-        if self.final is not None and not any(b"<|" in c for c in chunks):
-            pieces = np.fromiter((1 if c.isalpha() else len(PIECES.findall(c.decode())) for c in chunks), np.int64, len(chunks))
-            ids = np.array(self.encoder.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.nonzero(self.final[ids])[0]
-            if len(ends) == pieces.sum() and (not len(ids) or ends[-1] == len(ids) - 1):
-                return ids, np.diff(np.concatenate([[0], ends + 1])[np.cumsum(pieces)], prepend=0)
-        got = [e.ids for e in self.encoder.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        return np.array([i for ids in got for i in ids], self.dtype), np.fromiter(map(len, got), np.int64, len(got))
-
-    def learn(self, chunks: list[bytes], group: int = 1000) -> None:
-        """Adds chunks that are not known yet."""
-        parts = [self.encoded(chunks[k : k + group]) for k in range(0, len(chunks), group)]
-        self.add(chunks, *(np.concatenate([p[j] for p in parts]) for j in (0, 1)))
-
-    def add(self, chunks: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
-        k, total = len(self.known), self.used + len(flat)
-        if total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(total, 2 * self.used) - self.used, self.dtype)])
-        if k + len(sizes) > len(self.starts):
-            more = np.empty(max(k + len(sizes), 2 * k) - k, np.int32)
-            self.starts, self.lengths = np.concatenate([self.starts[:k], more]), np.concatenate([self.lengths[:k], more])
-        self.pool[self.used : total] = flat
-        self.starts[k : k + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[k : k + len(sizes)] = sizes
-        self.used = total
-        self.known.update(zip(chunks, range(k, k + len(sizes)), strict=True))
-
-    def learn_all(self, new: set[bytes]) -> None:
-        """As learn; a word with marks after it is put together from the word and the marks, each encoded once."""
-        if self.final is None:
-            self.learn(list(new))
-            return
-        made, whole = [], []
-        for c in new:
-            word = c.rstrip(MARKS)
-            if word and len(word) < len(c) and (word.isalpha() or unicodedata.normalize("NFC", word.decode()).lower().isalpha()):
-                made.append((c, word, c[len(word) :]))
-            else:
-                whole.append(c)
-        need = {x for m in made for x in m[1:]}.union(whole) - self.known.keys()
-        if need:
-            self.learn(list(need))
-        made = [m for m in made if m[0] not in self.known]
-        if made:
-            a, b = (np.fromiter((self.known[m[j]] for m in made), np.int64, len(made)) for j in (1, 2))
-            parts = np.column_stack([a, b]).ravel()
-            self.add([m[0] for m in made], self.gathered(parts), self.lengths[a] + self.lengths[b])
-
-    def gathered(self, at: np.ndarray) -> np.ndarray:
-        """Ids of the numbered chunks one after another."""
+        """Words, where their ids begin in the pool and how many they are; the empty word has none."""
+        self.words, self.pool = pa.array([""]), np.empty(0, self.dtype)
+        self.starts, self.lengths = np.zeros(1, np.int32), np.zeros(1, np.int32)
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, each encoded by itself, and how many each has."""
+        got = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int32, len(got))
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words, encoded together."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.nonzero(self.final[ids])[0]
+        if len(ends) != len(words) or ends[-1] != len(ids) - 1:  # a vocabulary that lacks the end of some letter
+            return self.each(words)
+        return ids, np.diff(ends, prepend=-1).astype(np.int32)
+
+    def learn(self, new: pa.Array, group: int = 1000) -> None:
+        """Adds words that are not stored yet."""
+        plain = pc.match_substring_regex(new, f"^{PLAIN}+$")
+        for some, encode in ((new.filter(plain), self.joined), (new.filter(pc.invert(plain)), self.each)):
+            words = some.to_pylist()
+            got = [encode(words[k : k + group]) for k in range(0, len(words), group)]
+            if got:
+                ids, sizes = (np.concatenate(c) for c in zip(*got, strict=True))
+                self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int32) - sizes])
+                self.lengths, self.pool = np.concatenate([self.lengths, sizes]), np.concatenate([self.pool, ids])
+                self.words = pa.concat_arrays([self.words, some])
+
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """Places in the store of distinct words, which are learnt if need be."""
+        at = pc.index_in(distinct, value_set=self.words)
+        if at.null_count:
+            if len(self.words) + at.null_count > STORED_WORDS:
+                self.clear()
+                at = pc.index_in(distinct, value_set=self.words)
+            known = len(self.words)
+            new = distinct.filter(pc.is_null(at))
+            self.learn(new)
+            at = pc.if_else(pc.is_null(at), pc.add(pc.index_in(distinct, value_set=self.words[known:]), known), at)
+        return at.to_numpy(zero_copy_only=False).astype(np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has. Null texts are empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_word or not len(texts):
+            return self.each(texts.to_pylist())
+        low = pc.replace_substring_regex(pc.ascii_lower(texts), f"({PLAIN})({MARKS})", r"\1 \2")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, low))
+        cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        words = split.flatten().dictionary_encode()
+        at = self.numbers(words.dictionary)[words.indices.to_numpy()]
         sizes = self.lengths[at]
-        ends = np.cumsum(sizes, dtype=np.int32)
-        return self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each UTF-8 text."""
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        new = set().union(*split) - self.known.keys() if split else set()
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.clear()
-            new = set().union(*split)
-        if new:
-            self.learn_all(new)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            out.append(self.gathered(at))
-        return out
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(self.starts[at] - ends[:-1].astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
+        return ids, np.diff(ends[cuts])
 
 
 def tokens_of(path: str) -> Tokens:
@@ -157,13 +148,14 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_key(ids: list[np.ndarray], buckets: int, dims: int, bits: int) -> np.ndarray:
-    """Hilbert keys of documents: token ids hashed to signed buckets, root counts, a fixed projection, equal steps."""
+def curve_key(ids: np.ndarray, sizes: np.ndarray, buckets: int, dims: int, bits: int) -> np.ndarray:
+    """Hilbert keys of documents, whose ids stand one after another: token ids hashed to signed buckets, root counts, a
+    fixed projection, equal steps."""
     mix = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    slot, sign = ((mix >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), np.where((mix >> np.uint64(63)) > 0, 1.0, -1.0)
-    vectors = np.zeros((len(ids), buckets))
-    for k, x in enumerate(ids):
-        low = x & 0xFFFF
+    slot, sign = ((mix >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), np.where((mix >> np.uint64(63)) > 0, 1, -1).astype(np.int8)
+    vectors, ends = np.zeros((len(sizes), buckets)), np.cumsum(sizes)
+    for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+        low = ids[a:b] & 0xFFFF
         vectors[k] = np.bincount(slot[low], weights=sign[low], minlength=buckets)
     vectors = np.sign(vectors) * np.sqrt(np.abs(vectors))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -172,25 +164,19 @@ def curve_key(ids: list[np.ndarray], buckets: int, dims: int, bits: int) -> np.n
     return hilbert(steps.astype(np.int64), bits)
 
 
-def tokenised(docs: DataFrame, tokenizer: str, eos: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = 256, dims: int = 3, bits: int = 12, step: int = 2_000_000) -> DataFrame:
-    """curve (Hilbert key), doc, n (tokens), ids (zstd of them, little-endian, as wide as the vocabulary needs, with eos last); a row for each row of docs."""
+def tokenised(docs: DataFrame, tokenizer: str, eos: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = 256, dims: int = 3, bits: int = 12) -> DataFrame:
+    """curve (Hilbert key), doc, n (tokens), ids (little-endian, as wide as the vocabulary needs, with eos last); a row for each row of docs."""
+    bound_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokens_of(tokenizer)
         end = np.array([eos], tk.dtype)
-        for batch in batches:
-            texts, doc = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], batch.column(0)
-            a = 0
-            while a < len(texts):  # pieces of bounded bytes
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= step):
-                    size += len(texts[b])
-                    b += 1
-                ids = tk.encode(texts[a:b])
-                keys = curve_key(ids, buckets, dims, bits)
-                blobs = [pa.compress(np.concatenate([x, end]).tobytes(), "zstd", asbytes=True) for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), doc.slice(a, b - a), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(blobs, pa.binary())], ["curve", "doc", "n", "ids"])
-                a = b
+        for part in steps_of(batches, 1, 16 << 20):
+            ids, sizes = tk.encode(part.column(1))
+            keys = curve_key(ids, sizes, buckets, dims, bits)
+            ends = np.cumsum(sizes)
+            blobs = [np.concatenate([ids[b - n : b], end]).tobytes() for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), pa.array(sizes + 1), pa.array(blobs, pa.binary())], ["curve", "doc", "n", "ids"])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc", f"`{text_col}` as text").mapInArrow(run, "curve long, doc long, n long, ids binary")
 
@@ -233,8 +219,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, eos: int = 2, id_c
             return pa.RecordBatch.from_arrays(arrays, NAMES + ["ids"] * with_ids)
 
         for batch in batches:
-            for doc, n, blob in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                ids, at = np.frombuffer(pa.decompress(blob, n * wide.itemsize, "zstd", asbytes=True), wide), 0
+            for doc, blob in zip(*(batch.column(c).to_pylist() for c in (1, 3)), strict=True):
+                ids, at = np.frombuffer(blob, wide), 0
                 while at < len(ids):
                     take = min(length - filled, len(ids) - at)
                     open_.append((doc, at, ids[at : at + take], len(ids)))

@@ -13,13 +13,6 @@ from tokenizers import Tokenizer
 from orrery.llm import lm, packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-STRANGE = ["It's O'Neil's 12 ΑΣ İst é ́x a b <|endoftext|>x<|ENDOFTEXT|> ﬁ 你好 नमस्ते ١٢ \U0001F600!! don't", "", "İ, क़. >́", "a.b..c ,, word. 'll x\x1cy\u0085z"]
-
-
-def test_chunked_encoding_is_that_of_whole_texts():
-    tk = packing.Tokens(VOCABULARY)
-    got = tk.encode([t.encode() for t in STRANGE])
-    assert [g.tolist() for g in got] == [e.ids for e in tk.encoder.encode_batch(STRANGE, add_special_tokens=False)]
 
 
 def test_hilbert_is_a_curve():
@@ -34,9 +27,10 @@ def test_hilbert_is_a_curve():
 def test_pieces_round_trip(docs, none, length):
     rows = docs.select("doc_id", "text").collect()
     encoder = Tokenizer.from_file(VOCABULARY)
-    want = Counter()
+    want = Counter()  # of every id of every row: its document, all tokens there, its place
     for r in rows:
-        want[r.doc_id, *encoder.encode(r.text or "", add_special_tokens=False).ids, 2] += 1
+        ids = [*encoder.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.update((r.doc_id, len(ids), k, i) for k, i in enumerate(ids))
     pieces = packing.pack(docs, VOCABULARY, length, with_ids=True).collect()
     sequences = {}
     for p in pieces:
@@ -47,14 +41,7 @@ def test_pieces_round_trip(docs, none, length):
         assert [p.offset for p in s] == [0, *np.cumsum([p.length for p in s])[:-1]]
         total = sum(p.length for p in s)
         assert total <= length and total & (total - 1) == 0
-    whole, repeats = {}, Counter()
-    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
-        repeats[p.doc_id, p.start] += 1
-        whole.setdefault((p.doc_id, repeats[p.doc_id, p.start] if p.doc_tokens < length else 1), []).append(p)
-    single = {k: sorted(v, key=lambda p: p.start) for k, v in whole.items() if k[0] not in (None, 12)}
-    for (doc, _), v in single.items():
-        assert want[doc, *(i for p in v for i in p.ids)] == 1 and [p.start for p in v] == [0, *np.cumsum([p.length for p in v])[:-1]]
-    assert sum(p.length for p in pieces) == sum((len(k) - 1) * n for k, n in want.items())
+    assert want == Counter((p.doc_id, p.doc_tokens, p.start + k, i) for p in pieces for k, i in enumerate(p.ids))
     assert packing.pack(none, VOCABULARY).count() == 0
 
 
