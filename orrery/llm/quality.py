@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,18 +60,22 @@ class Model:
 
     @staticmethod
     def terms(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        t = np.log1p(x[:, :TERMS].astype(np.float64)) * idf
+        """Weighted terms of features (float32), in their place."""
+        t = x[:, :TERMS]
+        np.log1p(t, out=t)
+        t *= idf
         t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
-        return np.hstack([t, SHARE_WEIGHT * x[:, TERMS:]])
+        x[:, TERMS:] *= SHARE_WEIGHT
+        return x
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: np.ndarray, prior: dict[int, int], rank: int) -> Model:
-        """prior: labelled rows of each class, of which x holds a sample."""
+        """prior: labelled rows of each class, of which x holds a sample; x is overwritten."""
         n = len(x)
-        idf = np.log((n + 1) / ((x[:, :TERMS] > 0).sum(axis=0) + 1)) + 1
+        idf = (np.log((n + 1) / ((x[:, :TERMS] > 0).sum(axis=0) + 1)) + 1).astype(np.float32)
         t = cls.terms(x, idf)
-        _, axes = np.linalg.eigh(t.T @ t) if n else (None, np.eye(TERMS + SHARES))
-        axes = axes[:, ::-1][:, :rank]
+        _, axes = np.linalg.eigh((t.T @ t).astype(np.float64)) if n else (None, np.eye(TERMS + SHARES))
+        axes = axes[:, ::-1][:, :rank].copy()
         share = {c: prior[c] / max(1, int((labels == c).sum())) for c in (0, 1)}
         return cls(idf, axes, cls.unit(t @ axes), np.array([share[int(c)] for c in labels]), labels)
 
@@ -87,13 +92,26 @@ class Model:
         for s in range(0, len(texts), block):
             z = self.unit(self.terms(features(texts[s : s + block]), self.idf) @ self.axes)
             near = z @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if near.shape[1] > k else np.tile(np.arange(near.shape[1]), (len(z), 1))
+            top = nearest(near, k)
             vote = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** power * self.votes[top]
             total = vote.sum(axis=1)
             out.append(np.where(total > 1e-12, (vote * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-12), base))
         return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest values of each row, at a tie for the last ones the first places; all, if they are fewer."""
+    n = near.shape[1]
+    if n <= k:
+        return np.tile(np.arange(n), (len(near), 1))
+    top = np.argpartition(near, n - k, axis=1)[:, n - k :]
+    taken = np.take_along_axis(near, top, axis=1)
+    least = taken.min(axis=1, keepdims=True)
+    for r in np.nonzero((near == least).sum(axis=1) > (taken == least).sum(axis=1))[0]:
+        top[r] = np.argsort(-near[r], kind="stable")[:k]
+    return top
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     """crc32 of the id as text, modulo folds, is fold. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -102,8 +120,9 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from at most `sample` labelled documents of each class outside the held-out fold, those with the least hashed ids.
 
-    The bound is what makes the broadcast bounded: 2 x sample x rank numbers. The share of each class in all
-    labelled rows weights its votes. Labels other than 0 and 1 and null ids are left out; an id labelled twice
+    The bound is what makes the broadcast bounded: 2 x sample x rank numbers. One task fits the model from the sampled
+    rows (33 MB of features at the bound), so only the model itself comes to the driver. The share of each class in
+    all labelled rows weights its votes. Labels other than 0 and 1 and null ids are left out; an id labelled twice
     counts with its greatest label.
     """
     bound_batches(docs)
@@ -113,14 +132,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 64,
     picked = known.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(sample).union(known.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(sample))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tobytes() for f in features(texts)], pa.binary())], ["id", "y", "x"])
 
-    got = rows.mapInArrow(run, "id long, y int, x binary").orderBy("id", "x").limit(2 * sample).collect()
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(-1, TERMS + SHARES)
-    return Model.fit(x, np.array([r.y for r in got], np.int64), prior, rank)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [np.empty((0, TERMS + SHARES), np.float32)], [np.empty(0, np.int64)]
+        for batch in batches:
+            x.append(np.array([np.frombuffer(b.as_py(), np.float32) for b in batch.column(2)], np.float32).reshape(-1, TERMS + SHARES))
+            y.append(batch.column(1).to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model.fit(np.concatenate(x), np.concatenate(y), prior, rank))], pa.binary())], ["model"])
+
+    sampled = rows.mapInArrow(described, "id long, y int, x binary").orderBy("id", "x").limit(2 * sample)
+    made = sampled.repartition(1).sortWithinPartitions("id", "x").mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(made[0].model) if made else Model.fit(np.empty((0, TERMS + SHARES), np.float32), np.empty(0, np.int64), prior, rank)
 
 
 def score(docs: DataFrame, model: Model, k: int = 15, power: int = 4, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,6 +167,7 @@ def score(docs: DataFrame, model: Model, k: int = 15, power: int = 4, threshold:
 def classify(docs: DataFrame, labels: DataFrame, **of_fit: int) -> DataFrame:
     """Quality of every whole text: doc_id, held_out, score (0 to 1), predicted (1 from a score of 0.3 on), a row for each row.
 
+    Of labelled vectors that are equally near, those with the least ids vote, up to the rounding of the products.
     Null and empty texts: no vector, so the share of label 1 among labelled rows; null ids keep their row. Repeated
     rows give repeated results. No labels at all: 0.5. Empty documents: no rows. Other columns are not read, and a
     score comes from the text alone.

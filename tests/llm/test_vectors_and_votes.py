@@ -1,5 +1,8 @@
 """op1 and op2."""
 
+import zlib
+from math import log, sqrt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +80,52 @@ def test_held_out_accuracy_and_odd_rows(docs, labelled):
     assert len(empty) == 1
 
 
+def slow_vector(model, text):
+    """Unit vector of a text in the model's space, part by part."""
+    counts = [0] * quality.TERMS
+    for a, b, c in zip(text, text[1:], text[2:], strict=False):
+        h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+        h ^= h >> 15
+        counts[(h * 0x2545F491 % 2**32) >> 21] += 1
+    weights = [log(1 + n) * float(w) for n, w in zip(counts, model.idf, strict=True)]
+    norm = sqrt(sum(w * w for w in weights)) or 1.0
+    whole = [w / norm for w in weights] + [quality.SHARE_WEIGHT * float(v) for v in quality.shares(text)]
+    z = [sum(v * float(a) for v, a in zip(whole, axis, strict=True) if v) for axis in model.axes.T]
+    norm = sqrt(sum(v * v for v in z)) or 1.0
+    return [v / norm for v in z]
+
+
+def test_votes_by_hand(spark, docs, labelled):
+    known, labels = labelled
+    model = quality.fit(known, labels, sample=40, rank=8)
+    texts = {r.doc_id: (r.text or "").encode() for r in known.unionByName(docs.select("doc_id", "text").where("doc_id < 8").withColumn("doc_id", F.col("doc_id") + 1000)).collect()}
+    y = {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).collect()}
+    learnt = [i for i in texts if y.get(i) is not None and zlib.crc32(str(i).encode()) % 5]
+    assert len(model.labels) == 80 and sum(model.votes) == pytest.approx(len(learnt))  # the sample stands for all labelled rows
+    share = {c: sum(y[i] == c for i in learnt) / 40 for c in (0, 1)}
+    every = np.array([slow_vector(model, texts[i]) for i in learnt])
+    apart = [np.abs(every - v).max(axis=1) for v in model.vectors]
+    voters = [learnt[int(d.argmin())] for d in apart]
+    assert max(d.min() for d in apart) < 1e-4 and len(set(voters)) == 80
+    assert [y[i] for i in voters] == model.labels.tolist()
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string"), model, k=5).collect()}
+    some = [*range(0, 300, 12), *range(1001, 1008)]
+    for i in some:
+        z = slow_vector(model, texts[i])
+        cosines = [sum(a * float(b) for a, b in zip(z, v, strict=True)) for v in model.vectors]
+        best = sorted(range(80), key=lambda j: (-cosines[j], j))[:5]
+        votes = [(max(0.0, cosines[j]) ** 4 * share[y[voters[j]]], y[voters[j]]) for j in best]
+        total = sum(v for v, _ in votes)
+        want = sum(v for v, c in votes if c) / total if total > 1e-12 else share[1] / (share[0] + share[1])
+        assert got[i] == pytest.approx(want, abs=2e-5)
+
+
+def test_ties_go_to_the_first():
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2], [0.1, 0.2, 0.3, 0.4, 0.5]])
+    assert [sorted(r) for r in quality.nearest(near, 2).tolist()] == [[0, 1], [0, 1], [3, 4]]
+    assert quality.nearest(near[:, :2], 2).tolist() == [[0, 1]] * 3
+
+
 def test_no_labels_no_documents(docs, none, labelled):
     _, labels = labelled
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
