@@ -1,16 +1,18 @@
-"""SimHash near-duplicates: fingerprints of word shingles, tiles of equal population counts compared exactly."""
+"""SimHash near-duplicates: fingerprints of word shingles compared exactly in tiles, by exclusive-or and bit counts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialise, width
+from ._common import bound_batches, components, materialise, steps_of, width
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -35,6 +37,8 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, fp (the 64 bits as a signed long), for each row of docs. Null text counts as empty."""
 
+    bound_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.fromiter((fingerprint(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
@@ -75,26 +79,39 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, step: int = 1 << 18) -
     return values[low], values[labels[low]]
 
 
-def near_links(classes: DataFrame, radius: int, block: int = 8192) -> DataFrame:
-    """Links (a, b) that join every two values of classes.fp within the radius, in spanning forests of tiles.
+def tile_pairs(rows: DataFrame, columns: list[str], near: Callable[[Column], Column], block: int) -> DataFrame:
+    """Pairs of tiles (blob_a, blob): of each cell with each one of near(cell), itself among them, every pair once.
 
-    A cell holds the values with the same population counts in the upper and the lower 32 bits; cells whose counts
-    differ by more than the radius are never compared. A cell of more than `block` values is dealt out in blocks.
-    There are at most 33 x 33 cells, which bounds the broadcast table of their sizes.
+    rows: cell (int, not negative) and the long columns, which a tile holds one after another, sorted by the first. A
+    cell of more than `block` rows is dealt out in blocks by a hash. There are as many cells as counts or sizes allow,
+    some hundreds, which bounds the broadcast table of their sizes.
     """
-    cells = classes.select("fp", (F.bit_count(F.shiftrightunsigned("fp", 32)) * 64 + F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))).cast("int").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = cells.join(F.broadcast(sizes), "cell").select("fp", "cell", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes), "cell").select(*columns, "cell", F.pmod(F.xxhash64(*columns), F.col("blocks")).cast("int").alias("block"))
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cell": part.cell[:1], "block": part.block[:1], "blob": [np.sort(part.fp.to_numpy()).tobytes()]})
+        held = part[columns].to_numpy(np.int64)
+        return pd.DataFrame({"cell": part.cell[:1], "block": part.block[:1], "blob": [np.ascontiguousarray(held[np.lexsort(held.T[::-1])].T).tobytes()]})
 
     blobs = materialise(dealt.groupBy("cell", "block").applyInPandas(gather, "cell int, block int, blob binary"), "tiles")
-    steps = [(p, q) for p in range(-radius, radius + 1) for q in range(abs(p) - radius, radius - abs(p) + 1)]
-    near = F.array(*[F.struct((F.floor(F.col("cell") / 64).cast("int") + p).alias("p"), (F.col("cell") % 64 + q).alias("q")) for p, q in steps])
-    left = blobs.withColumn("to", F.explode(near)).where("to.p between 0 and 32 and to.q between 0 and 32").select(F.col("cell").alias("cell_a"), F.col("block").alias("block_a"), F.col("blob").alias("blob_a"), (F.col("to.p") * 64 + F.col("to.q")).alias("to"))
+    left = blobs.select(F.col("cell").alias("cell_a"), F.col("block").alias("block_a"), F.col("blob").alias("blob_a"), F.explode(near(F.col("cell"))).alias("to"))
     pairs = left.join(blobs, F.col("to") == F.col("cell")).where("cell_a < cell or (cell_a = cell and block_a <= block)")
-    pairs = pairs.select("blob_a", "blob", F.xxhash64("cell_a", "block_a", "cell", "block").alias("pair")).repartition(4 * width(classes), "pair")
+    pairs = pairs.select("blob_a", "blob", F.xxhash64("cell_a", "block_a", "cell", "block").alias("pair"))
+    return pairs.repartition(4 * width(rows), "pair").select("blob_a", "blob")
+
+
+def near_links(classes: DataFrame, radius: int, block: int = 8192) -> DataFrame:
+    """Links (a, b) that join every two values of classes.fp within the radius, in spanning forests of tiles.
+
+    A cell holds the values with the same population counts in the upper and the lower 32 bits; cells whose counts
+    differ by more than the radius are never compared.
+    """
+    cell = F.bit_count(F.shiftrightunsigned("fp", 32)) * 64 + F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    steps = [(p, q) for p in range(-radius, radius + 1) for q in range(abs(p) - radius, radius - abs(p) + 1)]
+
+    def near(c: Column) -> Column:
+        at = lambda p, q: F.when((F.floor(c / 64) + p).between(0, 32) & (c % 64 + q).between(0, 32), c + 64 * p + q)
+        return F.array(*[at(p, q) for p, q in steps])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +120,7 @@ def near_links(classes: DataFrame, radius: int, block: int = 8192) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return pairs.select("blob_a", "blob").mapInArrow(run, "a long, b long")
+    return tile_pairs(classes.select("fp", cell.cast("int").alias("cell")), ["fp"], near, block).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,10 +141,224 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     return prints.join(named, "fp").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that name their component, the least id of each, with all their columns. Rows of one id stay or go
-    together; null ids stay where no id of their component is known."""
-    found = near_duplicates(docs, radius, words, id_col, text_col)
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__named")).distinct()
-    named = materialise(named, "named").hint("shuffle_hash")  # one plan at any size: the ids kept grow with the input
-    return docs.join(named, F.col(id_col).cast("long").eqNullSafe(F.col("__named")), "left_semi")
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits from hashes."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles one after another, and how many each text has; repeats included.
+
+    A-Z are lowered and texts cut at ASCII white space. A shingle's hash mixes the XXH64 of its words, each distinct
+    word hashed once. Fewer words: the whole sequence is the shingle; no words, null texts: none.
+    """
+    from xxhash import xxh64_intdigest
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten().dictionary_encode()
+    distinct = flat.dictionary.cast(pa.binary()).to_pylist()
+    code, at = np.fromiter(map(xxh64_intdigest, distinct), np.uint64, len(distinct)), flat.indices.to_numpy()
+    real = np.fromiter(map(bool, distinct), bool, len(distinct))[at]
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)])
+    n = np.diff(np.concatenate([[0], np.cumsum(real)])[cuts])
+    start, w = np.cumsum(n) - n, code[at[real]]
+    sizes = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+    first = np.cumsum(sizes) - sizes
+    out, h = np.empty(int(sizes.sum()), np.uint64), np.zeros(len(w) + 1, np.uint64)
+    for k in range(1, words + 1):
+        h = mixed((h[: len(w) - k + 1] + w[k - 1 :]) * np.uint64(0x9E3779B97F4A7C15))
+        short = (n == k) if k < words else np.zeros(len(n), bool)
+        out[first[short]] = h[start[short]]
+    whole = n >= words
+    long = sizes[whole]
+    out[np.repeat(first[whole] - (np.cumsum(long) - long), long) + np.arange(long.sum())] = h[np.repeat(start[whole] - (np.cumsum(long) - long), long) + np.arange(long.sum())]
+    return out, sizes
+
+
+def wide_print(held: np.ndarray) -> np.ndarray:
+    """128-bit SimHash, in two words, of a set of shingle hashes: a bit is set if it is in over half of them."""
+    both = np.column_stack([held, mixed(held ^ np.uint64(0x5851F42D4C957F2D))])
+    count = np.zeros(128, np.int64)
+    for k in range(0, len(both), 8192):
+        count += np.unpackbits(both[k : k + 8192].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * count > len(held), bitorder="little").view("<u8")
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """A table of each row's set of distinct shingles: doc, name (a hash of the set, 0 for none), n (shingles), s0 and s1
+    (the set's 128-bit SimHash), held (32 bits of each hash, sorted)."""
+    bound_batches(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for part in steps_of(batches, 1):
+            flat, sizes = shingles(part.column(1), words)
+            rows = []
+            for a, b in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+                held = np.unique(flat[a:b])
+                if len(held):
+                    rows.append((xxh64_intdigest(held.tobytes()), len(held), *wide_print(held).tolist(), (held >> np.uint64(32)).astype("<u4").tobytes()))
+                else:
+                    rows.append((0, 0, 0, 0, b""))
+            name, n, s0, s1, held = zip(*rows, strict=True)
+            words_of = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), words_of(name), pa.array(n, pa.int64()), words_of(s0), words_of(s1), pa.array(held, pa.binary())], ["doc", "name", "n", "s0", "s1", "held"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return materialise(rows.mapInArrow(run, "doc long, name long, n long, s0 long, s1 long, held binary"), "shingles")
+
+
+class Tile:
+    """Sets of one tile, by size: n, name, s0, s1, and degree and part, if they are known yet."""
+
+    COLUMNS = ("n", "name", "s0", "s1", "degree", "part")
+
+    def __init__(self, blob: bytes, columns: int):
+        self.n, self.name, s0, s1, *more = np.frombuffer(blob, np.int64).reshape(columns, -1)
+        self.s0, self.s1 = s0.view(np.uint64), s1.view(np.uint64)
+        self.degree, self.part = more or (None, None)
+
+    def near(self, other: Tile, radius: int, least: float, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place here, place there, differing bits) of the pairs of different sets within the radius whose sizes allow the
+        similarity, a run of rows here at a time."""
+        a = 0
+        while a < len(self.n):
+            low = int(np.searchsorted(other.n, least * self.n[a] - 1e-9))
+            b = min(len(self.n), a + max(1, step // max(1, len(other.n) - low)))
+            high = int(np.searchsorted(other.n, self.n[b - 1] / least + 1e-9, "right"))
+            apart = np.bitwise_count(self.s0[a:b, None] ^ other.s0[None, low:high])
+            apart += np.bitwise_count(self.s1[a:b, None] ^ other.s1[None, low:high])
+            u, v = np.nonzero(apart <= radius)
+            d = apart[u, v]
+            u, v = u + a, v + low
+            n, m = self.n[u], other.n[v]
+            fits = (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (self.name[u] != other.name[v])
+            yield u[fits], v[fits], d[fits]
+            a = b
+
+    def edges(self, other: Tile, radius: int, least: float, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Names of sets here and near ones there, of other parts: for each set the `few` nearest and the `few` with the
+        most near sets themselves."""
+        for u, v, d in self.near(other, radius, least):
+            other_part = self.part[u] != other.part[v]
+            u, v, d = u[other_part], v[other_part], d[other_part]
+            keep = np.zeros(len(u), bool)
+            for by in (d.astype(np.int64), -other.degree[v]):
+                order = np.lexsort((other.name[v], by, u))
+                place = np.arange(len(u)) - np.searchsorted(u[order], u[order])
+                keep[order[place < few]] = True
+            yield self.name[u[keep]], other.name[v[keep]]
+
+
+def similar_tiles(sets: DataFrame, least: float, columns: int, block: int) -> DataFrame:
+    """Pairs of tiles of sets whose sizes may be within the similarity: cells of sizes that grow by 1 / least."""
+    cell = F.floor(F.log("n") / F.lit(log(1 / least)) + 1e-9).cast("int")
+    return tile_pairs(sets.select(*Tile.COLUMNS[:columns], cell.alias("cell")), list(Tile.COLUMNS[:columns]), lambda c: F.array(c, c + 1), block)
+
+
+def near_sets(sets: DataFrame, radius: int, least: float, block: int) -> DataFrame:
+    """name and degree of the sets that have near ones: as many as there are within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = Tile(x, 4), Tile(y, 4)
+                here, there = np.zeros(len(a.n), np.int64), np.zeros(len(b.n), np.int64)
+                for u, v, _ in a.near(b, radius, least):
+                    here += np.bincount(u, minlength=len(here))
+                    there += np.bincount(v, minlength=len(there))
+                names, degrees = (a.name, here) if x == y else (np.concatenate([a.name, b.name]), np.concatenate([here, there]))
+                if degrees.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(names[degrees > 0]), pa.array(degrees[degrees > 0])], ["name", "degree"])
+
+    return similar_tiles(sets, least, 4, block).mapInArrow(run, "name long, degree long").groupBy("name").agg(F.sum("degree").alias("degree"))
+
+
+def near_edges(sets: DataFrame, radius: int, least: float, few: int, block: int) -> DataFrame:
+    """Pairs (a, b) of names, a < b, that Tile.edges picks for each set in each pair of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = Tile(x, 6), Tile(y, 6)
+                for one, two in [(a, b)] if x == y else [(a, b), (b, a)]:
+                    for u, v in one.edges(two, radius, least, few):
+                        if len(u):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+    return similar_tiles(sets, least, 6, block).mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of names whose sets have the Jaccard similarity; held: name, held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y))
+                keep[k] = both >= least * (len(x) + len(y) - both) - 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    one, two = (held.select(F.col("name").alias(c), F.col("held").alias(f"held_{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long")
+
+
+def similar_links(rows: DataFrame, least: float, radius: int, few: int, block: int) -> DataFrame | None:
+    """Verified links (a, b) of names in a table of shingle_sets; None for none.
+
+    A first pass over all tiles counts the near sets of each set. The next ones take only sets that have some, and
+    verify, for each, near sets of other parts: `few` nearest ones and `few` of the highest count, in each pair of
+    tiles. A set with at most `few` near ones is through after one pass, as all of them were verified. Sets with more
+    go on in further passes, with eight times as many each, until no pass finds a link between two parts. So a large
+    group of near copies becomes one part by its hubs, without its pairs.
+    """
+    sets = materialise(rows.where("n > 0").groupBy("name").agg(*[F.min(c).alias(c) for c in ("n", "s0", "s1")]), "sets")
+    busy = materialise(sets.join(near_sets(sets, radius, least, block), "name"), "near")
+    if busy.isEmpty():
+        return None
+    held = materialise(rows.select("name", "held").join(busy.select("name"), "name", "left_semi").groupBy("name").agg(F.min("held").alias("held")), "held")
+    links = checked = None
+    done = 0
+    while not (busy := busy.where(F.col("degree") > done)).isEmpty():
+        parts = components(links, "a", "b") if links is not None else None
+        placed = busy.join(parts, busy.name == parts.node, "left").withColumn("part", F.coalesce("component", "name")) if parts is not None else busy.withColumn("part", F.col("name"))
+        edges = near_edges(placed, radius, least, few, block)
+        edges = materialise(edges if checked is None else edges.join(checked, ["a", "b"], "left_anti"), "edges")
+        found = materialise(verified(edges, held, least), "links")
+        if found.isEmpty():
+            break
+        links, checked = (found, edges) if links is None else (links.unionAll(found), checked.unionAll(edges))
+        done, few = few, 8 * few
+    return links
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 34, few: int = 8, id_col: str = "doc_id", text_col: str = "text", block: int = 8192) -> DataFrame:
+    """Rows of docs that name their component, the least id of each, with all their columns.
+
+    Components are of texts linked by a Jaccard similarity of `least` or more between their sets of `words`-word
+    shingles. Candidates are pairs within `radius` of the 128 bits of the sets' SimHash, found by comparing tiles;
+    each link is then verified by both sets (32 bits of each hash). A similarity of 0.8 differs in 19 bits on average,
+    with a deviation of 4, so the default radius misses less than one such pair in a thousand, and fewer above.
+
+    Null, empty and blank texts are one component. Rows of one id stay or go together; null ids stay where no id of
+    their component is known. An empty table gives no rows.
+    """
+    rows = shingle_sets(docs, words, id_col, text_col)
+    links = similar_links(rows, least, radius, few, block)
+    classes = rows.groupBy(F.col("name").alias("set")).agg(F.min("doc").alias("least"))
+    if links is None:
+        part = classes.withColumn("component", F.col("set"))
+    else:
+        member = components(links, "a", "b")
+        part = classes.join(member, classes.set == member.node, "left").select("set", "least", F.coalesce("component", "set").alias("component"))
+    part = materialise(part, "classes")
+    ids = part.groupBy("component").agg(F.min("least").alias("component_id"))
+    stay = materialise(part.join(ids, "component").where(F.col("least").eqNullSafe(F.col("component_id"))).select("set", "component_id"), "stay")
+    named = rows.select("doc", "name").join(stay, F.col("name") == F.col("set")).where(F.col("doc").eqNullSafe(F.col("component_id")))
+    kept = materialise(named.select(F.col("doc").alias("__named")).distinct(), "named").hint("shuffle_hash")  # one plan at any size: the ids kept grow with the input
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__named")), "left_semi")
