@@ -3,6 +3,7 @@
 import json
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from orrery import fixed
@@ -106,6 +107,33 @@ def test_tool_schemas_are_json():
     assert [x["function"]["name"] for x in json.loads(fixed.TOOLS[2])] == ["geocode", "cyclic_order"]
 
 
-@pytest.mark.parametrize(("text", "end"), [("{}", 2), ('{"a":"}"}x', 9), ('{"a":"\\"}"}', 11), ("{", -1)])
+@pytest.mark.parametrize(("text", "end"), [("{}", 2), ('{"a":"}"}x', 9), ('{"a":"\\"}"}', 11), ("{", -1), ('{"a', -1), ("{" * 200 + "}" * 200 + "}", 400), ("{" * 50 + "}" * 49, -1)])
 def test_braces(text, end):
-    assert c.matching_brace(text, 0) == end
+    found = regex.match(c.OBJECT, text, regex.DOTALL)
+    assert (found.end() if found else -1) == end
+
+
+@pytest.mark.parametrize(
+    ("text", "names", "narration"),
+    [
+        ('<tool_call>{"name":"f"} and so on', ["f"], "and so on"),
+        ('<tool_call>{"name":"f"}' + " " * 31 + "</tool_call>.", ["f"], "."),
+        ('<tool_call>{"name":"f"}' + "x" * 32 + "</tool_call>.", ["f"], "x" * 32 + "</tool_call>."),
+        ('<tool_call>{bad}</tool_call> <tool_call>{"name":"g"}</tool_call>', ["g"], "<tool_call>{bad}</tool_call>"),
+        ('<tool_call>{"name":3}</tool_call><tool_call>{"name":"g"}</tool_call>', ["g"], '<tool_call>{"name":3}</tool_call>'),
+        ('<tool_call>{"name":"f" <tool_call>{"name":"g"}</tool_call>', [], '<tool_call>{"name":"f" <tool_call>{"name":"g"}</tool_call>'),
+        ('<tool_call>\t{"name":"f","arguments":[1]}\n</tool_call>', ["f"], ""),
+        ('<tool_call>[{"name":"f"}]</tool_call>', [], '<tool_call>[{"name":"f"}]</tool_call>'),
+        ('{"name":"f"}', [], '{"name":"f"}'),
+        ("", [], ""),
+    ],
+)
+def test_odd_calls(text, names, narration):
+    calls, rest = c.extract(text)
+    assert [k["name"] for k in calls] == names and rest == narration
+    assert all(k["arguments"] == "{}" for k in calls)
+
+
+def test_other_markers():
+    assert c.extract('a [C]{"name":"f"}[/C]', " [C]\n", "[/C]") == ([{"name": "f", "arguments": "{}"}], "a")
+    assert c.extract('a [C]{"name":"f"} b', "[C]", "") == ([{"name": "f", "arguments": "{}"}], "a  b")
