@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -48,6 +48,53 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated once, however often it is used: a lambda's argument is not expanded again."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def in_blocks(values: Column, each: Callable[[Column], Column]) -> Column:
+    """An array cut into blocks of about the root of its size, with each(block) in the place of each; empty for empty."""
+
+    def cut(v: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / n), F.lit(0)).cast("int")), lambda b: each(F.slice(v, b * n + 1, n)))
+        return bind(F.greatest(side, F.lit(1)), blocks)
+
+    return bind(values, lambda v: F.filter(cut(v), lambda _: F.size(v) > 0))
+
+
+def sums_before(values: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    An aggregate copies the array it makes at every step, so one over all n values takes n squared steps. Sums are made
+    within blocks of about the root of n values, and over the blocks' totals: n to the power 1.5.
+    """
+    zero = F.lit(0).cast("long")
+
+    def plain(v: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(v, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def join(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x))
+        return F.flatten(F.zip_with(blocks, plain(totals), lambda b, t: F.transform(plain(b), lambda x: x + t)))
+
+    return bind(in_blocks(F.transform(values, lambda x: x.cast("long")), lambda b: b), join)
+
+
+def pieces(text: Column, spans: Column) -> Column:
+    """Parts of a text at spans (start from 0, length) in order of start. A substring is sought from the text's beginning, so
+    each block of spans is cut out first and its spans within that."""
+
+    def of(block: Column) -> Column:
+        first, last = F.get(block, F.lit(0)), F.get(block, F.size(block) - 1)
+        whole = F.substring(text, (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
+        return bind(whole, lambda w: F.transform(block, lambda s: F.substring(w, (s["start"] - first["start"] + 1).cast("int"), s["length"].cast("int"))))
+
+    return F.flatten(in_blocks(spans, lambda b: bind(b, of)))
+
+
 def bound_batches(df: DataFrame, mb: int = 16) -> None:
     """Holds the Arrow batches that Python workers of this session get to about `mb` MB, whatever their rows hold."""
     conf = df.sparkSession.conf

@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: window minima of line hashes, windows joined to their first place, runs of them deleted.
+"""Line dedup by winnowing: minima of windows of line hashes, joined by place and extended both ways; later runs go.
 
 Only DataFrame functions; no Python runs on the executors.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import bind, materialise
 
 
 def _lines(text: Column) -> Column:
@@ -20,29 +20,49 @@ def _has_words(line: Column, words: int) -> Column:
     return (F.length(line) >= 2 * words - 1) & (F.size(F.split(line, r"\s+")) >= words)
 
 
-def windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
-    """Windows of `window` lines that are not blank and have `words` words or more: doc, print (hash of the text), i
-    (number of the window), at (places of its lines), key (their hashes), low (the least of them) and low_at (its last place)."""
+def fingerprints(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+    """Winnowed lines, among those that are not blank and have `words` words or more: in every window of `window` lines the
+    least hash is a fingerprint, of equal ones the last, and windows that pick the same line share it.
+
+    doc, print (hash of the text), low (the fingerprint), pos (its line, from 1), first (first line of the first window that
+    picks it) and lines (at, hash): the lines of all windows that pick it. Any run of `window` lines that stands twice
+    has the same fingerprint in both places.
+    """
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("print"), _lines(F.col(text_col)).alias("l"))
-    hashed = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda x: (x["line"] != "") & _has_words(x["line"], words) if words else x["line"] != "")
-    rows = rows.select("doc", "print", F.transform(hashed, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("hash"))).alias("h")).where(F.size("h") >= window)
-    rows = rows.select("doc", "print", F.col("h.at").alias("ats"), F.col("h.hash").alias("hashes"), F.explode(F.sequence(F.lit(1), F.size("h") - window + 1)).alias("i"))
-    rows = rows.select("doc", "print", "i", F.slice("ats", F.col("i"), window).alias("at"), F.slice("hashes", F.col("i"), window).alias("key"))
-    rows = rows.withColumn("low", F.array_min("key"))
-    last = F.size("key") - F.array_position(F.reverse("key"), F.col("low")).cast("int") + 1
-    return rows.withColumn("low_at", F.element_at("at", last))
+    told = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda x: (x["line"] != "") & _has_words(x["line"], words) if words else x["line"] != "")
+    hashed = F.transform(told, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("hash")))
+
+    def picked(h: Column) -> Column:
+        def least(i: Column) -> Column:
+            low = F.array_min(F.transform(F.slice(h, i, window), lambda x, k: F.struct(x["hash"].alias("hash"), (-k).alias("back"))))
+            return bind(low, lambda m: F.struct(m["hash"].alias("low"), (i - m["back"]).alias("pos"), i.alias("first")))
+
+        def lines(w: Column) -> Column:
+            new = F.filter(w, lambda x, k: (k == 0) | (F.get(w, F.greatest(k - 1, F.lit(0)))["pos"] != x["pos"]))
+            until = lambda n, k: F.coalesce(F.get(n, k + 1)["first"], F.size(w) + 1)
+            held = lambda n: F.transform(n, lambda x, k: F.struct(x["low"].alias("low"), x["pos"].alias("pos"), x["first"].alias("first"), F.slice(h, x["first"], until(n, k) - x["first"] + window - 1).alias("lines")))
+            return bind(new, held)
+
+        windows = F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), least)
+        return F.when(F.size(h) >= window, bind(windows, lines))
+
+    rows = rows.select("doc", "print", F.explode(bind(hashed, picked)).alias("f"))
+    return rows.select("doc", "print", "f.low", "f.pos", "f.first", "f.lines")
 
 
 def repeated_windows(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
     """Windows that occur earlier, with their first place: doc, print, i, at, from_doc, from_print, from_i.
 
-    Only windows whose fingerprint, the minimum, stands in two places are joined by their lines' hashes. Both sides of
-    each join are written tables, so that AQE can split the rows of a hot fingerprint.
+    Fingerprints are joined by their hash; those that stand in one place only end there. The others are extended both
+    ways, to the windows that picked them, and matched to the first place of the same lines. Both sides of each join
+    are written tables, so that AQE can split the rows of a hot fingerprint.
     """
-    w = materialise(windows(docs, window, id_col, text_col, words), "windows")
-    place = F.struct("doc", "print", "low_at")
-    twice = materialise(w.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("low"), "fingerprints")
-    held = materialise(w.join(twice, "low", "left_semi").select("doc", "print", "i", "at", "key"), "candidates")
+    f = materialise(fingerprints(docs, window, id_col, text_col, words), "fingerprints")
+    place = F.struct("doc", "print", "pos")
+    twice = materialise(f.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("low"), "twice")
+    joined = f.join(twice, "low", "left_semi").select("doc", "print", "first", "lines")
+    around = F.transform(F.sequence(F.lit(1), F.size("lines") - window + 1), lambda k: bind(F.slice("lines", k, window), lambda w: F.struct((F.col("first") + k - 1).alias("i"), w["at"].alias("at"), w["hash"].alias("key"))))
+    held = materialise(joined.select("doc", "print", F.explode(around).alias("w")).select("doc", "print", "w.*"), "candidates")
     me = F.struct("doc", "print", "i")
     first = materialise(held.groupBy("key").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("not (first <=> last)").select("key", "first"), "first")
     later = held.join(first, "key").where(~me.eqNullSafe(F.col("first")))
@@ -68,8 +88,9 @@ def dedup_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_c
     if long_words, of every single line of so many words or more that stands earlier, too.
 
     Lines are compared without surrounding spaces; blank lines are left out of runs and stay. Every window of a
-    repeated run has the same minimum wherever it stands, so no such run is missed; it is matched to the first place
-    of that window, so a hot run costs one match a place and never all pairs. Runs overlap with their own copies only
+    repeated run has the same fingerprint wherever it stands, so no such run is missed; fingerprints that stand twice are
+    extended both ways and matched to the first place of the same lines, so a hot run costs one match a place and never
+    all pairs. Runs overlap with their own copies only
     from the first place on, which stays.
 
     Null texts stay null, empty ones empty; null ids come before all others. Rows with equal id and text are one
@@ -82,8 +103,8 @@ def dedup_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_c
     gone = runs.groupBy(F.col("doc").alias("__doc"), F.col("print").alias("__print")).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__gone"))
     own = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__print")) & F.col(text_col).isNotNull()
     joined = docs.join(gone, own, "left")
-    l = _lines(F.col(text_col))  # noqa: E741
-    kept = F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(l, i)), "\n"))
-    more = [F.coalesce(F.size(l), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_deleted")] if counts else []
+    left = lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("__gone")), lambda i: F.get(l, i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(bind(_lines(F.col(text_col)), left))
+    n_lines = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
+    more = [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_deleted")] if counts else []
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *more)

@@ -37,3 +37,29 @@ def test_both_rules(spark):
         want[i] = "\n".join(p for k, p in enumerate(parts) if k not in gone)
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), long_words=50)
     assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_many_lines_in_one_text(spark):
+    """Time grows as the number of lines, not as its square."""
+    n = 20_000
+    text = "\n".join(f"line {i}" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, text + "\nend"), (3, "\n".join(f"line {i if i % 3 else -i}" for i in range(n)))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in lines.dedup_lines(df, counts=True).collect()}
+    assert got[1] == (n, 0, text) and got[2] == (n + 1, n, "end")
+    kept = got[3][2].split("\n")
+    assert got[3][1] == n - len(kept) and set(kept) == {f"line -{i}" for i in range(3, n, 3)} | {f"line {n - 1}"}
+
+
+def test_fingerprints_are_window_minima(spark):
+    rng = random.Random(5)
+    text = "\n".join(rng.choice(["a", "b", "c", "", "d", "e"]) for _ in range(60))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    full = [p for p in text.split("\n") if p]
+    hashes = [r.h for r in spark.createDataFrame([(i, p) for i, p in enumerate(full)], "i int, p string").selectExpr("i", "xxhash64(p) as h").orderBy("i").collect()]
+    for w in (1, 2, 4):
+        want = {}
+        for i in range(len(full) - w + 1):
+            pos = max(range(i, i + w), key=lambda k: (-hashes[k], k))
+            want.setdefault(pos + 1, []).append(i + 1)
+        got = {r.pos: r for r in lines.fingerprints(df, w).collect()}
+        assert {p: (r.low, r.first, len(r.lines) - w + 1) for p, r in got.items()} == {p: (hashes[p - 1], v[0], len(v)) for p, v in want.items()}
