@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import bind, sums_before
+
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds of spans in order. The first three are reported wherever they stand; the others are weak candidates.
 KINDS = ("assign", "access", "hex", "keyid", "blob", "endpoint")
@@ -31,20 +33,15 @@ def spans(text: Column, kind: str) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else whole
     triples = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), kept.alias("kept"))
-    found = F.aggregate(
-        triples,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["whole"])).alias("at"),
-            F.when(
-                _long_enough(x["kept"], kind),
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(KINDS.index(kind)).alias("nr"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["gap"]) + F.length(x["whole"])).alias("end")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    sizes = F.transform(triples, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), _long_enough(x["kept"], kind).alias("long")))
+
+    def placed(z: Column) -> Column:
+        before = sums_before(F.transform(z, lambda x: x["gap"] + x["whole"]))
+        start = lambda x, n: (n + x["gap"]).cast("int")
+        each = F.zip_with(z, before, lambda x, n: F.struct(start(x, n).alias("start"), F.lit(KINDS.index(kind)).alias("nr"), F.lit(kind).alias("kind"), (start(x, n) + x["whole"]).alias("end"), x["long"].alias("long")))
+        return F.transform(F.filter(each, lambda x: x["long"]), lambda x: F.struct(x["start"].alias("start"), x["nr"].alias("nr"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    found = bind(sizes, placed)
     hints = HINTS.get(kind)
     may = F.rlike(text, F.lit(pattern))
     if hints:
@@ -64,9 +61,9 @@ def _long_enough(kept: Column, kind: str) -> Column:
 def scan(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of secrets of each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Weak parts (other access identifiers, bare 40-character blobs, endpoints) are joined with the parts that start at
-    most `scope` code points before or after them, by a window over the document's parts with a range frame: an
-    interval join that never makes pairs. A weak identifier needs a secret (an assignment or a blob) there, a blob
+    Weak parts (other access identifiers, bare 40-character blobs, endpoints) are joined with the parts at most `scope`
+    code points away, from end to start, by running extremes over the document's parts in order: an interval join that
+    never makes pairs. A weak identifier needs a secret (an assignment or a blob) there, a blob
     needs an identifier, an endpoint needs both.
 
     Null and empty texts: no spans, the digest of the empty string. Null ids keep their row; each repeated row is a
@@ -76,9 +73,17 @@ def scan(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
     parts = rows.select("row", "doc_id", F.explode_outer(F.concat(*[spans(F.col("t"), k) for k in KINDS])).alias("s"))
     parts = parts.select("row", "doc_id", "s.start", "s.nr", "s.kind", "s.end")
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    holds = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    linked = parts.select("*", holds("access", "keyid").alias("id_near"), holds("assign", "blob").alias("secret_near"))
+    ordered = Window.partitionBy("row").orderBy("start")
+    before, after = ordered.rangeBetween(Window.unboundedPreceding, 0), ordered.rangeBetween(0, Window.unboundedFollowing)
+
+    def near(*kinds: str) -> Column:
+        """Whether a span of the kinds ends at most `scope` before this one's start, or starts as much after its end; spans that overlap are near."""
+        of = F.col("kind").isin(*kinds)
+        left = F.max(F.when(of, F.col("end"))).over(before) >= F.col("start") - scope
+        right = F.min(F.when(of, F.col("start"))).over(after) <= F.col("end") + scope
+        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+
+    linked = parts.select("*", near("access", "keyid").alias("id_near"), near("assign", "blob").alias("secret_near"))
     weak = {"keyid": F.col("secret_near"), "blob": F.col("id_near"), "endpoint": F.col("id_near") & F.col("secret_near")}
     keep = F.col("nr") < 3
     for kind, rule in weak.items():

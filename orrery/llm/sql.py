@@ -36,14 +36,17 @@ SELECT doc_id, {nr} AS nr, '{kind}' AS kind, s AS start, s + length(w) AS "end"
     coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda g: length(g))), 0))) AS s
   FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS ws, string_split_regex(t, {pattern}) AS gaps FROM d)
 ) WHERE {kept}""")
-    holds = lambda *k: f"max(CASE WHEN kind IN ({', '.join(map(_quoted, k))}) THEN 1 ELSE 0 END) OVER near"
+    def near(*k: str) -> str:
+        of = f"kind IN ({', '.join(map(_quoted, k))})"
+        return f"""(coalesce(max(CASE WHEN {of} THEN "end" END) OVER (PARTITION BY doc_id ORDER BY start) >= start - 256, false)
+    OR coalesce(min(CASE WHEN {of} THEN start END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= "end" + 256, false))"""
+
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 parts AS ({" UNION ALL ".join(kinds)}),
-linked AS (SELECT *, {holds("access", "keyid")} AS id_near, {holds("assign", "blob")} AS secret_near FROM parts
-  WINDOW near AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 256 PRECEDING AND 256 FOLLOWING)),
+linked AS (SELECT *, {near("access", "keyid")} AS id_near, {near("assign", "blob")} AS secret_near FROM parts),
 kept AS (SELECT *, kind || ':' || start::BIGINT || ':' || "end"::BIGINT AS shown FROM linked
-  WHERE nr < 3 OR (kind = 'keyid' AND secret_near = 1) OR (kind = 'blob' AND id_near = 1) OR (kind = 'endpoint' AND id_near = 1 AND secret_near = 1))
+  WHERE nr < 3 OR (kind = 'keyid' AND secret_near) OR (kind = 'blob' AND id_near) OR (kind = 'endpoint' AND id_near AND secret_near))
 SELECT d.doc_id, count(*) FILTER (nr = 0) AS n_assign, count(*) FILTER (nr = 1) AS n_access, count(*) FILTER (nr = 2) AS n_hex,
   sha256(coalesce(string_agg(shown, ',' ORDER BY start, nr) FILTER (nr < 3), '')) AS base_sha256,
   coalesce(string_agg(shown, ',' ORDER BY start, nr), '') AS spans
