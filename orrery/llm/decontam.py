@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,39 +13,51 @@ from pyspark.sql import functions as F
 
 from ._common import bound_batches, gram_hashes
 
+#: Bytes of the shortest grams.
+GRAM = 8
+
 
 def normal(text: bytes) -> bytes:
     """A-Z lowered and runs of ASCII white space as one space."""
     return b" ".join(text.lower().split())
 
 
-def align(item: np.ndarray, text: np.ndarray, budget: int, free_start: bool = True) -> tuple[int, int]:
-    """Least edits of item against a part of text that ends anywhere (and starts anywhere, if free_start), and where that ends.
+def align(item: np.ndarray, text: np.ndarray, budget: int, low: int, high: int, free_start: bool) -> tuple[int, int]:
+    """Least edits of item against a part of text that ends anywhere (and starts anywhere, if free_start; else at 0), on
+    the diagonals from low to high (place in text less place in item), and where that ends.
 
-    Row by row over a band: a window of the text as wide as the budget allows. Above the budget: (budget + 1, 0).
+    Row by row over the band, so len(item) x (high - low) steps. Above the budget: (budget + 1, 0).
     """
-    m, n = len(item), len(text)
-    at = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64) if free_start else at.copy()
+    m, n, far = len(item), len(text), budget + 1
+    d = np.arange(high - low + 1, dtype=np.int32)
+    at = d + low  # bytes of text used up on each diagonal, before the first byte of item
+    row = np.where((at >= 0) & (at <= n), 0 if free_start else at, far).astype(np.int32)
+    padded = np.full(m + len(d) + 1, 256, np.int16)  # text from place low on, and what lies outside of it
+    a, b = max(0, -low), min(len(padded), n - low)
+    if a < b:
+        padded[a:b] = text[low + a : low + b]
     for i in range(m):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (text != item[i]), row[1:] + 1)
-        row = np.minimum.accumulate(new - at) + at
+        new = row + (padded[i : i + len(d)] != item[i])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        new -= d
+        np.minimum.accumulate(new, out=new)
+        new += d
+        end = i + 1 + low
+        if end < 0:
+            new[:-end] = far
+        if end + len(d) - 1 > n:
+            new[max(0, n - end + 1) :] = far
+        np.minimum(new, far, out=row)
         if row.min() > budget:
-            return budget + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
+            return far, 0
+    best = int(row.argmin())
+    return int(row[best]), m + low + best
 
 
 @dataclass
-class Items:
-    """Benchmark items with their q-grams, sorted by hash."""
+class Grams:
+    """q-grams of the items that use grams of one length, sorted by hash."""
 
-    ids: list[int | None]
-    texts: list[np.ndarray]
-    budgets: np.ndarray
-    needed: np.ndarray
     q: int
     hashes: np.ndarray
     item: np.ndarray
@@ -52,51 +65,84 @@ class Items:
     maybe: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, bytes]], rate: float, q: int) -> Items:
-        rows = [(i, t) for i, t in rows if len(t) >= q]
-        texts = [np.frombuffer(t, np.uint8) for _, t in rows]
-        size = np.array([len(t) for t in texts], np.int64)
-        budgets = np.minimum((size * rate).astype(np.int64), (size - q) // q)  # beyond that the lemma asks for no shared q-gram
-        hashes = [gram_hashes(t, q) for t in texts]
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    def of(cls, q: int, texts: list[np.ndarray], which: list[int]) -> Grams:
+        hashes = [gram_hashes(texts[i], q) for i in which]
+        size = np.array([len(h) for h in hashes], np.int64)
+        flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
-        item = np.repeat(np.arange(len(texts)), size - q + 1)[order]
-        place = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else np.empty(0, np.int64)
+        place = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         maybe = np.zeros(1 << 20, bool)
         maybe[flat >> np.uint64(44)] = True
-        return cls([i for i, _ in rows], texts, budgets, size - q + 1 - q * budgets, q, flat[order], item, place, maybe)
+        return cls(q, flat[order], np.repeat(np.array(which, np.int32), size)[order], place[order], maybe)
 
-    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in x, item, place in it) of each shared q-gram."""
+    def hits(self, x: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in x, item, place in it) of each shared q-gram, about `most` at a time."""
         h = gram_hashes(x, self.q)
         p = np.nonzero(self.maybe[h >> np.uint64(44)])[0]
-        a, b = np.searchsorted(self.hashes, h[p]), np.searchsorted(self.hashes, h[p], "right")
-        n = b - a
-        at = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(p, n), self.item[at], self.place[at]
+        a = np.searchsorted(self.hashes, h[p])
+        n = np.searchsorted(self.hashes, h[p], "right") - a
+        p, a, n = p[n > 0], a[n > 0], n[n > 0]
+        ends, k = np.cumsum(n), 0
+        while k < len(p):
+            e = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, "right")))
+            some = n[k:e]
+            at = np.repeat(a[k:e], some) + np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+            yield np.repeat(p[k:e], some), self.item[at], self.place[at]
+            k = e
+
+
+@dataclass
+class Items:
+    """Benchmark items, what edits each may have, and how they are sought.
+
+    An item of m bytes and e edits keeps m - q + 1 - q e of its q-grams, so grams of q bytes ask for one at least where
+    m >= q (e + 1). Items that are too short for the common q use shorter grams; those under GRAM bytes are sought by
+    an automaton, as they are.
+    """
+
+    ids: list[int | None]
+    texts: list[np.ndarray]
+    budgets: np.ndarray
+    needed: np.ndarray
+    grams: list[Grams]
+    short: ahocorasick.Automaton | None
+
+    @classmethod
+    def of(cls, rows: list[tuple[int | None, bytes]], rate: float, q: int) -> Items:
+        rows = [(i, t) for i, t in rows if t]
+        texts = [np.frombuffer(t, np.uint8) for _, t in rows]
+        size = np.array([len(t) for t in texts], np.int64)
+        budgets = (size * rate).astype(np.int64)
+        own = np.minimum(q, size // (budgets + 1))
+        grams = [Grams.of(int(k), texts, np.nonzero(own == k)[0].tolist()) for k in np.unique(own[own >= GRAM])]
+        short = None
+        if (own < GRAM).any():
+            short = ahocorasick.Automaton()
+            for i in np.nonzero(own < GRAM)[0].tolist():
+                word = rows[i][1].decode("latin-1")
+                short.add_word(word, [*short.get(word, []), i])
+            short.make_automaton()
+        return cls([i for i, _ in rows], texts, budgets, size - own + 1 - own * budgets, grams, short)
 
     def regions(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of the items found in texts that lie from starts to ends in x."""
-        p, item, place = self.hits(x)
-        text = np.searchsorted(starts, p, "right") - 1
-        budget = self.budgets[item]
-        band, diagonal = 2 * (budget + 1), p - place + (1 << 20)
         out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for shift in (0, 1):  # two grids of bands, half a band apart: any budget-wide range of diagonals lies in one cell
-            cell = (diagonal + shift * (budget + 1)) // band
-            key = np.stack([text, item, cell])
-            order = np.lexsort(key[::-1])
-            key = key[:, order]
-            new = np.nonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))[0] if len(p) else np.empty(0, np.int64)
-            count = np.diff(np.append(new, len(p)))
-            for k in new[count >= self.needed[key[1, new]]]:
-                t, i, c = (int(v) for v in key[:, k])
-                e = int(self.budgets[i])
-                low = c * 2 * (e + 1) - shift * (e + 1) - (1 << 20)
-                a, b = max(int(starts[t]), low - e), min(int(ends[t]), low + 2 * (e + 1) + len(self.texts[i]) + e)
-                if got := self.verify(i, x[a:b], e):
-                    s, end, edits = got
-                    out.setdefault((t, i), []).append((edits, s + a - int(starts[t]), end + a - int(starts[t])))
+        for g in self.grams:
+            for t, i, c, shift in self.cells(g, x, starts):
+                e, begin, end = int(self.budgets[i]), int(starts[t]), int(ends[t])
+                low = c * 2 * (e + 1) - shift * (e + 1) - (1 << 20)  # of the cell's diagonals, by places in x
+                a, b = max(begin, low - e), min(end, low + 2 * (e + 1) + len(self.texts[i]) + e)
+                if got := self.verify(i, x[a:b], e, low - e - a, low + 2 * e + 1 + e - a):
+                    s, f, edits = got
+                    out.setdefault((t, i), []).append((edits, s + a - begin, f + a - begin))
+        if self.short is not None:
+            for t, (begin, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                text = x[begin:end].tobytes().decode("latin-1")
+                for last, which in self.short.iter(text):
+                    for i in which:
+                        first = last + 1 - len(self.texts[i])
+                        if not any(c.isalnum() or c > "\x7f" for c in text[max(0, first - 1) : first] + text[last + 1 : last + 2]):
+                            out.setdefault((t, i), []).append((0, first, last + 1))
         rows = []
         for (t, i), found in out.items():
             kept: list[tuple[int, int, int]] = []
@@ -106,16 +152,37 @@ class Items:
             rows += [(t, i, s, e, edits) for edits, s, e in kept]
         return sorted(rows)
 
-    def verify(self, i: int, window: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the item in the window, if its edits are within the budget."""
+    def cells(self, g: Grams, x: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, cell, grid) of the diagonal bands with as many shared q-grams as the item's edits leave. There are two
+        grids of bands 2 (e + 1) wide, half a band apart, so that any e + 1 diagonals side by side lie in one cell."""
+        n, width = len(self.texts), (len(x) + (1 << 20)) // 2 + 2
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        for p, item, place in g.hits(x):
+            text, e = np.searchsorted(starts, p, "right") - 1, self.budgets[item] + 1
+            for shift in (0, 1):
+                cell = (p - place + (1 << 20) + shift * e) // (2 * e)
+                found[shift].append(np.unique((text * n + item) * width + cell, return_counts=True))
+        for shift, parts in enumerate(found):
+            if not parts:
+                continue
+            key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key))
+            pair, cell = key // width, key % width
+            enough = count >= self.needed[pair % n]
+            yield from zip((pair[enough] // n).tolist(), (pair[enough] % n).tolist(), cell[enough].tolist(), [shift] * int(enough.sum()), strict=True)
+
+    def verify(self, i: int, window: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the item in the window on diagonals from low to high, if its edits are within the budget."""
         item = self.texts[i]
         at = window.tobytes().find(item.tobytes())
         if at >= 0:
             return at, at + len(item), 0
-        edits, end = align(item, window, budget)
+        if not budget:
+            return None
+        edits, end = align(item, window, budget, low, high, True)
         if edits > budget:
             return None
-        _, back = align(item[::-1], window[:end][::-1], budget, free_start=False)
+        _, back = align(item[::-1], window[:end][::-1], budget, -budget, budget, False)
         return end - back, end, edits
 
 
@@ -136,7 +203,7 @@ def found_in(index: Items, column: pa.Array, step: int = 2 << 20) -> Iterator[tu
 
 def blocks_of(benchmark: DataFrame, rate: float, q: int, item_col: str, item_text: str, block_mb: int) -> Iterator[Items]:
     """The benchmark in blocks of about block_mb MB; only one block at a time is on the driver."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("t")).where(F.octet_length("t") >= q).distinct()
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("t is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // (block_mb << 20)))
     for b in range(blocks):
@@ -149,12 +216,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int
 
     Both sides are normalised (A-Z lowered, white space as one space); start and end are bytes of the normalised
     text. An item of m bytes with e edits keeps m - q + 1 - q e of its q-grams, all on diagonals within e of each
-    other: bands with fewer shared q-grams are dropped, the others are aligned. The budget of an item is lowered to
-    what lets the lemma ask for one q-gram at least. Of overlapping finds of one item the one with the fewest edits
+    other: bands with fewer shared q-grams are dropped, the others are aligned within the band. Items too short for
+    the lemma to ask for one q-gram use shorter grams, down to 8 bytes; shorter ones have no edits and are sought as
+    whole words, as a few letters inside a word are no leak. Of overlapping finds of one item the one with the fewest edits
     counts. The benchmark is taken in blocks of about block_mb MB, one broadcast and one pass over the documents each.
 
-    Null and empty texts hold nothing; items with fewer than q bytes, null ones among them, take no part; repeated
-    items count once. Null ids are kept. Repeated documents give repeated rows. No finds, empty tables: no rows.
+    Null and empty texts hold nothing; null, empty and blank items take no part; repeated items count once. Null ids are kept. Repeated documents give repeated rows. No finds, empty tables: no rows.
     Other columns are not read.
     """
     bound_batches(docs)

@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,12 @@ def test_layouts(spark):
         ({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, "conversations", [("user", "h"), ("assistant", "g")]),
         ({"question": "q", "answer": "a"}, "question_answer", [("user", "q"), ("assistant", "a")]),
         ({"what": 1}, None, []),
+        ({"messages": [{"role": "user"}, {"content": "b", "tool_calls": [{"id": 1}]}, {"role": "assistant", "content": "c"}], "prompt": "p", "system": "s"}, "messages", [("user", ""), ("", "b"), ("assistant", "c")]),
+        ({"system": "s", "instruction": "i", "input": "n", "output": "o", "answer": "a"}, "system_instruction_input", [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")]),
+        ({"system": "s", "prompt": "p", "response": "r"}, "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ({"dialogue": {"id": 1, "turns": [{"speaker": {"role": "bot"}, "text": "x"}, {"speaker": None, "text": "y"}]}}, "dialogue_turns", [("assistant", "x"), ("", "y")]),
+        ({"dialogue": {"turns": "none"}}, None, []),
+        ({"messages": []}, None, []),
     ]
     rows = [(i, json.dumps(j)) for i, (j, _, _) in enumerate(records)] + [(90, None), (91, "{"), (92, "")]
     got = {r.conv_id: (r.layout, [(t.role, t.text) for t in r.turns]) for r in chat.turns_of_json(spark.createDataFrame(rows, "k long, j string"), "j", "k").collect()}
@@ -105,14 +112,40 @@ def test_layouts(spark):
     assert got[90] == got[91] == got[92] == (None, [])
 
 
-def edits(item, text):
-    row = [0] * (len(text) + 1)
+def test_row_layouts(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", "b", "x"), (1, 0, "user", "a", "y")], "conversation_id long, position int, role string, content string, prompt string")
+    got = chat.turns_of_rows(rows).collect()
+    assert [(r.conv_id, r.layout, [tuple(t) for t in r.turns]) for r in got] == [(1, "message_rows", [("user", "a"), ("assistant", "b")])]
+
+
+def test_many_turns_and_spans_in_one_text(spark):
+    """Time grows about as the number of turns and spans, not as its square."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    got = chat.digest(chat.format_turn_rows(rows)).first()
+    said = "".join(f"t{i}" for i in range(1, n, 2))
+    assert got.n_turns == n and (got.loss_chars, got.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    text = " ".join(f"token=abcdef{i:05d}" for i in range(n))
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = ",".join(f"assign:{18 * i}:{18 * i + 17}" for i in range(n))
+    assert r.n_assign == n and r.spans == want
+
+
+def test_scope_is_a_gap(spark):
+    long = "password=" + "Zz9." * 200
+    cases = [(long + " ASIAABCDEFGH12345", 2), ("ASIAABCDEFGH12345 " + long, 2), (long + " " * 256 + "ASIAABCDEFGH12345", 2), (long + " " * 257 + "ASIAABCDEFGH12345", 1), ("secret=x" + long + "/ASIAABCDEFGH12345" + "z" * 600, 2)]
+    got = secrets.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"))
+    assert {r.doc_id: len(r.spans.split(",")) for r in got.collect()} == {i: n for i, (_, n) in enumerate(cases)}
+
+
+def edits(item, text, anywhere=True):
+    row = [0 if anywhere else j for j in range(len(text) + 1)]
     for i, a in enumerate(item):
         new = [i + 1]
         for j, b in enumerate(text):
             new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
         row = new
-    return min(row)
+    return min(row) if anywhere else row[-1]
 
 
 def test_leaks(spark, docs, none):
@@ -129,7 +162,7 @@ def test_leaks(spark, docs, none):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit(1), "start": F.lit(2)})
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
     norm = lambda t: " ".join(t.lower().split()).encode()
-    want = {(str(d), str(i)) for d, t in rows for i, x in items if x and len(norm(x)) >= 12 and edits(norm(x), norm(t)) <= int(0.05 * len(norm(x)))}
+    want = {(str(d), str(i)) for d, t in rows for i, x in items if x and edits(norm(x), norm(t)) <= int(0.05 * len(norm(x)))}
     got = decontam.find_leaks(df, bench).collect()
     assert {(str(r.doc_id), str(r.item_id)) for r in got} == want
     texts = {str(d): norm(t) for d, t in rows}
@@ -145,6 +178,37 @@ def test_leaks(spark, docs, none):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_band_against_whole_table():
+    rng = random.Random(12)
+    for _ in range(300):
+        item = bytes(rng.choice(b"abc ") for _ in range(rng.randint(1, 24)))
+        text = bytearray(bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 12))) + item + bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 12))))
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(text) + 1)
+            text[k : k + rng.randint(0, 1)] = rng.choice([b"", b"x", b"ab"])
+        a, b = np.frombuffer(item, np.uint8), np.frombuffer(bytes(text), np.uint8)
+        for budget in (0, 2, 6):
+            want = edits(item, bytes(text))
+            got, end = decontam.align(a, b, budget, -len(item) - 1, len(text) + 1, True)
+            assert got == min(want, budget + 1)
+            if want <= budget:
+                back, start = decontam.align(a[::-1], b[:end][::-1], budget, -budget, budget, False)
+                part = bytes(text)[end - start : end]
+                assert back == want == edits(item, part, False)
+
+
+def test_short_items(spark):
+    """Items whose edits leave no gram of the common length, and those too short for any gram."""
+    items = [(1, "abcdefghij klmnopqrst"), (2, "zebra cow"), (3, "yak"), (4, "q"), (5, "twelve bytes"), (6, "twentythree bytes long!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (0, "x abcdefghijXklmnopqrst y"), (1, "abcdefghij klmnpqrst"), (2, "abcdeXfghij klmnopqrsXt"), (3, "a zebra  COW."), (4, "a Zebra cow b zebra cow"), (5, "kayak yaks"), (6, "the yak."),
+        (7, "yak"), (8, "q q"), (9, "qu"), (10, "TWELVE\nbytes"), (11, "twelve byte"), (12, "twentythree bytes long"), (13, "twenty three bytes lon!"),
+    ]
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1, 1), (1, 1, 1), (3, 2, 0), (4, 2, 0), (6, 3, 0), (7, 3, 0), (8, 4, 0), (10, 5, 0), (12, 6, 1)}
+
+
 def test_blocks_of_the_benchmark(spark):
     items = [(i, prose(3000 + i, 3000)) for i in range(40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
