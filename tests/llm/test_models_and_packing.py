@@ -1,5 +1,6 @@
 """op4 and op5."""
 
+import os
 import zlib
 from collections import Counter
 from math import exp, lgamma, log, log10, pi
@@ -95,22 +96,62 @@ def test_scores_are_those_of_the_tree(spark, docs, none):
     train = [norm(r.text) for r in rows if not held(r.doc_id)]
     words = Counter(w for t in train for w in [*t.split(), b"\n"])
     n, v = sum(words.values()), len(words)
-    score = tree_of([t + b"\n" for t in train], lm.DEPTH)
+    score = tree_of([t + b"\n" for t in train], 6)
     want, seen = {}, set()
     for r in rows:
         t = norm(r.text)
         tokens = [*t.split(), b"\n"]
         base = sum(log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
-        want[str(r.doc_id), len(tokens), sum(words[w] > 0 for w in tokens)] = (base, score(t + b"\n"))
+        want[str(r.doc_id), len(tokens), sum(words[w] > 0 for w in tokens)] = (base, score(t + b"\n"), len(t) + 1)
         seen.add(held(r.doc_id))
     assert seen == {True, False}
     got = lm.score(df).collect()
     assert len(got) == len(rows)
     for r in got:
-        base, total = want[str(r.doc_id), r.n_tokens, r.n_known]
+        base, total, size = want[str(r.doc_id), r.n_tokens, r.n_known]
         assert r.train_tokens == n and r.held_out == held(r.doc_id)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(total, rel=1e-5)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(total, rel=1e-9)
+        assert r.bits_per_byte == pytest.approx(-total / log10(2) / size, rel=1e-9)
     assert lm.score(none).count() == 0
+    parted = lm.score(df.repartition(7), gather=2).collect()  # several parts of a bucket
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in parted) == sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in got)
+
+
+@pytest.mark.parametrize("depth", [2, 4, 7])
+def test_depths(spark, depth):
+    texts = [(i, f"ab abc {i} abcd{'x' * (i % 3)} bcd") for i in range(12)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    score = tree_of([t.encode() + b"\n" for i, t in texts if not held(i)], depth)
+    for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string"), depth=depth).collect():
+        assert r.score == pytest.approx(score(dict(texts)[r.doc_id].encode() + b"\n"), rel=1e-9)
+    with pytest.raises(ValueError, match="depth"):
+        lm.score(spark.createDataFrame(texts, "doc_id long, text string"), depth=8)
+
+
+def test_runs_join_to_whole_texts():
+    rng = np.random.default_rng(5)
+    bodies = [bytes(rng.choice(list(b"abc "), n).astype(np.uint8)) for n in (0, 1, 7, 500, 30, 0, 64)]
+    for depth in (2, 6):
+        want = {}
+        for k, b in enumerate(bodies):
+            x = b"\n" * depth + b + b"\n"
+            want[k] = [int.from_bytes(x[j - depth : j][::-1] + x[j : j + 1], "big") for j in range(depth, len(x))]
+        for step in (16, 100, 10_000):
+            got = {}
+            for runs in lm.runs_of(bodies, depth, step):
+                g = lm.grams(runs, depth, table=64)
+                assert (np.diff(g.keys.astype(object)) > 0).all()
+                for k, part in zip(g.text.tolist(), np.split(g.keys[g.at], np.cumsum(g.sizes)[:-1]), strict=True):
+                    got.setdefault(k, []).extend(part.tolist())
+            assert got == want
+    x = np.sort(rng.integers(0, 1 << 62, 1000)).astype(np.uint64)
+    assert (lm.unpacked(lm.packed(x, True), True) == x).all() and len(lm.unpacked(lm.packed(x[:0]))) == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_tree_beats_the_base_on_held_out_text(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("tree"), F.sum("base_score").alias("base")).first()
+    assert got.tree > got.base
 
 
 def test_only_held_out_text(spark):
