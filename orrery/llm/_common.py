@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+try:
+    LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    LIBC = None
+
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: its lineage ends there, and it outlives executors."""
@@ -95,8 +101,16 @@ def pieces(text: Column, spans: Column) -> Column:
     return F.flatten(in_blocks(spans, lambda b: bind(b, of)))
 
 
-def bound_batches(df: DataFrame, mb: int = 16) -> None:
-    """Holds the Arrow batches that Python workers of this session get to about `mb` MB, whatever their rows hold."""
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers stay on for later stages."""
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
+
+
+def bound_batches(df: DataFrame, mb: int = 8) -> None:
+    """Holds the Arrow batches that Python workers of this session get to about `mb` MB, whatever their rows hold. This is
+    a setting of the session and stays: a batch of the default size holds up to 64 MB."""
     conf = df.sparkSession.conf
     now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
     if not now.isdigit() or int(now) > mb << 20:

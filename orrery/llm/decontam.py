@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, gram_hashes
+from ._common import bound_batches, gram_hashes, release
 
 #: Bytes of the shortest grams.
 GRAM = 8
@@ -259,6 +259,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in found_in(held.value, batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, materialise, steps_of, width
+from ._common import bound_batches, materialise, release, steps_of, width
 from .quality import held_out
 
 #: The byte that ends a text and stands before it, and the key of the end token; words are hashed to other keys.
@@ -383,6 +383,8 @@ def score(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str
                 del some
                 rows += [(1, b, part, chunk, packed(keys[i], True), packed(n[i])) for b, i in dealt(buckets, gram_bucket(keys, buckets, depth))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], list(KINDS))
+                del rows, keys, n
+        release()
 
     def read(part: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(unpacked(k, True), unpacked(n).astype(np.int64)) for k, n in zip(part["keys"], part["counts"], strict=True)]
@@ -455,7 +457,10 @@ def score(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str
             own = value[np.searchsorted(keys, g.keys)]
             np.add.at(scores, g.text, np.add.reduceat(own[g.at], np.cumsum(g.sizes) - g.sizes))
         size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
-        return out.assign(doc_id=pd.array(doc, "Int64"), held_out=held, train_tokens=n_train, score=scores, bits_per_byte=-scores / np.log10(2) / size)[SCORED]
+        out = out.assign(doc_id=pd.array(doc, "Int64"), held_out=held, train_tokens=n_train, score=scores, bits_per_byte=-scores / np.log10(2) / size)[SCORED]
+        del every, keys, value, bodies
+        release()
+        return out
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(finish, ", ".join(f"{c} {t}" for c, t in zip(SCORED, ("long", "boolean", "long", "long", "long", "double", "double", "double"), strict=True)))
 

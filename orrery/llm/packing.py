@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import bound_batches, materialise, steps_of, width
+from ._common import bound_batches, materialise, release, steps_of, width
 
 #: Entries of a worker's store of tokenised words; beyond that it starts anew.
 STORED_WORDS = 1_500_000
@@ -171,12 +171,13 @@ def tokenised(docs: DataFrame, tokenizer: str, eos: int, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokens_of(tokenizer)
         end = np.array([eos], tk.dtype)
-        for part in steps_of(batches, 1, 16 << 20):
+        for part in steps_of(batches, 1):
             ids, sizes = tk.encode(part.column(1))
             keys = curve_key(ids, sizes, buckets, dims, bits)
             ends = np.cumsum(sizes)
             blobs = [np.concatenate([ids[b - n : b], end]).tobytes() for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), pa.array(sizes + 1), pa.array(blobs, pa.binary())], ["curve", "doc", "n", "ids"])
+        release()
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc", f"`{text_col}` as text").mapInArrow(run, "curve long, doc long, n long, ids binary")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, materialise
+from ._common import bound_batches, materialise, release
 
 #: Hashed byte trigrams, then shares in [0, 1] that tell how a text is built, weighted as SHARE_WEIGHT.
 TERMS, SHARES, SHARE_WEIGHT = 2048, 6, 1.5
@@ -83,7 +83,7 @@ class Model:
     def unit(z: np.ndarray) -> np.ndarray:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
-    def scores(self, texts: list[bytes], k: int, power: int, block: int = 512) -> np.ndarray:
+    def scores(self, texts: list[bytes], k: int, power: int, block: int = 256) -> np.ndarray:
         """Share of the label 1 in the votes of the k nearest labelled vectors. With no similar one: its share in all votes."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 64,
             x.append(np.array([np.frombuffer(b.as_py(), np.float32) for b in batch.column(2)], np.float32).reshape(-1, TERMS + SHARES))
             y.append(batch.column(1).to_numpy().astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model.fit(np.concatenate(x), np.concatenate(y), prior, rank))], pa.binary())], ["model"])
+        release()
 
     sampled = rows.mapInArrow(described, "id long, y int, x binary").orderBy("id", "x").limit(2 * sample)
     made = sampled.repartition(1).sortWithinPartitions("id", "x").mapInArrow(fitted, "model binary").collect()
@@ -159,6 +160,7 @@ def score(docs: DataFrame, model: Model, k: int = 15, power: int = 4, threshold:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             got = held.value.scores(texts, k, power)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -184,5 +186,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(held.value.scores(texts, k, power) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

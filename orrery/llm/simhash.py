@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, components, materialise, steps_of, width
+from ._common import bound_batches, components, materialise, release, steps_of, width
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -206,6 +206,7 @@ def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
             name, n, s0, s1, held = zip(*rows, strict=True)
             words_of = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), words_of(name), pa.array(n, pa.int64()), words_of(s0), words_of(s1), pa.array(held, pa.binary())], ["doc", "name", "n", "s0", "s1", "held"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return materialise(rows.mapInArrow(run, "doc long, name long, n long, s0 long, s1 long, held binary"), "shingles")
@@ -239,17 +240,16 @@ class Tile:
             yield u[fits], v[fits], d[fits]
             a = b
 
-    def edges(self, other: Tile, radius: int, least: float, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Names of sets here and near ones there, of other parts: for each set the `few` nearest and the `few` with the
-        most near sets themselves."""
+    def edges(self, other: Tile, radius: int, least: float, few: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Names of sets here and near ones there, of other parts. Each set's near ones stand in two orders, nearest first and
+        those with the most near sets first; a turn takes the next `few` of each order."""
         for u, v, d in self.near(other, radius, least):
-            other_part = self.part[u] != other.part[v]
-            u, v, d = u[other_part], v[other_part], d[other_part]
             keep = np.zeros(len(u), bool)
             for by in (d.astype(np.int64), -other.degree[v]):
                 order = np.lexsort((other.name[v], by, u))
                 place = np.arange(len(u)) - np.searchsorted(u[order], u[order])
-                keep[order[place < few]] = True
+                keep[order[place // few == turn]] = True
+            keep &= self.part[u] != other.part[v]
             yield self.name[u[keep]], other.name[v[keep]]
 
 
@@ -277,7 +277,7 @@ def near_sets(sets: DataFrame, radius: int, least: float, block: int) -> DataFra
     return similar_tiles(sets, least, 4, block).mapInArrow(run, "name long, degree long").groupBy("name").agg(F.sum("degree").alias("degree"))
 
 
-def near_edges(sets: DataFrame, radius: int, least: float, few: int, block: int) -> DataFrame:
+def near_edges(sets: DataFrame, radius: int, least: float, few: int, turn: int, block: int) -> DataFrame:
     """Pairs (a, b) of names, a < b, that Tile.edges picks for each set in each pair of tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def near_edges(sets: DataFrame, radius: int, least: float, few: int, block: int)
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = Tile(x, 6), Tile(y, 6)
                 for one, two in [(a, b)] if x == y else [(a, b), (b, a)]:
-                    for u, v in one.edges(two, radius, least, few):
+                    for u, v in one.edges(two, radius, least, few, turn):
                         if len(u):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
@@ -314,30 +314,28 @@ def similar_links(rows: DataFrame, least: float, radius: int, few: int, block: i
     A first pass over all tiles counts the near sets of each set. The next ones take only sets that have some, and
     verify, for each, near sets of other parts: `few` nearest ones and `few` of the highest count, in each pair of
     tiles. A set with at most `few` near ones is through after one pass, as all of them were verified. Sets with more
-    go on in further passes, with eight times as many each, until no pass finds a link between two parts. So a large
-    group of near copies becomes one part by its hubs, without its pairs.
+    go on to the next `few` of both orders, until all are through or a pass finds no link between two parts. So a large
+    group of near copies becomes one part by its hubs and nearest sets, and a pass verifies a number of pairs in
+    proportion to the sets, never all pairs of a group.
     """
     sets = materialise(rows.where("n > 0").groupBy("name").agg(*[F.min(c).alias(c) for c in ("n", "s0", "s1")]), "sets")
     busy = materialise(sets.join(near_sets(sets, radius, least, block), "name"), "near")
     if busy.isEmpty():
         return None
     held = materialise(rows.select("name", "held").join(busy.select("name"), "name", "left_semi").groupBy("name").agg(F.min("held").alias("held")), "held")
-    links = checked = None
-    done = 0
-    while not (busy := busy.where(F.col("degree") > done)).isEmpty():
+    links, turn = None, 0
+    while not (busy := busy.where(F.col("degree") > turn * few)).isEmpty():
         parts = components(links, "a", "b") if links is not None else None
         placed = busy.join(parts, busy.name == parts.node, "left").withColumn("part", F.coalesce("component", "name")) if parts is not None else busy.withColumn("part", F.col("name"))
-        edges = near_edges(placed, radius, least, few, block)
-        edges = materialise(edges if checked is None else edges.join(checked, ["a", "b"], "left_anti"), "edges")
+        edges = materialise(near_edges(placed, radius, least, few, turn, block), "edges")
         found = materialise(verified(edges, held, least), "links")
         if found.isEmpty():
             break
-        links, checked = (found, edges) if links is None else (links.unionAll(found), checked.unionAll(edges))
-        done, few = few, 8 * few
+        links, turn = found if links is None else links.unionAll(found), turn + 1
     return links
 
 
-def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 34, few: int = 8, id_col: str = "doc_id", text_col: str = "text", block: int = 8192) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 34, few: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 8192) -> DataFrame:
     """Rows of docs that name their component, the least id of each, with all their columns.
 
     Components are of texts linked by a Jaccard similarity of `least` or more between their sets of `words`-word
