@@ -74,14 +74,17 @@ def grams(runs: list[tuple[int, bytes, int]], depth: int, table: int = 1 << 22)
 def renumbered(number: np.ndarray, keys: np.ndarray, used: np.ndarray, since: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of those that occur, in the same order, and their keys: number // len(used) ** since tells the key so far."""
     size = len(keys) * len(used) ** since
-    if size > max(1 << 22, 4 * len(number)):
+    if size > 1 << 26:
         found, number = np.unique(number, return_inverse=True)
         number = number.astype(np.int32)
-    else:
-        seen = np.zeros(size, bool)
+    else:  # a bit for each number that occurs; its place is the count of bits before it
+        seen = np.zeros(-(-size // 64) * 64, bool)
         seen[number] = True
         found = np.nonzero(seen)[0]
-        number = (np.cumsum(seen, dtype=np.int32) - np.int32(1))[number]
+        bits = np.packbits(seen, bitorder="little").view("<u8")
+        before = np.cumsum(np.bitwise_count(bits), dtype=np.int32) - np.bitwise_count(bits)
+        word, low = number >> 6, (np.uint64(1) << (number & 63).astype(np.uint64)) - np.uint64(1)
+        number = before[word] + np.bitwise_count(bits[word] & low).astype(np.int32)
     more = np.zeros(len(found), np.uint64)
     for k in range(since):
         more |= used[(found // len(used) ** k) % len(used)].astype(np.uint64) << np.uint64(8 * k)
@@ -92,8 +95,11 @@ def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     """One sorted run of keys with the sums of their counts."""
     if len(runs) == 1:
         return runs[0]
-    keys, inverse = np.unique(np.concatenate([k for k, _ in runs] or [np.empty(0, np.uint64)]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in runs] or [np.empty(0)]), len(keys)).astype(np.int64)
+    keys = np.concatenate([k for k, _ in runs] or [np.empty(0, np.uint64)])
+    order = np.argsort(keys, kind="stable")  # which merges runs that are sorted
+    keys, counts = keys[order], np.concatenate([n for _, n in runs] or [np.empty(0, np.int64)])[order]
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def packed(x: np.ndarray, rising: bool = False) -> bytes:
@@ -254,7 +260,7 @@ class Top:
         return total
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 8) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 16) -> DataFrame:
     """A table of chunks of about `mb` MB: chunk, docs, held (arrays), body (zstd of the normalised texts, a line each)."""
     bound_batches(docs)
 
@@ -269,7 +275,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 8) -> DataFra
             count, held, size = count + 1, ([], [], []), 0
             return out
 
-        for part in steps_of(batches, 2, mb << 20):
+        for part in steps_of(batches, 2):
             words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(part.column(2), ""))))
             bodies = pc.binary_join(words, " ").cast(pa.binary()).to_pylist()
             for doc, out, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bodies, strict=True):
@@ -450,7 +456,7 @@ def score(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str
         out = pd.DataFrame({"n_tokens": w.sizes + 1, "n_known": known.astype(np.int64) + int(n[0] > 0), "base_score": base + log[0]})
         del w, n, log, of
         every = list(numbered(bodies))
-        keys, _ = merged([(g.keys, np.zeros(len(g.keys))) for g in every])
+        keys, _ = merged([(g.keys, np.zeros(len(g.keys), np.int8)) for g in every])
         value = values(1, keys, gram_bucket(keys, buckets, depth))
         scores = np.zeros(len(bodies))
         for g in every:
