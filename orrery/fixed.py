@@ -40,6 +40,8 @@ CYCLIC_ORDER = {
     },
 }
 TOOLS = {1: json.dumps([GEOCODE]), 2: json.dumps([GEOCODE, CYCLIC_ORDER])}
+# How a system message lists the tools where a template takes none.
+TOOL_LISTS = {k: "\n\nAvailable tools:\n" + json.dumps(json.loads(v), indent=2) for k, v in TOOLS.items()}
 
 # The wording of reasoning traces and tool turns.
 TRACE_HEAD = "Let me compute this from the coordinates.\n"

@@ -1,14 +1,9 @@
-"""Text as column expressions: answers in completions, templates, coordinates; exact number text by Arrow UDFs."""
+"""Text as column expressions: answers in completions, templates, coordinates."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .geometry import bind
 
@@ -65,46 +60,15 @@ def parse_coords(text: Column) -> Column:
 
         return bind(cut, judge)
 
-    def found(coords: Column) -> Column:
-        return F.struct(coords.cast(PAIRS).alias("coords"), F.lit(None).cast("string").alias("error"))
-
-    def flat(t: Column) -> Column:
-        pair = lambda v: v.isNotNull() & (F.size(v) == 2) & F.forall(v, lambda x: x.isNotNull())
-        return bind(F.from_json(t, "array<double>"), lambda v: F.when(pair(v), found(F.array(v))).otherwise(by_line(t)))
-
-    def nested(t: Column) -> Column:
-        whole = lambda p: p.isNotNull() & (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull()
-        good = lambda v: v.isNotNull() & (F.size(v) > 0) & F.forall(v, whole)
-        return bind(F.from_json(t, PAIRS), lambda v: F.when(good(v), found(F.transform(v, lambda p: F.slice(p, 1, 2)))).otherwise(flat(t)))
+    whole = lambda p: p.isNotNull() & (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull()
+    pairs = lambda v: F.when(v.isNotNull() & (F.size(v) > 0) & F.forall(v, whole), F.transform(v, lambda p: F.slice(p, 1, 2)))
+    one = lambda v: F.when(v.isNotNull() & (F.size(v) == 2) & F.forall(v, lambda x: x.isNotNull()), F.array(v))
 
     def of(t: Column) -> Column:
+        """By the first character: lists are tried as JSON, and what is none goes on as lines."""
         empty = F.struct(F.lit(None).cast(PAIRS).alias("coords"), F.lit("empty").alias("error"))
-        return F.when(t.isNull() | (t == ""), empty).when(F.startswith(t, F.lit("[")), nested(t)).otherwise(by_line(t))
+        json = F.when(F.startswith(t, F.lit("[")), F.coalesce(bind(F.from_json(t, PAIRS), pairs), bind(F.from_json(t, "array<double>"), one)))
+        found = lambda c: F.when(c.isNotNull(), F.struct(c.cast(PAIRS).alias("coords"), F.lit(None).cast("string").alias("error"))).otherwise(by_line(t))
+        return F.when(t.isNull() | (t == ""), empty).otherwise(bind(json, found))
 
     return bind(strip(text), of)
-
-
-def _by_value(of: Callable, kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
-    return lambda x: pa.array([None if v is None else of(v) for v in x.to_pylist()], kind)
-
-
-@F.arrow_udf(T.DoubleType())
-def python_round6(x: pa.Array) -> pa.Array:
-    """Round to six places by the exact binary value, ties to even."""
-    return _by_value(lambda v: round(v, 6), pa.float64())(x)
-
-
-def python_format(spec: str):
-    """A UDF that formats doubles as Python's format() does; null for null."""
-
-    @F.arrow_udf(T.StringType())
-    def run(x: pa.Array) -> pa.Array:
-        return _by_value(lambda v: format(v, spec), pa.string())(x)
-
-    return run
-
-
-@F.arrow_udf(T.StringType())
-def python_json(x: pa.Array) -> pa.Array:
-    """JSON text in Python's own spacing, ASCII and number format, from JSON text."""
-    return _by_value(lambda v: json.dumps(json.loads(v)), pa.string())(x)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.toolcalls import call_results, extract_calls
-from ..session import shared_dir
+from ..session import written
 from . import store as stores
 from .records import MESSAGES
 
@@ -43,12 +42,6 @@ def _message(role: Column, content: Column, calls: Column, name: Column, call_id
     return F.struct(role.alias("role"), content.alias("content"), calls.alias("tool_calls"), name.alias("name"), call_id.alias("tool_call_id"))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tool_loop(threads: DataFrame, generate: Callable[[DataFrame], DataFrame], store: DataFrame, max_turns: int = 6, key: str = "conv_id") -> DataFrame:
     """key, messages, turns and stopped of threads (key, messages) after asking generate again and again.
 
@@ -63,7 +56,7 @@ def tool_loop(threads: DataFrame, generate: Callable[[DataFrame], DataFrame], st
     for turn in range(max_turns):
         asked = open_.withColumn("turn", F.lit(turn))
         said = asked.join(generate(asked).select(key, "completion"), key)
-        said = _kept(said.withColumn("got", extract_calls(F.col("completion"))), "turn")
+        said = written(said.withColumn("got", extract_calls(F.col("completion"))), "turn")
         last = _message(F.lit("assistant"), F.col("completion"), none, none, none)
         ended = said.where(F.size("got.calls") == 0).select(key, F.concat("messages", F.array(last).cast(MESSAGES)).alias("messages"))
         done.append(ended.select(key, "messages", F.lit(turn + 1).alias("turns"), F.lit(False).alias("stopped")))
@@ -73,7 +66,7 @@ def tool_loop(threads: DataFrame, generate: Callable[[DataFrame], DataFrame], st
         function = lambda c: F.struct(c["id"].alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function"))
         asks = _message(F.lit("assistant"), F.col("got.narration"), F.transform("r", function), none, none)
         tells = F.transform("r", lambda c: _message(F.lit("tool"), c["result"], none, c["name"], c["id"]))
-        open_ = _kept(more.join(results, key).select(key, F.concat("messages", F.array(asks).cast(MESSAGES), tells.cast(MESSAGES)).alias("messages")), "open")
+        open_ = written(more.join(results, key).select(key, F.concat("messages", F.array(asks).cast(MESSAGES), tells.cast(MESSAGES)).alias("messages")), "open")
         if open_.isEmpty():
             break
     done.append(open_.select(key, "messages", F.lit(max_turns).alias("turns"), F.lit(True).alias("stopped")))

@@ -95,13 +95,18 @@ def natural_grid(spark: SparkSession, per_n: int, max_n: int) -> DataFrame:
     return spark.range(per_n * (max_n - 2)).select(F.col("id").alias("question_id"), (F.floor(F.col("id") / per_n) + 3).cast("int").alias("n"))
 
 
-def questions(grid: DataFrame, names: DataFrame, templates: DataFrame, seed: int = 1, span: float = 1000.0) -> DataFrame:
+def sampled(names: DataFrame, size: int = 8000, seed: int = 1) -> DataFrame:
+    """At most `size` distinct names, those with the least seeded hashes: the pool of a generator run."""
+    return names.where("name is not null").select("name").distinct().orderBy(F.xxhash64(F.lit(seed), "name"), "name").limit(size)
+
+
+def questions(grid: DataFrame, names: DataFrame, templates: DataFrame, seed: int = 1, span: float = 1000.0, pool: int = 8000) -> DataFrame:
     """D1 questions of a grid (question_id, n and, if balanced, kind): geometry, label, names and filled template.
 
     Drawing again until a path has its kind is a loop, so geometry comes from an Arrow batch function; a row's stream
-    is named by seed and question_id. names holds one column, name, of a bounded pool (thousands), which is one
-    array; templates are grouped by n; both are inputs of fixed size, not data, and are broadcast. Names of a question
-    differ in their place in the pool. No shuffle of questions.
+    is named by seed and question_id. Of names (one column, name) a sample of `pool` is drawn, which bounds the array that
+    is broadcast; templates, a table of fixed size, are grouped by n. Names of a question differ in their place in the
+    pool. No shuffle of questions.
     """
     q = F.col("question_id")
     kind = F.col("kind") if "kind" in grid.columns else F.lit(None).cast("string")
@@ -113,9 +118,9 @@ def questions(grid: DataFrame, names: DataFrame, templates: DataFrame, seed: int
             yield pd.DataFrame({"question_id": part.question_id, "n": part.n, "geometries": made, "answer": answer})
 
     rows = grid.select("question_id", "n", kind.alias("kind")).mapInPandas(run, f"question_id long, n int, geometries {GEOMETRIES}, answer string")
-    pool = names.agg(F.array_sort(F.collect_set("name")).alias("pool"))
+    drawn = sampled(names, pool, seed).agg(F.array_sort(F.collect_list("name")).alias("pool"))
     by_n = templates.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("template_id", "fmt", "ord"))).alias("forms"))
-    rows = rows.crossJoin(F.broadcast(pool)).join(F.broadcast(by_n), "n")
+    rows = rows.crossJoin(F.broadcast(drawn)).join(F.broadcast(by_n), "n")
     size = F.size("pool")
     start, step = whole_of(seed, size, q, "start"), whole_of(seed, F.floor(size / 11).cast("int"), q, "step") + 1
     picked = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("pool", F.pmod(start + i * step, size)))
@@ -124,6 +129,14 @@ def questions(grid: DataFrame, names: DataFrame, templates: DataFrame, seed: int
     return rows.select("question_id", text.alias("question"), "location_names", "geometries", "answer")
 
 
+def splits(spark: SparkSession, names: DataFrame, templates: DataFrame, train: int = 4000, balanced: int = 1000, natural: int = 1000, max_n: int = 10, span: float = 1000.0, seed: int = 1) -> DataFrame:
+    """The three question files of a run as one table with split: train and val_balanced with as many of each answer for
+    each n, val_natural as geometry comes. Ids start at 0 in each split, whose draws have a seed of their own."""
+    grids = {"train": balanced_grid(spark, train, max_n), "val_balanced": balanced_grid(spark, balanced, max_n), "val_natural": natural_grid(spark, natural, max_n)}
+    made = [questions(grid, names, templates, seed + k, span).select(F.lit(split).alias("split"), "*") for k, (split, grid) in enumerate(grids.items())]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 def whole_of(seed: int, below: Column, key: Column, what: str) -> Column:
     """A whole number from 0 below a column."""
     return F.floor(uniform(seed, key, F.lit(what)) * F.greatest(below, F.lit(1))).cast("int")

@@ -43,6 +43,11 @@ def headroom(spare_gib: Column) -> Column:
     return F.when(spare_gib > SPARE_GIB, F.lit("safe")).when(spare_gib > 0, F.lit("tight")).otherwise(F.lit("oom"))
 
 
+def all_safe(judged: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """One row: whether every workload is safe; true for none."""
+    return judged.agg(F.coalesce(F.bool_and(F.col(verdict) == "safe"), F.lit(True)).alias("safe"))
+
+
 def gib(size: Column) -> Column:
     """GiB of bytes."""
     return size / float(1 << 30)

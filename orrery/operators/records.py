@@ -107,12 +107,13 @@ def _filled(text: str, **parts: Column) -> Column:
 
 def conversations(questions: DataFrame, pipelines: tuple[int, ...] = PIPELINES) -> DataFrame:
     """Records (question_id, pipeline, tools, messages, expected_answer, meta) of well-formed questions, and derived: the
-    label from geometry. A stored answer that differs stays as the expected one. Points and arcs are made once, before
-    the fan-out; nothing is shuffled."""
+    label from geometry. A stored answer that differs stays as the expected one. Points, arcs and all texts from Python
+    are made once a question, before the fan-out; nothing is shuffled."""
     rows = validated(questions).where(~F.col("malformed"))
     rows = rows.withColumn("points", representative_points(F.col("geometries")))
     rows = rows.withColumn("labels", F.transform(arcs(F.col("points")), lambda a: a["label"])).withColumn("derived", combine(F.col("labels")))
     rows = rows.withColumns({"geo": geocode_json("location_names", "points"), "ask": names_json("location_names")})
+    rows = rows.withColumns({"trace": reasoning_trace("location_names", "points", "labels", "derived"), "args": arc_arguments("points")})
     rows = fan_out(rows, pipelines)
     name = lambda i: F.get("location_names", i if isinstance(i, Column) else F.lit(i))
     head = F.array(
@@ -121,9 +122,9 @@ def conversations(questions: DataFrame, pipelines: tuple[int, ...] = PIPELINES)
         message("assistant", call=("geocode", F.col("ask"))),
         message("tool", F.col("geo"), "geocode"),
     )
-    first = F.when(F.col("pipeline") == 1, F.array(message("assistant", reasoning_trace("location_names", "points", "labels", "derived")))).otherwise(F.array().cast(MESSAGES))
+    first = F.when(F.col("pipeline") == 1, F.array(message("assistant", F.col("trace")))).otherwise(F.array().cast(MESSAGES))
     steps = F.transform(
-        F.arrays_zip(F.col("labels").alias("label"), arc_arguments("points").alias("args")),
+        F.arrays_zip(F.col("labels").alias("label"), F.col("args").alias("args")),
         lambda z, i: F.array(
             message(
                 "assistant",
@@ -169,6 +170,15 @@ def rendered(messages: Column, tools: Column | None = None, generate: bool = Tru
     return F.concat(lead, body, F.lit("<|assistant|>\n" if generate else ""))
 
 
+def with_tool_list(messages: Column, pipeline: Column) -> Column:
+    """Messages whose first one, if it is the system's, ends in the indented tool list: for templates that take no tools."""
+    def more(m: Column) -> Column:
+        text = F.when(pipeline == 1, F.lit(fixed.TOOL_LISTS[1])).otherwise(F.lit(fixed.TOOL_LISTS[2]))
+        return m.withField("content", F.concat(F.coalesce(m["content"], F.lit("")), text))
+
+    return F.transform(messages, lambda m, i: F.when((i == 0) & (m["role"] == "system"), more(m)).otherwise(m))
+
+
 def displayed(messages: Column) -> Column:
     """Messages that a reader sees: user's and assistant's with content, as role and content."""
     return F.transform(F.filter(messages, lambda m: m["role"].isin("user", "assistant") & (F.coalesce(m["content"], F.lit("")) != "")), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))

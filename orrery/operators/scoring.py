@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import path_label, representative_points
 from ..functions.text import extract_answer, normal_answer
 from ..schemas import ANSWERS
+from ..session import written
 
 KEY = ["split", "question_id", "pipeline"]
 
@@ -59,19 +60,21 @@ def scorecard(rows: DataFrame, truth: str = "truth", predicted: str = "predicted
     return every.select("level", "key", *counts, F.try_divide("correct", "total").alias("accuracy")).where("level <> 'class' or key in ('clockwise', 'counterclockwise', 'neither')")
 
 
-def running(rows: DataFrame, key: str, right: Column, batch: int = 8, every: int = 10, span: int = 1 << 16) -> DataFrame:
-    """batches, total, correct, accuracy at the end of every tenth batch, in the order of a whole-number key without ties.
+def running(rows: DataFrame, key: str, right: Column, batch: int = 8, every: int = 10) -> DataFrame:
+    """batches, total, correct, accuracy at the end of every tenth batch, in the order of a key without ties.
 
-    Two levels, so that no task sees all rows: totals of spans of the key, summed up before each span, and a window
-    within each span.
+    Two levels, so that no task sees all rows: rows are dealt to ranges of the key, as many as shuffles have partitions,
+    in a written table; totals of the ranges, a row each, are summed up before each range, and a window runs within it.
     """
-    cut = rows.select(F.col(key).alias("k"), F.floor(F.col(key) / span).alias("span"), F.coalesce(right, F.lit(False)).cast("long").alias("right"))
+    cut = rows.select(F.col(key).alias("k"), F.coalesce(right, F.lit(False)).cast("long").alias("right"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(cut.repartitionByRange(ranges, "k").withColumn("span", F.spark_partition_id()), "ranges")
     sums = cut.groupBy("span").agg(F.count("*").alias("n"), F.sum("right").alias("r"))
     before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"))
     within = Window.partitionBy("span").orderBy("k")
     seen = cut.withColumn("n", F.row_number().over(within)).withColumn("r", F.sum("right").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = seen.join(sums, "span").select((F.col("n0") + F.col("n")).cast("long").alias("total"), (F.col("r0") + F.col("r")).cast("long").alias("correct"))
+    seen = seen.join(F.broadcast(sums), "span").select((F.col("n0") + F.col("n")).cast("long").alias("total"), (F.col("r0") + F.col("r")).cast("long").alias("correct"))
     return seen.where(F.col("total") % (batch * every) == 0).select((F.col("total") / batch).cast("long").alias("batches"), "total", "correct", (F.col("correct") / F.col("total")).alias("accuracy"))
 
 

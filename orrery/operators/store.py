@@ -54,10 +54,10 @@ def removed(store: DataFrame, name: str) -> DataFrame:
 
 
 def listing(store: DataFrame) -> DataFrame:
-    """name, type, n_points, x, y (the representative point), error for geometries without one; in order of seq."""
+    """name, type, n_points, x, y (the representative point), error for geometries without one, a row each in no order; seq is the order."""
     point = representative_point(F.col("type"), F.col("coordinates"))
     rows = store.withColumn("p", point)
-    return rows.orderBy("seq").select("seq", "name", "type", F.coalesce(F.size("coordinates"), F.lit(0)).cast("long").alias("n_points"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.when(F.col("p").isNull(), F.lit("no coordinates")).alias("error"))
+    return rows.select("seq", "name", "type", F.coalesce(F.size("coordinates"), F.lit(0)).cast("long").alias("n_points"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.when(F.col("p").isNull(), F.lit("no coordinates")).alias("error"))
 
 
 def lookup(requests: DataFrame, store: DataFrame, wanted: str = "wanted") -> DataFrame:

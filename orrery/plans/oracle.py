@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from .queries import ANSWER_TEXTS, STORED_ANSWERS
+import json
+import string
+
+from .. import fixed
+from .queries import ANSWER_TEXTS, STORED_ANSWERS, TEMPLATES
 
 
 def _q(text: str | None) -> str:
@@ -14,6 +18,15 @@ def _pick(key: str, *values: str | None) -> str:
     return f"CASE {arms} END"
 
 
+def _filled(text: str, **parts: str) -> str:
+    """SQL of a text with named fields; a field with a format is printed with it."""
+    out = []
+    for plain, field, spec, _ in string.Formatter().parse(text):
+        out += [_q(plain)] if plain else []
+        out += [f"printf('%{spec}', {parts[field]})" if spec else f"({parts[field]})::VARCHAR"] if field else []
+    return "(" + " || ".join(out) + ")"
+
+
 P = """p AS (SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y
   FROM (SELECT vec_id, embedding, unnest(range(3 + vec_id % 8)) AS i FROM embeddings))"""
 A = f"""{P},
@@ -36,6 +49,42 @@ M = f"""{LABELS}, q AS (SELECT vec_id, n0 AS n, n0 - CASE WHEN vec_id % 10 = 1 T
   CASE WHEN vec_id % 2 = 0 THEN 'neither' ELSE 'clockwise' END AS answer
   FROM (SELECT vec_id, label, CASE WHEN vec_id % 15 = 0 THEN 2 ELSE 3 + vec_id % 8 END AS n0 FROM l)),
 k AS (SELECT *, n < 3 OR n <> names AS malformed FROM q)"""
+N = "chr(10)"
+POINT = "'(' || printf('%.2f', x) || ', ' || printf('%.2f', y) || ')'"
+PAIR = "'[' || {0}.x || ', ' || {0}.y || ']'"
+#: Records as messages: what both pipelines begin with, the trace of the first, the calls and results of the second.
+MESSAGES = f"""{M},
+o AS (SELECT k.vec_id, k.n, k.label FROM k WHERE NOT malformed),
+arc AS (SELECT b.vec_id, b.i AS arc, b.x - c.x AS bx, b.y - c.y AS "by", d.x - c.x AS cx, d.y - c.y AS cy, {PAIR.format("c")} AS center, {PAIR.format("b")} AS b, {PAIR.format("d")} AS c
+  FROM o JOIN p b USING (vec_id) JOIN p d ON d.vec_id = b.vec_id AND d.i = b.i + 1 JOIN p c ON c.vec_id = b.vec_id AND c.i = 0 WHERE b.i >= 1),
+det AS (SELECT *, bx * cy - "by" * cx AS det FROM arc), turned AS (SELECT *, {TURN} AS turn FROM det),
+line AS (SELECT vec_id, arc, {_filled(fixed.TRACE_ARC, i="arc", j="arc + 1", b="'P' || (arc + 1)", c="'P' || (arc + 2)", bx="bx", by='"by"', cx="cx", cy="cy", det="det", label="turn")} AS line FROM turned),
+place AS (SELECT vec_id, i, {POINT} AS point, '"P' || (i + 1) || '"' AS name, '{{"longitude": ' || round(x, 6) || ', "latitude": ' || round(y, 6) || '}}' AS found FROM o JOIN p USING (vec_id)),
+asked AS (SELECT vec_id, '{{"place_names": [' || string_agg(name, ', ' ORDER BY i) || ']}}' AS ask, '{{' || string_agg(name || ': ' || found, ', ' ORDER BY i) || '}}' AS geo,
+  string_agg({_filled(fixed.TRACE_WAYPOINT, i="i", name="'P' || (i + 1)", point="point")}, {N} ORDER BY i) FILTER (i > 0) AS ways, max({_filled(fixed.TRACE_CENTER, name="'P1'", point="point")}) FILTER (i = 0) AS center FROM place GROUP BY vec_id),
+told AS (SELECT vec_id, string_agg(line, {N} ORDER BY arc) AS lines, string_agg(turn, ', ' ORDER BY arc) AS turns FROM turned JOIN line USING (vec_id, arc) GROUP BY vec_id),
+v(pipeline) AS (VALUES (1), (2)),
+m AS (
+  SELECT vec_id, pipeline, 0 AS pos, 'system' AS role, CASE pipeline WHEN 1 THEN {_q(fixed.SYSTEM_BASE + fixed.SYSTEM_REASON)} ELSE {_q(fixed.SYSTEM_BASE + fixed.SYSTEM_TOOL)} END AS content, NULL AS name, NULL AS call_name, NULL AS call_arguments FROM o, v
+  UNION ALL SELECT vec_id, pipeline, 1, 'user', 'Q' || vec_id, NULL, NULL, NULL FROM o, v
+  UNION ALL SELECT vec_id, pipeline, 2, 'assistant', NULL, NULL, 'geocode', ask FROM o JOIN asked USING (vec_id), v
+  UNION ALL SELECT vec_id, pipeline, 3, 'tool', geo, 'geocode', NULL, NULL FROM o JOIN asked USING (vec_id), v
+  UNION ALL SELECT vec_id, 1, 4, 'assistant', {_q(fixed.TRACE_HEAD)} || {N} || center || {N} || ways || {N} || {N} || lines || {N} || {N} || {_filled(fixed.TRACE_END, n="n - 2", label="label")}, NULL, NULL, NULL
+    FROM o JOIN asked USING (vec_id) JOIN told USING (vec_id)
+  UNION ALL SELECT vec_id, 2, 2 + 2 * arc, 'assistant', CASE arc WHEN 1 THEN {_filled(fixed.PREFACE_FIRST, a="'P1'", b="'P2'", c="'P3'")} ELSE {_filled(fixed.PREFACE_NEXT, a="'P1'", b="'P' || (arc + 1)", c="'P' || (arc + 2)")} END,
+    NULL, 'cyclic_order', '{{"center": ' || center || ', "point_b": ' || b || ', "point_c": ' || c || '}}' FROM arc
+  UNION ALL SELECT vec_id, 2, 3 + 2 * arc, 'tool', '{{"result": "' || turn || '"}}', 'cyclic_order', NULL, NULL FROM turned
+  UNION ALL SELECT vec_id, 2, 2 * n, 'assistant', {_filled(fixed.SUMMARY, n="n - 2", a="'P1'", labels="turns", whether=f"CASE label WHEN 'neither' THEN {_q(fixed.DISAGREE)} ELSE {_q(fixed.AGREE)} END", label="label")}, NULL, NULL, NULL
+    FROM o JOIN told USING (vec_id))"""
+#: Questions of a balanced run: cells of n and answer, and where their ids begin.
+def _grid(per_n: int) -> str:
+    return f"""(SELECT n, answer, size, sum(size) OVER (ORDER BY n, nr) - size AS first FROM (
+  SELECT n, nr, answer, CASE n WHEN 3 THEN {per_n // 2} ELSE {per_n // 3} END AS size
+  FROM range(3, 11) r(n), (VALUES (0, 'clockwise'), (1, 'counterclockwise'), (2, 'neither')) a(nr, answer) WHERE n > 3 OR nr < 2))"""
+
+
+OWN = "customer JOIN nation ON c_nationkey = n_nationkey"
+FOUND = """'{"longitude":' || n_nationkey::DOUBLE || ',"latitude":' || n_regionkey::DOUBLE || '}'"""
 SHOWN = "role || '|>' || chr(10) || text || chr(10)"
 
 ORACLE: dict[str, str] = {
@@ -149,4 +198,41 @@ WITH n AS (SELECT vec_id AS seq, coalesce(n_name, 'g' || vec_id % 100) AS name,
   FROM embeddings LEFT JOIN nation ON n_nationkey = vec_id % 50)
 SELECT seq, name, CASE WHEN k = 1 THEN 'point' WHEN k = 2 THEN 'line' ELSE 'polygon' END AS type,
   CASE WHEN taken OR seq > min(seq) OVER (PARTITION BY name) THEN 'name is taken' ELSE '' END AS error FROM n""",
+    "generated_labels": f"SELECT unnest(range(first::BIGINT, (first + size)::BIGINT)) AS question_id, n, answer, answer AS derived FROM {_grid(4000)}",
+    "generator_counts": f"""
+SELECT 'train' AS split, n, answer, size::BIGINT AS questions, first::BIGINT AS first, (first + size - 1)::BIGINT AS last FROM {_grid(4000)}
+UNION ALL SELECT 'val_balanced', n, answer, size::BIGINT, first::BIGINT, (first + size - 1)::BIGINT FROM {_grid(1000)}
+UNION ALL SELECT 'val_natural', n, '', 1000, 1000 * (n - 3), 1000 * (n - 2) - 1 FROM range(3, 11) r(n)""",
+    "record_messages": f"WITH {MESSAGES} SELECT vec_id AS question_id, pipeline::INTEGER AS pipeline, pos::BIGINT AS pos, role, content, name, call_name, call_arguments FROM m",
+    "record_meta": f"""
+WITH {M} SELECT vec_id AS question_id, pipeline::INTEGER AS pipeline, CASE pipeline WHEN 1 THEN {_q(fixed.TOOLS[1])} ELSE {_q(fixed.TOOLS[2])} END AS tools, answer AS expected_answer, n,
+  array_to_string(list_transform(range(1, n + 1), lambda i: 'P' || i), ',') AS names, 'point' AS kind, answer AS stored FROM k, (VALUES (1), (2)) v(pipeline) WHERE NOT malformed""",
+    "record_prompts": f"WITH {M} SELECT 'P1' AS centre, n, 2 * n AS messages, 'tool' AS last_role, answer AS expected_answer FROM k WHERE NOT malformed",
+    "fallback_prompts": f"""
+WITH {M} SELECT vec_id AS question_id, pipeline::INTEGER AS pipeline, '<|system|>' || {N} || CASE pipeline WHEN 1 THEN {_q(fixed.SYSTEM_BASE + fixed.SYSTEM_REASON + fixed.TOOL_LISTS[1])}
+  ELSE {_q(fixed.SYSTEM_BASE + fixed.SYSTEM_TOOL + fixed.TOOL_LISTS[2])} END || {N} || '<|user|>' || {N} || 'Q' || vec_id || {N} || '<|assistant|>' || {N} AS prompt
+FROM k, (VALUES (1), (2)) v(pipeline) WHERE NOT malformed""",
+    "reward_join": f"""
+WITH {M}, r AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'train' ELSE 'val' END AS split, vec_id AS question_id, pipeline::INTEGER AS pipeline, n, answer AS truth,
+  {ANSWER.format(_pick('(vec_id + pipeline)', *ANSWER_TEXTS))} AS predicted FROM k, (VALUES (1), (2)) v(pipeline) WHERE NOT malformed AND vec_id % 3 <> 0)
+SELECT *, CASE WHEN predicted = truth THEN 1.25::DOUBLE WHEN predicted IS NULL THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END AS reward FROM r""",
+    "split_records": f"""
+WITH {M} SELECT CASE WHEN vec_id % 2 = 0 THEN 'train' ELSE 'val' END AS split, vec_id AS question_id, pipeline::INTEGER AS pipeline, CASE WHEN pipeline = 1 THEN 5 ELSE 2 * n + 1 END AS n_messages,
+  'Q' || vec_id AS question, answer AS expected_answer FROM k, (VALUES (1), (2)) v(pipeline) WHERE NOT malformed""",
+    "store_roundtrip": """
+SELECT n_name || CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' "q"' WHEN 2 THEN '\\' ELSE ' é' END AS name, n_nationkey::BIGINT - (n_nationkey > 4)::BIGINT AS seq, 'line' AS type,
+  n_nationkey / 4 AS x0, n_regionkey::DOUBLE AS y0, -n_nationkey / 4 AS x1, 0.5::DOUBLE AS y1 FROM nation WHERE n_nationkey <> 4""",
+    "csv_names": """SELECT p_name || ', "x"' AS name FROM part""",
+    "templates_json": "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {i}::BIGINT, {_q(fmt)}, {_q(','.join(map(str, order)))})" for n, forms in json.loads(TEMPLATES).items() for i, (fmt, order) in enumerate(forms)) + ") t(n, template_id, fmt, ord)",
+    "metric_log": "SELECT role, count(*) AS value FROM conversations GROUP BY role UNION ALL SELECT role, 2 * count(*) FROM conversations GROUP BY role",
+    "partitioned_parquet": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    "tool_geocode": f"""SELECT c_custkey, '{{"' || n_name || '":' || {FOUND} || ',"' || lower(n_name) || '":' || {FOUND} || ',"Nowhere":{{"error":"unknown place Nowhere"}}}}' AS result FROM {OWN}""",
+    "tool_loop": f"""
+SELECT c_custkey AS conv_id, CASE c_custkey % 3 WHEN 0 THEN 2 ELSE 3 END::BIGINT AS turns, c_custkey % 3 = 2 AS stopped, CASE c_custkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 7 END::BIGINT AS n_messages,
+  CASE c_custkey % 3 WHEN 0 THEN 'Done: {{"' || n_name || '":' || {FOUND} || '}}' WHEN 1 THEN 'Done: {{"result":"counterclockwise"}}' ELSE '{{"error":"unknown tool fly"}}' END AS last,
+  CASE c_custkey % 3 WHEN 2 THEN 'call_5_0' ELSE '' END AS call_id FROM {OWN}""",
+    "headroom_all": """
+SELECT s.status, coalesce(bool_and(8 - o_totalprice / 100000 > 2), true) AS safe FROM (VALUES ('F'), ('O'), ('none')) s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY s.status""",
+    "device_lines": "SELECT (l_orderkey % 4)::INTEGER AS gpu_idx, max(l_extendedprice) AS peak FROM lineitem WHERE l_orderkey % 5 > 1 GROUP BY 1",
+    "rep_point_exact": "SELECT vec_id, (2 * (vec_id % 17) / 8)::DOUBLE / 4 AS x, (2 * (vec_id % 17) / 8)::DOUBLE / 4 AS y FROM embeddings",
 }

@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions import text as t
 from ..functions import toolcalls
-from ..operators import generate, monitor, records, scoring, store
+from ..operators import dialogue, generate, monitor, records, scoring, store
 
-from ..session import shared_dir
+from ..session import shared_dir, written
+from ..schemas import RECORD
 from ..sources import io
 from ..streaming import peaks
 
@@ -326,18 +328,29 @@ def stream_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder else "events.parquet").parquet(path if folder else sf_dir)
-    return peaks.drain(peaks.running_peaks(stream, "user_id", "value"), f"peaks_{uuid.uuid4().hex}")
+    return peaks.drain(peaks.running_peaks(stream, "user_id", "value"), "peaks")
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
 
 
 @query
 def generated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced questions for n of 3 to 10 and the label that their geometry gives."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    made = generate.questions(generate.balanced_grid(spark, 60, 10), names.where("name is not null").orderBy("name").limit(1000), generate.default_templates(spark))
+    """Balanced questions for n of 3 to 10, 4000 for each n, and the label that their geometry gives."""
+    made = generate.questions(generate.balanced_grid(spark, 4000, 10), part_names(spark, sf_dir), generate.default_templates(spark))
     label = g.path_label(g.representative_points(F.col("geometries")))
     return made.select("question_id", F.size("geometries").cast("long").alias("n"), "answer", label.alias("derived"))
 
 
+@query
+def generator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the three splits of a generator run; the answers of the natural one are as they come."""
+    made = generate.splits(spark, part_names(spark, sf_dir), generate.default_templates(spark))
+    answer = F.when(F.col("split") != "val_natural", F.col("answer")).otherwise(F.lit(""))
+    return made.groupBy("split", F.size("location_names").cast("long").alias("n"), answer.alias("answer")).agg(F.count("*").alias("questions"), F.min("question_id").alias("first"), F.max("question_id").alias("last"))
+
+
 @query
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.preview(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["doc_id"])
@@ -363,3 +376,165 @@ def store_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("seq", "name", "type", F.coalesce("error", F.lit("")).alias("error"))
 
 
+@query
+def record_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every record, word for word: traces, tool results, arguments of calls."""
+    rows = records.conversations(made_questions(spark, sf_dir)).select("question_id", "pipeline", F.posexplode("messages").alias("pos", "m"))
+    call = F.get("m.tool_calls", F.lit(0))["function"]
+    return rows.select("question_id", "pipeline", F.col("pos").cast("long").alias("pos"), "m.role", "m.content", "m.name", call["name"].alias("call_name"), call["arguments"].alias("call_arguments"))
+
+
+@query
+def record_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("meta")
+    shown = [F.size(m["geometries"]).cast("long").alias("n"), F.array_join(m["location_names"], ",").alias("names"), F.get(m["geometries"], F.lit(0))["type"].alias("kind"), m["answer"].alias("stored")]
+    return records.conversations(made_questions(spark, sf_dir)).select("question_id", "pipeline", "tools", "expected_answer", *shown)
+
+
+@query
+def record_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of the second pipeline: all messages but the last."""
+    rows = records.prompts(records.conversations(made_questions(spark, sf_dir)), 2)
+    return rows.select(F.get("meta.location_names", F.lit(0)).alias("centre"), F.size("meta.geometries").cast("long").alias("n"), F.size("prompt").cast("long").alias("messages"), F.element_at("prompt", -1)["role"].alias("last_role"), "expected_answer")
+
+
+@query
+def fallback_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered prompts for templates that take no tools."""
+    rows = records.conversations(made_questions(spark, sf_dir)).select("question_id", "pipeline", records.with_tool_list(F.slice("messages", 1, 2), F.col("pipeline")).alias("m"))
+    return rows.select("question_id", "pipeline", records.rendered(F.col("m")).alias("prompt"))
+
+
+def split_of(key: Column) -> Column:
+    return pick(key, "train", "val")
+
+
+@query
+def reward_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions joined to their records by key, and rewarded."""
+    made = records.conversations(made_questions(spark, sf_dir)).withColumn("split", split_of(F.col("question_id")))
+    q = F.col("question_id")
+    said = made.where(q % 3 != 0).select("split", "question_id", "pipeline", pick(q + F.col("pipeline"), *ANSWER_TEXTS).alias("completion"))
+    return scoring.judged(made, said).select("split", "question_id", "pipeline", "n", "truth", "predicted", "reward")
+
+
+@query
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question files of two splits to JSON lines by split in one job, read back."""
+    at = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    made = written(made_questions(spark, sf_dir), "questions")
+    for k, split in enumerate(("train", "val")):
+        io.write_parquet(made.where(F.col("question_id") % 2 == k), f"{at}/{split}")
+    io.build_splits(spark, {split: f"{at}/{split}" for split in ("train", "val")}, f"{at}/out")
+    back = io.read_jsonl(spark, f"{at}/out", T.StructType([*RECORD.fields, T.StructField("split", T.StringType())]))
+    return back.select("split", "question_id", "pipeline", F.size("messages").cast("long").alias("n_messages"), F.get("messages", F.lit(1))["content"].alias("question"), "expected_answer")
+
+
+@query
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of nations written, read, one removed, written over and read again."""
+    k = F.col("n_nationkey")
+    name = F.concat(F.col("n_name"), pick(k, "", ' "q"', "\\", " \u00e9"))
+    held = table(spark, sf_dir, "nation").select(name.alias("name"), k.cast("long").alias("seq"), F.lit("line").alias("type"), F.array(F.array(k / 4, F.col("n_regionkey").cast("double")), F.array(-k / 4, F.lit(0.5))).alias("coordinates"))
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}.json"
+    io.write_store(held, path)
+    io.write_store(written(store.removed(io.read_store(spark, path), "NATION_4"), "store"), path)
+    at = lambda i, j: F.get(F.get("coordinates", F.lit(i)), F.lit(j))
+    return io.read_store(spark, path).select("name", "seq", "type", at(0, 0).alias("x0"), at(0, 1).alias("y0"), at(1, 0).alias("x1"), at(1, 1).alias("y1"))
+
+
+@query
+def csv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}"
+    names = part_names(spark, sf_dir).select(F.concat("name", F.lit(', "x"')).alias("name"), F.lit(1).alias("other"))
+    names.write.option("escape", '"').csv(path, header=True)
+    return io.read_csv(spark, path, "name string, other int").select("name")
+
+
+@query
+def templates_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/templates-{uuid.uuid4().hex}"
+    spark.createDataFrame([(TEMPLATES,)], "value string").coalesce(1).write.text(path)
+    return generate.templates_of_json(spark, path).select(F.col("n").cast("long").alias("n"), F.col("template_id").cast("long").alias("template_id"), "fmt", F.array_join("ord", ",").alias("ord"))
+
+
+#: A file of question templates.
+TEMPLATES = '{"3": [["From {}: {} to {}?", [0, 1, 2]], ["{}, {}, seen from {} ({})", [1, 2, 0, 0]]], "4": [["{} {} {} {}", [0, 1, 2, 3]]]}'
+
+
+@query
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics appended twice to a growing table."""
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    for step in (1, 2):
+        io.append_metrics(table(spark, sf_dir, "conversations").groupBy("role").agg((F.count("*") * step).alias("value")), path)
+    return spark.read.parquet(path)
+
+
+@query
+def partitioned_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written by partition, of which one is read."""
+    path = f"{shared_dir(spark)}/by-status-{uuid.uuid4().hex}"
+    io.write_parquet(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, "o_orderstatus")
+    return io.read_parquet(spark, path).where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of nations."""
+    pair = F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double"))
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("seq"), F.lit("point").alias("type"), F.array(pair).alias("coordinates"))
+
+
+@query
+def tool_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the geocode tool: stored names, other case, unknown and repeated ones."""
+    own = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = F.struct(F.array("n_name", F.lower("n_name"), F.lit("Nowhere"), "n_name").alias("place_names"))
+    calls = own.select("c_custkey", F.lit("geocode").alias("name"), F.to_json(asked).alias("arguments"))
+    return dialogue.answered(calls, places(spark, sf_dir), ["c_custkey"]).select("c_custkey", "result")
+
+
+@query
+def tool_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads asked again until they call no tool: a third answers after one call, a third after two, a third never."""
+    k = F.col("conv_id")
+    own = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    threads = own.select(F.col("c_custkey").alias("conv_id"), F.array(records.message("user", F.col("n_name"))).alias("messages"))
+    marked = lambda body: F.concat(F.lit("Wait. <tool_call>"), body, F.lit("</tool_call>"))
+
+    def model(asked: DataFrame) -> DataFrame:
+        """What a model would say, by rule."""
+        first = marked(F.concat(F.lit('{"name": "geocode", "arguments": {"place_names": ["'), F.col("messages")[0]["content"], F.lit('"]}}')))
+        turn = marked(F.lit('{"name": "cyclic_order", "arguments": {"center": [0, 0], "point_b": [1, 0], "point_c": [0, 1]}}'))
+        other = marked(F.lit('{"name": "fly"}'))
+        last = F.concat(F.lit("Done: "), F.element_at("messages", -1)["content"])
+        said = F.when(F.col("turn") == 0, first).when(k % 3 == 0, last).when((k % 3 == 1) & (F.col("turn") == 1), turn).when(k % 3 == 1, last).otherwise(other)
+        return asked.select("conv_id", said.alias("completion"))
+
+    rows = dialogue.tool_loop(threads, model, places(spark, sf_dir), max_turns=3)
+    return rows.select("conv_id", F.col("turns").cast("long").alias("turns"), "stopped", F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last"), F.coalesce(F.element_at("messages", -1)["tool_call_id"], F.lit("")).alias("call_id"))
+
+
+@query
+def headroom_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all orders of a status are safe, in one row each."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", monitor.headroom(8 - F.col("o_totalprice") / 100000).alias("verdict"))
+    status = [monitor.all_safe(rows.where(F.col("o_orderstatus") == s)).select(F.lit(s).alias("status"), "safe") for s in ("F", "O", "none")]
+    return status[0].unionAll(status[1]).unionAll(status[2])
+
+
+@query
+def device_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of devices from lines of text, of which some are none."""
+    k = F.col("l_orderkey")
+    line = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("x, 1")).otherwise(F.concat(F.lit(" "), (k % 4).cast("string"), F.lit(" , "), F.col("l_extendedprice").cast("string")))
+    return monitor.peaks(monitor.samples_of_lines(table(spark, sf_dir, "lineitem").select(line.alias("value"))))
+
+
+@query
+def rep_point_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means with compensated sums, of numbers that a plain sum loses."""
+    v = F.col("vec_id")
+    big, small = F.lit(float(1 << 53)), (v % 17).cast("double") / 8
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.array(big, small), F.array(small, big), F.array(small, -big), F.array(-big, small)).alias("c"))
+    return rows.select("vec_id", g.representative_point(F.lit("line"), F.col("c")).alias("p")).select("vec_id", "p.x", "p.y")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", name: str = "orrery", shuffle_partitions: int = 8, driver_memory: str = "4g") -> SparkSession:
@@ -24,9 +25,19 @@ def local_session(cpus: int | str = "*", name: str = "orrery", shuffle_partition
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, as in tests, a temporary one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session, as in tests, gets a
+    temporary one; on a cluster that is an error, as each executor would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: its lineage ends there, and it outlives executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,8 +20,8 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = "name string") -> DataFrame:
-    """CSV with a header, by an explicit schema."""
-    return spark.read.schema(schema).csv(path, header=True)
+    """CSV with a header, by an explicit schema; a quote inside quotes is doubled."""
+    return spark.read.schema(schema).option("escape", '"').csv(path, header=True)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
@@ -41,6 +41,25 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", F.col("seq").cast("long"), F.col("held")[F.col("name")]["type"].alias("type"), F.col("held")[F.col("name")]["coordinates"].alias("coordinates"))
 
 
+def write_store(store: DataFrame, path: str) -> None:
+    """Replaces a store file {name: {type, coordinates}}, names in order of seq; a reader sees the old file or the new one.
+
+    A store is what one user has drawn and one JSON object, so one task holds it. It is written beside the place and
+    then renamed, which is one step on HDFS and local disks.
+    """
+    spark = store.sparkSession
+    one = F.struct("seq", F.concat(F.regexp_extract(F.to_json(F.struct(F.col("name").alias("n"))), r"(?s)^\{\"n\":(.*)\}$", 1), F.lit(":"), F.to_json(F.struct("type", "coordinates"))).alias("entry"))
+    body = store.agg(F.array_sort(F.collect_list(one)).alias("all")).select(F.concat(F.lit("{"), F.array_join(F.transform("all", lambda e: e["entry"]), ","), F.lit("}")).alias("value"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    body.coalesce(1).write.mode("overwrite").text(f"{path}.new")
+    part = next(f.getPath() for f in fs.listStatus(at(f"{path}.new")) if f.getPath().getName().startswith("part-"))
+    if not fs.rename(part, at(path)):  # some file systems do not rename onto a file
+        fs.delete(at(path), False)
+        fs.rename(part, at(path))
+    fs.delete(at(f"{path}.new"), True)
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """JSON lines; one file in a total order if order is given, which is for exports of a size that one task holds."""
     (df.orderBy(*order).coalesce(1) if order else df).write.mode("overwrite").json(path)

@@ -108,7 +108,7 @@ def test_scorecard_has_all_classes(spark):
 
 def test_running_counts_cross_spans(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3 == 0).alias("right"))
-    got = scoring.running(df, "id", F.col("right"), span=64).orderBy("total").collect()
+    got = scoring.running(df, "id", F.col("right")).orderBy("total").collect()
     assert [r.total for r in got] == list(range(80, 1001, 80))
     assert all(r.correct == -(-r.total // 3) for r in got)
 
@@ -221,3 +221,23 @@ def test_splits(spark, made, tmp_path):
 def test_csv_names(spark, tmp_path):
     (tmp_path / "n.csv").write_text("name\nA\nB\n")
     assert [r.name for r in io.read_csv(spark, str(tmp_path / "n.csv")).collect()] == ["A", "B"]
+
+
+def test_live_samples(spark, tmp_path):
+    """A command's lines as a stream; a command that fails gives none."""
+    from orrery.sources import samples
+
+    (tmp_path / "say").write_text("printf '0, 10\\n1, 20.5\\nbroken\\n\\n'")
+    stream = samples.device_samples(spark, f"sh {tmp_path}/say", 0.01)
+    assert {r.gpu_idx: r.peak for r in peaks.drain(peaks.running_peaks(stream, "gpu_idx", "used_mb"), "live").collect()} == {0: 10.0, 1: 20.5}
+    assert peaks.drain(peaks.running_peaks(samples.device_samples(spark, "false"), "gpu_idx", "used_mb"), "dead").count() == 0
+
+
+def test_shared_folder_must_be_named_on_clusters(monkeypatch):
+    from types import SimpleNamespace
+
+    from orrery.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))

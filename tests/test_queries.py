@@ -33,9 +33,6 @@ def rows(names, values):
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     found = got.collect()
-    if name not in ORACLE:
-        assert found and all(r.answer == r.derived for r in found)
-        return
     want = duck.execute(ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)

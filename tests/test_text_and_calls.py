@@ -54,13 +54,6 @@ def test_templates_do_not_scan_arguments(spark):
     assert got == "From {} to B, ?"
 
 
-def test_number_text(spark):
-    df = spark.createDataFrame([(1.005,), (0.125,), (2.5e-06,), (None,)], "x double")
-    assert [r[0] for r in df.select(t.python_format(".2f")("x")).collect()] == ["1.00", "0.12", "0.00", None]
-    assert [r[0] for r in spark.createDataFrame([(0.1234565,), (2.5e-06,)], "x double").select(t.python_round6("x")).collect()] == [0.123456, 3e-06]
-    assert spark.createDataFrame([('{"a":"é","b":1.0E-5}',)], "x string").select(t.python_json("x")).first()[0] == '{"a": "\\u00e9", "b": 1e-05}'
-
-
 CALLS = [
     ('hi <tool_call>{"name":"geocode","arguments":{"place_names":["A}"]}}</tool_call> bye', [("geocode", {"place_names": ["A}"]})], "hi  bye"),
     ('<tool_call>{"name":"f","parameters":{"k":1}}</tool_call>', [("f", {"k": 1})], ""),
