@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,10 @@ SLACK = 1e-5
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, v (array<double>): finite, nonzero, without null parts; one row an id (the greatest vector, if rows differ)."""
+    """row (a number of its own), id, v (array<double>): finite, nonzero, without null parts."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("id").agg(F.max("v").alias("v"))
+    return rows.where(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)).select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,52 +50,70 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return serial_dot(a, b) / (np.sqrt(serial_dot(a, a)) * np.sqrt(serial_dot(b, b)))
 
 
-def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest rows of each query in one tile: query id, id, exact cosine."""
-    q, q_step, q_lost = quantised(unit(queries))
+def tile(query_rows: np.ndarray, queries: np.ndarray, numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k nearest rows of each query in one tile but its own: place of the query, id, exact cosine; `step` queries at a time.
+
+    query_rows and numbers (sorted) are the rows' own numbers, by which a query knows itself.
+    """
     c, c_step, c_lost = quantised(unit(rows))
-    exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # a product of codes is a whole number below 2 to the 24th
-    near = (q.astype(exact) @ c.T.astype(exact)) * (q_step[:, None] * c_step[None, :]).astype(exact)
-    off = (q_lost[:, None] + (1 + q_lost[:, None]) * c_lost[None, :] + SLACK).astype(exact)
-    at = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
-    own = np.nonzero(ids[at] == query_ids)[0]
-    low = near - off
-    low[own, at[own]] = -np.inf
-    if low.shape[1] > k:
-        floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k, None]
-    else:
-        floor = np.full((len(low), 1), -np.inf, exact)
-    near += off
-    near[own, at[own]] = -np.inf
-    alive = (near >= floor) & (near > -np.inf)
-    found: list[tuple[np.ndarray, ...]] = []
-    counts = np.concatenate([[0], np.cumsum(alive.sum(axis=1))])
-    a = 0
-    while a < len(alive):  # runs of queries with a bounded number of survivors
-        b = max(a + 1, int(np.searchsorted(counts, counts[a] + 100_000, "right")) - 1)
-        x, y = np.nonzero(alive[a:b])
-        x += a
-        score = np.concatenate([cosine(queries[x[i : i + 100_000]], rows[y[i : i + 100_000]]) for i in range(0, len(x), 100_000)] or [np.empty(0)])
-        order = np.lexsort((ids[y], -score, x))
-        x, y, score = x[order], y[order], score[order]
-        place = np.arange(len(x)) - np.searchsorted(x, x)
-        keep = place < k
-        found.append((query_ids[x[keep]], ids[y[keep]], score[keep]))
-        a = b
-    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
-
-
-def nearest(vectors: DataFrame, is_query: Column | str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192, query_block: int = 1024) -> DataFrame:
-    """For each query, its k nearest other vectors by cosine: query_id, rank (from 1), vec_id, score; ties to the lesser id.
+    exact = np.float32 if c.shape[1] * 127 * 127 < 1 << 24 else np.float64  # a product of codes is a whole number below 2 to the 24th
+    codes = np.ascontiguousarray(c.T.astype(exact))
+    for a in range(0, len(queries), step):
+        part = queries[a : a + step]
+        q, q_step, q_lost = quantised(unit(part))
+        near = (q.astype(exact) @ codes) * (q_step[:, None] * c_step[None, :]).astype(exact)
+        off = (q_lost[:, None] + (1 + q_lost[:, None]) * c_lost[None, :] + SLACK).astype(exact)
+        at = np.minimum(np.searchsorted(numbers, query_rows[a : a + step]), len(numbers) - 1)
+        own = np.nonzero(numbers[at] == query_rows[a : a + step])[0]
+        low = near - off
+        low[own, at[own]] = -np.inf
+        if low.shape[1] > k:
+            floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k, None]
+        else:
+            floor = np.full((len(low), 1), -np.inf, exact)
+        near += off
+        near[own, at[own]] = -np.inf
+        alive = (near >= floor) & (near > -np.inf)
+        counts = np.concatenate([[0], np.cumsum(alive.sum(axis=1))])
+        b = 0
+        while b < len(alive):  # runs of queries with a bounded number of survivors
+            e = max(b + 1, int(np.searchsorted(counts, counts[b] + 100_000, "right")) - 1)
+            x, y = np.nonzero(alive[b:e])
+            x += b
+            score = np.concatenate([cosine(part[x[i : i + 100_000]], rows[y[i : i + 100_000]]) for i in range(0, len(x), 100_000)] or [np.empty(0)])
+            order = np.lexsort((ids[y], -score, x))
+            x, y, score = x[order], y[order], score[order]
+            keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+            yield x[keep] + a, ids[y[keep]], score[keep]
+            b = e
+
+
+Heaps = dict[tuple[int, int], list[tuple[float, int]]]
+
+
+def push(heaps: Heaps, k: int, query: tuple[int, int], score: float, vec: int) -> None:
+    """Keeps the k best of a query: greatest score, then least id."""
+    heap = heaps.setdefault(query, [])
+    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -vec))
+
+
+def batches_of(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names)
+
+
+def nearest(vectors: DataFrame, is_query: Column | str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192, query_block: int = 16384) -> DataFrame:
+    """For each query, its k nearest other rows by cosine: query_id, rank (from 1), vec_id, score; ties to the lesser id.
 
     is_query: a condition on the column "id". Queries and candidates are cut into blocks, and every pair of blocks
     is one tile, made by an equi-join on the tile's number. A tile multiplies int8 codes, bounds what quantisation
     may have changed, recomputes in doubles the pairs that may be among the k best, and keeps k for a query. A
-    worker merges its tiles by heaps, and one more heap for each query merges the workers: nothing is approximate.
+    worker merges its tiles by heaps, and heaps once more merge the workers: nothing is approximate.
 
-    Null ids, and vectors that are null, zero, empty or hold null or non-finite parts, take no part. Of repeated ids
-    the greatest vector counts. Vectors of different lengths are never compared. Fewer than k candidates: all of
-    them. No vectors or no queries: no rows. Other columns are not read.
+    Null ids, and vectors that are null, zero, empty or hold null or non-finite parts, take no part. Each row is a
+    candidate, and a query if its id is one: rows that repeat an id are found by each other, and each gives results
+    of its own. Vectors of different lengths are never compared. Fewer than k candidates: all of them. No vectors or
+    no queries: no rows. Other columns are not read.
     """
     bound_batches(vectors)
     parts = T.FloatType() if isinstance(vectors.schema[vec_col].dataType, T.ArrayType) and isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else T.DoubleType()
@@ -106,34 +124,38 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 5, id_col: str
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_query // query_block))
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        return pd.DataFrame({"dim": part.dim[:1].to_numpy(), "block": part.block[:1].to_numpy(), "ids": [part.id.to_numpy().astype("<i8").tobytes()], "blob": [np.stack(part.v.to_list()).astype(kind).tobytes()]})
+        part = part.sort_values("row")
+        numbers, ids = (part[c].to_numpy().astype("<i8").tobytes() for c in ("row", "id"))
+        return pd.DataFrame({"dim": part.dim[:1].to_numpy(), "block": part.block[:1].to_numpy(), "numbers": [numbers], "ids": [ids], "blob": [np.stack(part.v.to_list()).astype(kind).tobytes()]})
 
     def blobs(df: DataFrame, count: int) -> DataFrame:
-        dealt = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-        return dealt.groupBy("dim", "block").applyInPandas(gather, "dim int, block int, ids binary, blob binary")
+        dealt = df.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
+        return dealt.groupBy("dim", "block").applyInPandas(gather, "dim int, block int, numbers binary, ids binary, blob binary")
 
-    left = blobs(rows.where(query), query_blocks).select("dim", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.col("ids").alias("query_ids"), F.col("blob").alias("queries"))
-    right = blobs(rows, blocks).select("dim", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("i"), "ids", "blob")
-    tiles = left.hint("shuffle_hash").join(right, ["dim", "i", "j"]).select("dim", "query_ids", "queries", "ids", "blob")
+    left = blobs(rows.where(query), query_blocks).select("dim", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.col("numbers").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("blob").alias("queries"))
+    right = blobs(rows, blocks).select("dim", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("i"), "numbers", "ids", "blob")
+    tiles = left.hint("shuffle_hash").join(right, ["dim", "i", "j"]).select("dim", "query_rows", "query_ids", "queries", "numbers", "ids", "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        heaps: Heaps = {}
         for batch in batches:
-            for dim, *blob in zip(*(batch.column(c) for c in range(5)), strict=True):
-                qi, q, ci, c = (x.as_py() for x in blob)
-                got = tile(np.frombuffer(qi, "<i8"), np.frombuffer(q, kind).reshape(-1, dim.as_py()).astype(float), np.frombuffer(ci, "<i8"), np.frombuffer(c, kind).reshape(-1, dim.as_py()).astype(float), k)
-                for a, b, score in zip(*(x.tolist() for x in got), strict=True):
-                    heap = heaps.setdefault(a, [])
-                    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -b))
-        flat = [(a, -b, score) for a, heap in heaps.items() for score, b in heap]
-        for s in range(0, len(flat), 50_000):
-            a, b, score = zip(*flat[s : s + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, zip((-part.score).to_list(), part.vec_id.to_list(), strict=True))
-        return pd.DataFrame({"query_id": part.query_id.iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": [b for _, b in best], "score": [-s for s, _ in best]})
-
-    local = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
-    return local.repartition(width(vectors), "query_id").groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+            for dim, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                query_rows, query_ids, numbers, ids = (np.frombuffer(blob[j], "<i8") for j in (0, 1, 3, 4))
+                queries, held = (np.frombuffer(blob[j], kind).reshape(-1, dim).astype(float) for j in (2, 5))
+                own = list(zip(query_rows.tolist(), query_ids.tolist(), strict=True))
+                for got in tile(query_rows, queries, numbers, ids, held, k):
+                    for at, vec, score in zip(*(x.tolist() for x in got), strict=True):
+                        push(heaps, k, own[at], score, vec)
+        flat = ((*q, -vec, score) for q, heap in heaps.items() for score, vec in heap)
+        yield from batches_of(flat, ["query_row", "query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps: Heaps = {}
+        for batch in batches:
+            for row, query_id, vec, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                push(heaps, k, (row, query_id), score, vec)
+        flat = ((q[1], rank, -vec, score) for q, heap in heaps.items() for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1))
+        yield from batches_of(flat, ["query_id", "rank", "vec_id", "score"], [pa.int64(), pa.int32(), pa.int64(), pa.float64()])
+
+    local = tiles.mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    return local.repartition(width(vectors), "query_row").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")

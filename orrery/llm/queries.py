@@ -51,7 +51,7 @@ def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, long_words=50)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

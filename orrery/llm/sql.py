@@ -7,16 +7,15 @@ from .secrets import ASSIGN, KINDS, PATTERNS
 
 OP1 = """
 WITH v AS (
-  SELECT vec_id, max(embedding::DOUBLE[]) AS e FROM embeddings
+  SELECT row_number() OVER () AS nr, vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id
-), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+), n AS (SELECT nr, vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) / (q.norm * c.norm) AS score
-  FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+  SELECT q.nr, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) / (q.norm * c.norm) AS score
+  FROM n q JOIN n c ON q.nr <> c.nr AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
@@ -84,7 +83,7 @@ FROM r GROUP BY conv_id
 
 OP7 = _op7()
 
-OP9 = """
+OP9 = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos
   FROM documents WHERE text IS NOT NULL
@@ -92,6 +91,7 @@ WITH l AS (
   SELECT doc_id, pos, trim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE trim(line, ' ') <> ''
 ), w AS (
   SELECT a.doc_id, a.i, a.pos AS pos1, b.pos AS pos2, a.line || chr(10) || b.line AS key FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+  UNION ALL SELECT doc_id, i, pos, pos, line FROM n WHERE len(string_split_regex(line, '\s+')) >= 50
 ), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS k FROM w),
 gone AS (SELECT doc_id, pos1 AS pos FROM r WHERE k > 1 UNION SELECT doc_id, pos2 FROM r WHERE k > 1),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text, count(*) AS n_lines, count(gone.pos) AS n_deleted
