@@ -28,6 +28,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that materialise has written and that nothing reads any more."""
+    for file in df.inputFiles():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def width(df: DataFrame) -> int:
     """Partitions of a shuffle, as the session sets them for the size of the job."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -37,21 +44,23 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of the undirected links (a, b): node, component (the least node reachable).
 
     Each round takes the least label among neighbours and then the label of that label, so a chain
-    shortens geometrically; each round's labels are a written table. Only the number of changed rows
-    comes to the driver. Null ends are left out; no links give no rows.
+    shortens geometrically; each round's labels are a written table, which goes when the next one is written.
+    Only whether a row has changed comes to the driver. Null ends are left out; no links give no rows.
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     both = materialise(both.union(both.select("y", "x")).distinct(), "links")
     labels = materialise(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
     while True:
+        labels = labels.select("node", "label")
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("m"))
         low = labels.join(near, labels.node == near.x, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("low"), F.col("label").alias("was"))
         up = low.select(F.col("node").alias("n2"), F.col("low").alias("low2"))
         new = low.join(up, low.low == up.n2, "left").select("node", F.least("low", F.coalesce("low2", "low")).alias("label"), "was")
         new = materialise(new, "labels")
+        discard(labels)
         if new.where("label <> was").isEmpty():
             return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        labels = new
 
 
 def bind(value: Column, then: Callable[[Column], Column]) -> Column:

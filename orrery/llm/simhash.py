@@ -308,8 +308,8 @@ def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long")
 
 
-def similar_links(rows: DataFrame, least: float, radius: int, few: int, block: int) -> DataFrame | None:
-    """Verified links (a, b) of names in a table of shingle_sets; None for none.
+def similar_parts(rows: DataFrame, least: float, radius: int, few: int, block: int) -> DataFrame | None:
+    """Parts (node, component) of the names in a table of shingle_sets that verified links join; None for no links.
 
     A first pass over all tiles counts the near sets of each set. The next ones take only sets that have some, and
     verify, for each, near sets of other parts: `few` nearest ones and `few` of the highest count, in each pair of
@@ -323,16 +323,16 @@ def similar_links(rows: DataFrame, least: float, radius: int, few: int, block: i
     if busy.isEmpty():
         return None
     held = materialise(rows.select("name", "held").join(busy.select("name"), "name", "left_semi").groupBy("name").agg(F.min("held").alias("held")), "held")
-    links, turn = None, 0
+    links, parts, turn = None, None, 0
     while not (busy := busy.where(F.col("degree") > turn * few)).isEmpty():
-        parts = components(links, "a", "b") if links is not None else None
         placed = busy.join(parts, busy.name == parts.node, "left").withColumn("part", F.coalesce("component", "name")) if parts is not None else busy.withColumn("part", F.col("name"))
         edges = materialise(near_edges(placed, radius, least, few, turn, block), "edges")
         found = materialise(verified(edges, held, least), "links")
         if found.isEmpty():
             break
         links, turn = found if links is None else links.unionAll(found), turn + 1
-    return links
+        parts = components(links, "a", "b")
+    return parts
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 34, few: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 8192) -> DataFrame:
@@ -347,12 +347,11 @@ def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, radius: int =
     their component is known. An empty table gives no rows.
     """
     rows = shingle_sets(docs, words, id_col, text_col)
-    links = similar_links(rows, least, radius, few, block)
+    member = similar_parts(rows, least, radius, few, block)
     classes = rows.groupBy(F.col("name").alias("set")).agg(F.min("doc").alias("least"))
-    if links is None:
+    if member is None:
         part = classes.withColumn("component", F.col("set"))
     else:
-        member = components(links, "a", "b")
         part = classes.join(member, classes.set == member.node, "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     part = materialise(part, "classes")
     ids = part.groupBy("component").agg(F.min("least").alias("component_id"))
