@@ -20,7 +20,7 @@ from .quality import held_out
 END, END_KEY = 10, 0
 LN2 = float(np.log(2))
 #: Bytes that are numbered at once.
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 @dataclass
@@ -50,6 +50,19 @@ def runs_of(bodies: list[bytes], depth: int, step: int = STEP) -> Iterator[list[
         yield some
 
 
+def groups_of(bodies: list[bytes], step: int = 4 * STEP) -> Iterator[list[bytes]]:
+    """Bodies in groups of about `step` bytes."""
+    some, total = [], 0
+    for body in bodies:
+        some.append(body)
+        total += len(body)
+        if total >= step:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
+
+
 def grams(runs: list[tuple[int, bytes, int]], depth: int, table: int = 1 << 22) -> Grams:
     """Prefixes get numbers, byte by byte; where the next byte would take more than `table` numbers, those in use are
     numbered anew. No sort is needed. Keys may hold a few strings over the end of a run, which nothing refers to."""
@@ -74,7 +87,7 @@ def grams(runs: list[tuple[int, bytes, int]], depth: int, table: int = 1 << 22)
 def renumbered(number: np.ndarray, keys: np.ndarray, used: np.ndarray, since: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of those that occur, in the same order, and their keys: number // len(used) ** since tells the key so far."""
     size = len(keys) * len(used) ** since
-    if size > 1 << 26:
+    if size > 1 << 25:
         found, number = np.unique(number, return_inverse=True)
         number = number.astype(np.int32)
     else:  # a bit for each number that occurs; its place is the count of bits before it
@@ -102,15 +115,25 @@ def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def gathered(runs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """As merged, of runs that come one by one; about `most` keys wait for the next merge."""
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+    for run in runs:
+        some.append(run)
+        if sum(len(k) for k, _ in some[1:]) > most:
+            some = [merged(some)]
+    return merged(some)
+
+
 def packed(x: np.ndarray, rising: bool = False) -> bytes:
-    """Whole numbers of 64 bits, compressed byte by byte of each; rising ones as steps."""
+    """Numbers of 64 bits, compressed byte by byte of each; rising ones as steps."""
     x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    planes = np.ascontiguousarray((x if x.dtype == np.float64 else x.astype("<u8")).view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpacked(blob: bytes, rising: bool = False) -> np.ndarray:
-    planes = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    planes = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
     x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
     return np.cumsum(x, dtype=np.uint64) if rising else x
 
@@ -260,7 +283,7 @@ class Top:
         return total
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 16) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 32) -> DataFrame:
     """A table of chunks of about `mb` MB: chunk, docs, held (arrays), body (zstd of the normalised texts, a line each)."""
     bound_batches(docs)
 
@@ -369,27 +392,30 @@ def score(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str
     buckets = width(docs)
     parts = -(-chunks.count() // gather) or 1
 
-    def numbered(bodies: list[bytes]) -> Iterator[Grams]:
-        return (grams(r, depth) for r in runs_of(bodies, depth))
+    def learnt_words(bodies: list[bytes], learn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a = 0
+        for group in groups_of(bodies):
+            w, own = Words.of(group), learn[a : a + len(group)]
+            n = np.bincount(w.at[np.repeat(own, w.sizes)], minlength=len(w.keys))
+            n[0] += own.sum()
+            yield w.keys, n
+            a += len(group)
+
+    def learnt_grams(bodies: list[bytes], learn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for runs in runs_of(bodies, depth):
+            g = grams(runs, depth)
+            yield g.keys, np.bincount(g.at[np.repeat(learn[g.text], g.sizes)], minlength=len(g.keys)).astype(np.int32)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, held, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 bodies, learn, part = bodies_of(body), ~np.array(held, bool), ((chunk >> 32) + (chunk & 0xFFFFFFFF) * 7919) % parts
-                w = Words.of(bodies)
-                n = np.bincount(w.at[np.repeat(learn, w.sizes)], minlength=len(w.keys))
-                n[0] += learn.sum()
-                rows = [(0, b, part, chunk, packed(w.keys[i], True), packed(n[i])) for b, i in dealt(buckets, word_bucket(w.keys, buckets))]
-                del w
-                some = []
-                for g in numbered(bodies):
-                    count = np.bincount(g.at[np.repeat(learn[g.text], g.sizes)], minlength=len(g.keys))
-                    some.append((g.keys, count))
-                keys, n = merged(some)
-                del some
+                keys, n = gathered(learnt_words(bodies, learn))
+                rows = [(0, b, part, chunk, packed(keys[i], True), packed(n[i])) for b, i in dealt(buckets, word_bucket(keys, buckets))]
+                keys, n = gathered(learnt_grams(bodies, learn))
                 rows += [(1, b, part, chunk, packed(keys[i], True), packed(n[i])) for b, i in dealt(buckets, gram_bucket(keys, buckets, depth))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], list(KINDS))
-                del rows, keys, n
+                del rows, keys, n, bodies
         release()
 
     def read(part: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -432,39 +458,42 @@ def score(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str
         words = not len(asked) or asked["kind"].iloc[0] == 0
         value = counts.astype(np.float64) if words else top.value.log10(every, counts, depth)
         cuts = np.cumsum([len(have), *map(len, wanted)])
-        blobs = [value[inverse[cuts[j] : cuts[j + 1]]].tobytes() for j in range(len(wanted))]
-        return pd.DataFrame({"kind": asked["kind"], "bucket": asked["bucket"], "chunk": asked["chunk"], "value": blobs})
+        blobs = [packed(value[inverse[cuts[j] : cuts[j + 1]]]) for j in range(len(wanted))]
+        return pd.DataFrame({"kind": asked["kind"], "bucket": asked["bucket"], "chunk": asked["chunk"], "keys": asked["keys"], "value": blobs})
 
     spread = learnt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     by = ["kind", "bucket", "part"]
-    replies = spread.groupBy(*by).cogroup(counted.drop("counts").groupBy(*by)).applyInPandas(answer, "kind int, bucket int, chunk long, value binary")
+    replies = spread.groupBy(*by).cogroup(counted.drop("counts").groupBy(*by)).applyInPandas(answer, "kind int, bucket int, chunk long, keys binary, value binary")
 
     def finish(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         bodies, held, doc = bodies_of(chunk["body"].iloc[0]), list(chunk["held"].iloc[0]), list(chunk["docs"].iloc[0])
-        by = {(int(k), int(b)): v for k, b, v in zip(got["kind"], got["bucket"], got["value"], strict=True)}
-
-        def values(kind: int, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-            out = np.empty(len(keys))
-            for b, i in dealt(buckets, bucket):
-                out[i] = np.frombuffer(by.pop((kind, b)), np.float64)
-            return out
 
-        w = Words.of(bodies)
-        n = values(0, w.keys, word_bucket(w.keys, buckets))
-        log, of = np.log10((n + 0.5) / (n_train + 0.5 * (n_known + 1))), np.repeat(np.arange(len(bodies)), w.sizes)
-        base, known = (np.bincount(of, x[w.at], len(bodies)) for x in (log, n > 0))
-        out = pd.DataFrame({"n_tokens": w.sizes + 1, "n_known": known.astype(np.int64) + int(n[0] > 0), "base_score": base + log[0]})
-        del w, n, log, of
-        every = list(numbered(bodies))
-        keys, _ = merged([(g.keys, np.zeros(len(g.keys), np.int8)) for g in every])
-        value = values(1, keys, gram_bucket(keys, buckets, depth))
+        def values(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            """Sorted keys of the chunk and what was answered for each."""
+            mine = got[got["kind"] == kind]
+            keys = np.concatenate([unpacked(k, True) for k in mine["keys"]])
+            order = np.argsort(keys, kind="stable")
+            return keys[order], np.concatenate([unpacked(v).view(np.float64) for v in mine["value"]])[order]
+
+        keys, n = values(0)
+        log = np.log10((n + 0.5) / (n_train + 0.5 * (n_known + 1)))
+        words, known, base = [], [], []
+        for group in groups_of(bodies):
+            w = Words.of(group)
+            own, of = np.searchsorted(keys, w.keys), np.repeat(np.arange(len(group)), w.sizes)
+            words.append(w.sizes + 1)
+            known.append(np.bincount(of, (n[own] > 0)[w.at], len(group)).astype(np.int64) + int(n[0] > 0))
+            base.append(np.bincount(of, log[own][w.at], len(group)) + log[0])
+        out = pd.DataFrame({"n_tokens": np.concatenate(words), "n_known": np.concatenate(known), "base_score": np.concatenate(base)})
+        keys, value = values(1)
         scores = np.zeros(len(bodies))
-        for g in every:
-            own = value[np.searchsorted(keys, g.keys)]
+        for runs in runs_of(bodies, depth):
+            g = grams(runs, depth)
+            own = value[np.minimum(np.searchsorted(keys, g.keys), len(keys) - 1)]
             np.add.at(scores, g.text, np.add.reduceat(own[g.at], np.cumsum(g.sizes) - g.sizes))
         size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
         out = out.assign(doc_id=pd.array(doc, "Int64"), held_out=held, train_tokens=n_train, score=scores, bits_per_byte=-scores / np.log10(2) / size)[SCORED]
-        del every, keys, value, bodies
+        del keys, value, bodies
         release()
         return out
 
