@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, gram_hashes, materialise, width
+from ._common import bound_batches, gram_hashes, materialise, release, width
 
 #: Bytes of the grams whose least hash names a window's shard, and low bits of a hash that give way to a place.
 GRAM = 16
@@ -254,7 +254,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     row a chunk.
 
     Null and empty texts: no bytes. A null id comes before all others; rows of one id never remove each other's bytes.
-    An empty table gives no rows. Other columns are not read. length: 24 at least.
+    An empty table gives no rows. Other columns are not read. A text longer than a chunk is a chunk of its own, which
+    one worker holds. length: 24 at least.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
@@ -267,6 +268,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
                 name, several = Chunk(row["docs"], row["sizes"], row["body"], length).names()
                 marked = name | several.astype(np.uint64)
                 yield from _batch([(b, row["chunk"], marked[s].tobytes()) for b, s in _slices(name, buckets)], {"bucket": pa.int32(), "chunk": pa.int64(), "names": pa.binary()})
+        release()
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         marked = [np.frombuffer(b, np.uint64) for b in part.names]
@@ -299,6 +301,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
             mine = [found[k] for k in i.tolist()]
             body = b"".join(mine)
             rows.append((b, int(chunk.chunk.iloc[0]), np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes(), least[i].tobytes(), name[i].tobytes(), len(body), pa.compress(body, "zstd", asbytes=True)))
+        del c, found
+        release()
         return pd.DataFrame(rows, columns=["bucket", "chunk", "sizes", "least", "name", "bytes", "body"])
 
     def shard(part: pd.DataFrame) -> pd.DataFrame:
@@ -329,6 +333,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
             line = np.concatenate(each)
             new = np.nonzero(np.concatenate([[True], line[1:] != line[:-1]]))[0]
             rows.append((1, int(bucket), int(chunk), np.diff(np.append(new, len(line))).astype(np.uint32).tobytes() + line[new].tobytes()))
+        del number, found, value
+        release()
         return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "reply"])
 
     sent = chunks.groupBy("chunk").cogroup(active.groupBy("chunk")).applyInPandas(segments, "bucket int, chunk long, sizes binary, least binary, name binary, bytes long, body binary")
@@ -366,6 +372,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
             kept = body[a:b][~d].tobytes() if n else c.body[a:b]
             spans = int((d[1:] & ~d[:-1]).sum() + d[0]) if n else 0
             rows.append((doc, b - a, n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+        release()
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
         return out.assign(doc_id=out.doc_id.astype("Int64"))
 
