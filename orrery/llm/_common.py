@@ -20,11 +20,12 @@ except OSError:  # another C library
     LIBC = None
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: its lineage ends there, and it outlives executors."""
+def materialise(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: its lineage ends there, and it outlives executors.
+    packed: its columns are compressed as they are, and compressing large values again only takes memory beside the heap."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="none" if packed else None)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -288,12 +288,12 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 32) -> DataFr
     bound_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, count, held, size = TaskContext.get().partitionId() << 32, 0, ([], [], []), 0
+        base, count, held, size, zstd = TaskContext.get().partitionId() << 32, 0, ([], [], []), 0, pa.Codec("zstd", 6)
 
         def close() -> pa.RecordBatch:
             nonlocal count, held, size
             body = b"\n".join(held[2])
-            blob = len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+            blob = len(body).to_bytes(8, "little") + zstd.compress(body)
             out = pa.RecordBatch.from_arrays([pa.array([base + count]), pa.array([held[0]], pa.list_(pa.int64())), pa.array([held[1]], pa.list_(pa.bool_())), pa.array([blob], pa.binary())], ["chunk", "docs", "held", "body"])
             count, held, size = count + 1, ([], [], []), 0
             return out
@@ -310,9 +310,10 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 32) -> DataFr
                     yield close()
         if held[0]:
             yield close()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), held_out(id_col, fold=1).alias("held"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(run, "chunk long, docs array<long>, held array<boolean>, body binary"), "chunks")
+    return materialise(rows.mapInArrow(run, "chunk long, docs array<long>, held array<boolean>, body binary"), "chunks", True)
 
 
 def bodies_of(blob: bytes) -> list[bytes]:
@@ -426,8 +427,8 @@ def score(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str
         keys, n = merged([(k[n > 0], n[n > 0]) for k, n in read(part)])
         return pd.DataFrame({"kind": part["kind"].iloc[:1], "bucket": part["bucket"].iloc[:1], "part": part["part"].iloc[:1], "chunk": [-1], "keys": [packed(keys, True)], "counts": [packed(n)]})
 
-    counted = materialise(chunks.select("chunk", "held", "body").mapInArrow(tally, RUN), "counts")
-    learnt = materialise(counted.groupBy("kind", "bucket", "part").applyInPandas(add, RUN).groupBy("kind", "bucket").applyInPandas(add, RUN), "learnt")
+    counted = materialise(chunks.select("chunk", "held", "body").mapInArrow(tally, RUN), "counts", True)
+    learnt = materialise(counted.groupBy("kind", "bucket", "part").applyInPandas(add, RUN).groupBy("kind", "bucket").applyInPandas(add, RUN), "learnt", True)
 
     def sized(part: pd.DataFrame) -> pd.DataFrame:
         n = np.concatenate([n for _, n in read(part)])
