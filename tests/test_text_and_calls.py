@@ -41,6 +41,13 @@ def test_coordinates(spark):
         (None, None, "empty"),
         (";;", None, "no pairs"),
         ("[[1]]", None, "not a pair"),
+        ("-1.5e3 ,\t0.25 ;\n 3 4", [[-1500, 0.25], [3, 4]], None),
+        ("1, 2;3, 4\n5, 6", [[1, 2], [3, 4], [5, 6]], None),
+        ("1 2;", [[1, 2]], None),
+        (".5 +6; 007 1.", [[0.5, 6], [7, 1]], None),
+        ("1\n2", None, "not a pair"),
+        ("1 2; 3 x", None, "not a number: 3 x"),
+        ("1 2;" * 20_000, [[1, 2]] * 20_000, None),
     ]
     df = spark.createDataFrame([(i, x) for i, (x, _, _) in enumerate(cases)], "i int, x string")
     got = df.orderBy("i").select(t.parse_coords(F.col("x")).alias("p")).collect()
