@@ -1,5 +1,6 @@
 """op1 and op2."""
 
+import os
 import zlib
 from math import log, sqrt
 
@@ -125,6 +126,16 @@ def test_ties_go_to_the_first():
     assert quality.nearest(near[:, :2], 2).tolist() == [[0, 1]] * 3
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_held_out_documents_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").select("quality", "score", "predicted").collect()
+    good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    print(len(got), area, sum(r.predicted == r.quality for r in got) / len(got))
+    assert area >= 0.99 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+
+
 def test_no_labels_no_documents(docs, none, labelled):
     _, labels = labelled
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
