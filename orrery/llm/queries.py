@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, lines, lm, packing, quality, secrets, simhash, suffixes
-from .sql import OP1, OP6, OP7, OP9
+from . import ann, chat, decontam, fim, lines, lm, packing, quality, secrets, simhash, suffixes
+from .sql import OP1, OP6, OP7, OP9, OP13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(_table(spark, sf_dir, "documents"), unit="codepoint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_qgram_decontamination,
         op9_winnowing_line_dedup,
         op10_suffix_array_dedup,
+        op13_fill_in_middle,
     )
 }
 ORACLE: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE: dict[str, str] = {
     op6_credential_linking.__name__: OP6,
     op7_schema_chat_format.__name__: OP7,
     op9_winnowing_line_dedup.__name__: OP9,
+    op13_fill_in_middle.__name__: OP13,
 }
