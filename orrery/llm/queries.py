@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, fim, lines, lm, packing, quality, secrets, simhash, suffixes
-from .sql import OP1, OP6, OP7, OP9, OP13
+from . import ann, chat, decontam, fim, lines, lm, manifest, packing, quality, secrets, simhash, suffixes
+from .sql import OP1, OP6, OP7, OP9, OP11, OP13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return manifest.audit(_table(spark, sf_dir, "documents"), claim=(tampered, {"text": lowered}))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.transform(_table(spark, sf_dir, "documents"), unit="codepoint"))
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_qgram_decontamination,
         op9_winnowing_line_dedup,
         op10_suffix_array_dedup,
+        op11_merkle_manifest,
         op13_fill_in_middle,
     )
 }
@@ -83,5 +91,6 @@ ORACLE: dict[str, str] = {
     op6_credential_linking.__name__: OP6,
     op7_schema_chat_format.__name__: OP7,
     op9_winnowing_line_dedup.__name__: OP9,
+    op11_merkle_manifest.__name__: OP11,
     op13_fill_in_middle.__name__: OP13,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from .chat import Template
 from .secrets import ASSIGN, KINDS, PATTERNS
 
@@ -101,6 +103,48 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+
+def _op11(within: int = 5, over: int = 4) -> str:
+    """A tree of 16 within each source and one over the sources, for 16 ** within rows of a source and 16 ** over sources."""
+
+    def field(value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts = [f"""leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM (
+  SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN crc % 5 = 0 THEN {leaf(lowered)} END AS claimed
+  FROM (SELECT documents.*, crc32 AS crc FROM documents LEFT JOIN crcs USING (doc_id))))""", "n0 AS (SELECT source AS k, spot AS i, leaf AS h FROM leaves)"]
+    for level in range(1, within + over + 1):
+        if level == within + 1:
+            parts.append(f"subroots AS (SELECT k AS source, h AS subroot, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS nr FROM n{within})")
+            parts.append(f"m{within} AS (SELECT '' AS k, nr AS i, subroot AS h FROM subroots)")
+        below = f"m{within}" if level == within + 1 else f"n{level - 1}"
+        parts.append(f"g{level} AS (SELECT k, i // 16 AS i, string_agg(h, '' ORDER BY i) AS s, i // 16 = 0 AND count(*) = 1 AS alone FROM {below} GROUP BY k, i // 16)")
+        parts.append(f"n{level} AS (SELECT k, i, CASE WHEN alone THEN s ELSE sha256(s) END AS h FROM g{level})")
+    parts.append("f0 AS (SELECT doc_id, leaf, subroot, spot, nr, leaves.source, coalesce(claimed, leaf) AS fold, '' AS proof FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source)")
+    for level in range(1, within + over + 1):
+        place, step = ("spot", 16 ** (level - 1)) if level <= within else ("nr", 16 ** (level - within - 1))
+        key = "f.source" if level <= within else "''"
+        left, right = f"s[1:64 * (({place} // {step}) % 16)]", f"s[64 * (({place} // {step}) % 16) + 65:]"
+        left = f"CASE WHEN ({place} // {step}) % 16 = 0 THEN '' ELSE {left} END"
+        parts.append(f"""f{level} AS (SELECT f.* EXCLUDE (fold, proof), CASE WHEN alone THEN fold ELSE sha256({left} || fold || {right}) END AS fold, CASE WHEN alone THEN proof ELSE proof || {left} || {right} END AS proof
+  FROM f{level - 1} f JOIN g{level} ON k IS NOT DISTINCT FROM {key} AND i = {place} // {16 * step})""")
+    crcs = _crc32("SELECT DISTINCT doc_id, doc_id::VARCHAR AS v FROM documents WHERE doc_id IS NOT NULL")
+    return f"""WITH {crcs}, {", ".join(parts)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM f{within + over} CROSS JOIN n{within + over}"""
+
+
+def _crc32(values: str) -> str:
+    """crcs (doc_id, crc32) of texts (doc_id, v) of ASCII, by the polynomial, a character and then a bit at a time."""
+    return f"""crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(v) + 1), lambda i: ascii(v[i])::BIGINT)),
+  lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) AS crc32 FROM ({values}))"""
+
+
+OP11 = _op11()
+
 OP13 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 n AS (SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
