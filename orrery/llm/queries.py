@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, fim, lines, lm, manifest, packing, quality, secrets, simhash, suffixes
+from . import ann, chat, decontam, fim, lines, lm, manifest, packing, quality, secrets, simhash, suffixes, toxicity
 from .sql import OP1, OP6, OP7, OP9, OP11, OP13
 
 
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(_table(spark, sf_dir, "documents"), claim=(tampered, {"text": lowered}))
 
 
+def op12_toxicity_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.transform(_table(spark, sf_dir, "documents"), unit="codepoint"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_winnowing_line_dedup,
         op10_suffix_array_dedup,
         op11_merkle_manifest,
+        op12_toxicity_votes,
         op13_fill_in_middle,
     )
 }
