@@ -29,11 +29,13 @@ def materialise(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table that materialise has written and that nothing reads any more."""
-    for file in df.inputFiles():
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of tables that materialise has written and that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession.sparkContext
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def width(df: DataFrame) -> int:
