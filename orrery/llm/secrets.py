@@ -73,8 +73,8 @@ def scan(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
     parts = rows.select("row", "doc_id", F.explode_outer(F.concat(*[spans(F.col("t"), k) for k in KINDS])).alias("s"))
     parts = parts.select("row", "doc_id", "s.start", "s.nr", "s.kind", "s.end")
-    ordered = Window.partitionBy("row").orderBy("start")
-    before, after = ordered.rangeBetween(Window.unboundedPreceding, 0), ordered.rangeBetween(0, Window.unboundedFollowing)
+    # Both frames grow from the first row on, one in either order: a frame that shrinks is made anew for every row.
+    before, after = (Window.partitionBy("row").orderBy(order).rangeBetween(Window.unboundedPreceding, 0) for order in (F.asc("start"), F.desc("start")))
 
     def near(*kinds: str) -> Column:
         """Whether a span of the kinds ends at most `scope` before this one's start, or starts as much after its end; spans that overlap are near."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import string
 
 from .chat import Template
-from .secrets import ASSIGN, KINDS, PATTERNS
 
 OP1 = """
 WITH v AS (
@@ -26,10 +25,26 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _either_case(words: str) -> str:
+    """A pattern of words for ASCII letters in either case; the dialect's own flag takes other letters, too."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: Kinds of spans in their order, with patterns in DuckDB's dialect; letters of the first part of assign in either case.
+_SECRETS = {
+    "assign": f"(?:{_either_case('password|passwd|secret|token|api_?key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[0-9A-Z]{12}[0-9A-Z]*",
+    "hex": "[a-f0-9]{32}[a-f0-9]*",
+    "keyid": "A(?:SIA|IDA|ROA)[0-9A-Z]{12}[0-9A-Z]*",
+    "blob": "[+/0-9A-Za-z]{40}[+/0-9A-Za-z]*",
+    "endpoint": r"https?://[-.:_0-9A-Za-z]+|[-0-9A-Za-z]+(?:[.][-0-9A-Za-z]+)*[.]amazonaws[.]com",
+}
+
+
 def _op6() -> str:
     kinds = []
-    for nr, kind in enumerate(KINDS):
-        pattern = _quoted(ASSIGN if kind == "assign" else PATTERNS[kind])
+    for nr, (kind, pattern) in enumerate(_SECRETS.items()):
+        pattern = _quoted(pattern)
         kept = {"assign": f"length(regexp_extract(w, {pattern}, 1)) >= 8", "blob": "length(w) = 40"}.get(kind, "true")
         kinds.append(f"""
 SELECT doc_id, {nr} AS nr, '{kind}' AS kind, s AS start, s + length(w) AS "end" FROM (

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -131,6 +132,23 @@ def test_many_turns_and_spans_in_one_text(spark):
     assert r.n_assign == n and r.spans == want
 
 
+def test_time_grows_as_the_number_of_spans(spark):
+    """Links, too: twice the weak parts of a text take less than three times the time."""
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"ASIA{i:012d}X https://h{i}.io secret=abcdefgh{i}" for i in range(n)))], "doc_id long, text string")
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert secrets.scan(df).first().n_assign == n
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    seconds(7_000)
+    few, many = seconds(7_000), seconds(14_000)
+    assert many < 3 * few
+
+
 def test_scope_is_a_gap(spark):
     long = "password=" + "Zz9." * 200
     cases = [(long + " ASIAABCDEFGH12345", 2), ("ASIAABCDEFGH12345 " + long, 2), (long + " " * 256 + "ASIAABCDEFGH12345", 2), (long + " " * 257 + "ASIAABCDEFGH12345", 1), ("secret=x" + long + "/ASIAABCDEFGH12345" + "z" * 600, 2)]
