@@ -110,7 +110,7 @@ class Index:
         order = order[strongest[order] < n_terms]
         place = np.full(n, -1)
         place[order] = np.arange(len(order))
-        self.example, self.ids = order, ids[order]
+        self.example, self.ids, self.place = order, ids[order], place
         self.blocks = -(-len(order) // BLOCK)
         at = place[np.repeat(np.arange(n), np.diff(start))]
         cell = term * max(self.blocks, 1) + at // BLOCK
@@ -124,30 +124,25 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int = -1, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Examples (their numbers) with the k greatest positive cosines, greatest first, ties to the lesser id, and the cosines.
 
-        Blocks are taken in order of their bounds, `step` at a time, until the next bound is below the k-th cosine: no example
+        Blocks are taken in order of their bounds, `step` and then twice as many at a time, until the next bound is below the k-th cosine: no example
         that could be among them is left out. but: the number of an example that takes no part.
         """
         bound = weight @ self.most[term] if self.blocks else np.empty(0)
         queue = np.argsort(-bound, kind="stable")
         queue = queue[bound[queue] > 0]
-        scores = np.zeros(self.blocks * BLOCK)
-        seen, kth = np.empty(0, np.int64), 0.0
-        for a in range(0, len(queue), step):
-            if bound[queue[a]] < kth - 1e-12:
-                break
+        scores, kth, a = np.zeros(self.blocks * BLOCK), 0.0, 0
+        while a < len(queue) and bound[queue[a]] >= kth - 1e-12:
             blocks = queue[a : a + step]
             cell = (term[:, None] * self.blocks + blocks).ravel()
             size = self.first[cell + 1] - self.first[cell]
             at = ranges(self.first[cell], size)
-            np.add.at(scores, self.at[at], np.repeat(np.repeat(weight, len(blocks)), size) * self.weight[at])
-            seen = np.concatenate([seen, *(np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.ids))) for b in blocks)])
-            some = scores[seen]
+            scores += np.bincount(self.at[at], np.repeat(np.repeat(weight, len(blocks)), size) * self.weight[at], len(scores))
             if but >= 0:
-                some = np.where(self.example[seen] == but, 0, some)
-            if len(some) >= k:
-                kth = np.partition(some, len(some) - k)[len(some) - k]
-        seen = seen[(scores[seen] > 0) & (self.example[seen] != but)]
-        best = seen[np.lexsort((self.ids[seen], -np.round(scores[seen], 12)))[:k]]
+                scores[self.place[but]] = 0
+            a, step = a + step, 2 * step
+            kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        found = np.flatnonzero(scores > 0)
+        best = found[np.lexsort((self.ids[found], -np.round(scores[found], 12)))[:k]]
         return self.example[best], scores[best]
 
 
@@ -220,12 +215,13 @@ class Model:
         return np.clip(out, 0, 1), near, told
 
 
-def choose(counts: DataFrame, examples: dict[int, int], least: int, most: int) -> Lexicon:
-    """The terms of `counts` (term, toxic, clean) whose counts differ between the labels beyond chance.
+def choose(counts: DataFrame, examples: dict[int, int], least: int, most: int, odds_ratio: float) -> Lexicon:
+    """The terms of `counts` (term, toxic, clean) whose counts differ between the labels beyond chance, and by much.
 
     A term stays if its log-likelihood ratio is over 2 ln of the number of terms in `least` examples or more, at which
-    about one term in all would stay by chance. Its weight is its inverse document frequency times the lower end of the 95 %
-    interval of its log odds ratio. Of more than `most`, those with the greatest ratios stay: the bound of what comes to the driver.
+    about one term in all would stay by chance, and the 95 % interval of its odds ratio is beyond `odds_ratio`: with many
+    examples the words of a language that has a few toxic texts more would stay, too. Its weight is its inverse
+    document frequency times the lower end of the interval of its log odds ratio. Of more than `most`, those with the greatest ratios stay: the bound of what comes to the driver.
     """
     yes, no = examples[1], examples[0]
     a, c = F.col("toxic"), F.col("clean")
@@ -237,13 +233,14 @@ def choose(counts: DataFrame, examples: dict[int, int], least: int, most: int) -
     n = max(rows.count(), 2)
     odds = F.log(((a + 0.5) * (F.lit(no + 0.5) - c)) / ((c + 0.5) * (F.lit(yes + 0.5) - a)))
     error = F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5) + 1 / (F.lit(yes + 0.5) - a) + 1 / (F.lit(no + 0.5) - c))
-    weight = (F.log(F.lit(yes + no + 1.0) / (a + c + 1)) + 1) * (F.abs(odds) - 1.96 * error)
-    rows = rows.select("term", ratio.alias("ratio"), weight.alias("weight")).where((F.col("ratio") > 2 * log(n)) & (F.col("weight") > 0))
+    low = F.abs(odds) - 1.96 * error
+    weight = (F.log(F.lit(yes + no + 1.0) / (a + c + 1)) + 1) * low
+    rows = rows.where(low > log(odds_ratio)).select("term", ratio.alias("ratio"), weight.alias("weight")).where(F.col("ratio") > 2 * log(n))
     kept = sorted((r.term, r.weight) for r in rows.orderBy(F.desc("ratio"), "term").limit(most).collect())
     return Lexicon(pa.array([t for t, _ in kept], pa.string()), np.array([w for _, w in kept], np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 4096, least: int = 4, k: int = 15, power: float = 2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 4096, least: int = 4, odds_ratio: float = 3.0, k: int = 15, power: float = 2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most `sample` distinct labelled texts of each class outside the held-out fold, those with the least hashes.
 
     `sample` and `most` terms bound the model, which is broadcast: at most 2 x sample examples of most entries each, and
@@ -269,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 4096
         release()
 
     counts = examples.select("text", "y").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    lexicon = choose(materialise(counts, "terms"), size, least, most) if all(size.values()) else Lexicon(pa.array([], pa.string()), np.empty(0))
+    lexicon = choose(materialise(counts, "terms"), size, least, most, odds_ratio) if all(size.values()) else Lexicon(pa.array([], pa.string()), np.empty(0))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
