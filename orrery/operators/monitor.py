@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ def headroom(spare_gib: Column) -> Column:
     return F.when(spare_gib > SPARE_GIB, F.lit("safe")).when(spare_gib > 0, F.lit("tight")).otherwise(F.lit("oom"))
 
 
-def all_safe(judged: DataFrame, verdict: str = "verdict") -> DataFrame:
-    """One row: whether every workload is safe; true for none."""
-    return judged.agg(F.coalesce(F.bool_and(F.col(verdict) == "safe"), F.lit(True)).alias("safe"))
+def all_safe(judged: DataFrame, verdict: str = "verdict", by: Sequence[str] = ()) -> DataFrame:
+    """Whether every workload is safe, in one row (true for none), or in one for each group, in one pass."""
+    return judged.groupBy(*by).agg(F.coalesce(F.bool_and(F.col(verdict) == "safe"), F.lit(True)).alias("safe"))
 
 
 def gib(size: Column) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed
-from ..functions.geometry import arcs, combine, representative_points
+from ..functions.geometry import arcs, combine, last_wins, representative_points
+from ..functions.numbers import fixed as fixed_text
+from ..functions.numbers import json_number, json_text, rounded
 from ..functions.text import normal_answer
 from ..schemas import require_columns
 
@@ -55,44 +53,47 @@ def message(role: str, content: Column | None = None, name: str | None = None, c
     )
 
 
-def _point(p: dict) -> str:
-    return f"({p['x']:.2f}, {p['y']:.2f})"
-
-
-@F.pandas_udf(T.StringType())
-def reasoning_trace(names: pd.Series, points: pd.Series, labels: pd.Series, label: pd.Series) -> pd.Series:
-    """Trace of the cross products of a path; number text as Python formats it, which no built-in function does."""
+def number_texts(rows: DataFrame) -> DataFrame:
+    """rows (points, labels, arcs) with the texts of their numbers: of coordinates to six places (geo_numbers) and unrounded
+    (raw_numbers), and with two places of coordinates and of the vectors from the first point (shown), x and y in turn, and of determinants (dets)."""
+    xy = lambda p: F.flatten(F.transform(p, lambda q: F.array(q["x"], q["y"])))
+    first = F.get("points", F.lit(0))
+    away = F.transform("points", lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
+    rows = rows.withColumns({"xy": xy(F.col("points")), "away": xy(away)})
+    of = {"geo_numbers": ("xy", json_number(rounded("v", 6))), "raw_numbers": ("xy", json_number("v")), "shown": ("concat(xy, away)", fixed_text("v")), "dets": ("arcs.det", fixed_text("v"))}
+    return rows.withColumns({name: F.expr(f"transform({values}, v -> {text})") for name, (values, text) in of.items()}).drop("xy", "away")
 
-    def one(names: list[str], points: list[dict], labels: list[str], label: str) -> str:
-        a = points[0]
-        lines = [fixed.TRACE_HEAD, fixed.TRACE_CENTER.format(name=names[0], point=_point(a))]
-        lines += [fixed.TRACE_WAYPOINT.format(i=i, name=names[i], point=_point(p)) for i, p in enumerate(points) if i]
-        lines.append("")
-        for i, turn in enumerate(labels, 1):
-            b, c = points[i], points[i + 1]
-            bx, by, cx, cy = b["x"] - a["x"], b["y"] - a["y"], c["x"] - a["x"], c["y"] - a["y"]
-            lines.append(fixed.TRACE_ARC.format(i=i, j=i + 1, b=names[i], c=names[i + 1], bx=bx, by=by, cx=cx, cy=cy, det=bx * cy - by * cx, label=turn))
-        return "\n".join([*lines, "", fixed.TRACE_END.format(n=len(labels), label=label)])
 
-    return pd.Series([one(*x) for x in zip(names, points, labels, label, strict=True)], dtype=object)
+def reasoning_trace(names: Column, shown: Column, dets: Column, labels: Column, label: Column) -> Column:
+    """Trace of the cross products of a path, from number_texts."""
+    name = lambda i: F.get(names, i)
+    at = lambda i, k: F.get(shown, 2 * i + k)
+    pair = lambda i: F.concat(F.lit("("), at(i, 0), F.lit(", "), at(i, 1), F.lit(")"))
+    size = F.size(labels) + 2  # the points
+    head = _filled(fixed.TRACE_CENTER, name=name(F.lit(0)), point=pair(F.lit(0)))
+    places = F.transform(F.sequence(F.lit(1), size - 1), lambda i: _filled(fixed.TRACE_WAYPOINT, i=i, name=name(i), point=pair(i)))
+    far = lambda i, k: at(size + i, k)
+    arc = lambda turn, i: _filled(fixed.TRACE_ARC, i=i + 1, j=i + 2, b=name(i + 1), c=name(i + 2), bx=far(i + 1, 0), by=far(i + 1, 1), cx=far(i + 2, 0), cy=far(i + 2, 1), det=F.get(dets, i), label=turn)
+    end = _filled(fixed.TRACE_END, n=F.size(labels), label=label)
+    return F.concat_ws("\n", F.array(F.lit(fixed.TRACE_HEAD), head), places, F.array(F.lit("")), F.transform(labels, arc), F.array(F.lit(""), end))
 
 
-@F.pandas_udf(T.StringType())
-def geocode_json(names: pd.Series, points: pd.Series) -> pd.Series:
-    """JSON of name -> rounded longitude and latitude. Of equal names the last value counts, at the first one's place."""
-    return pd.Series([json.dumps({n: {"longitude": round(float(p["x"]), 6), "latitude": round(float(p["y"]), 6)} for n, p in zip(ns, ps, strict=False)}) for ns, ps in zip(names, points, strict=True)], dtype=object)
+def geocode_json(names: Column, numbers: Column) -> Column:
+    """From names as JSON strings, JSON of name -> longitude and latitude. Of equal names the last value counts, at the first one's place."""
+    values = F.transform(names, lambda _, i: F.concat(F.lit('{"longitude": '), F.get(numbers, 2 * i), F.lit(', "latitude": '), F.get(numbers, 2 * i + 1), F.lit("}")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(last_wins(names, values), lambda e: F.concat(e["name"], F.lit(": "), e["value"])), ", "), F.lit("}"))
 
 
-@F.pandas_udf(T.StringType())
-def names_json(names: pd.Series) -> pd.Series:
-    return pd.Series([json.dumps({"place_names": list(n)}) for n in names], dtype=object)
+def names_json(names: Column) -> Column:
+    """From names as JSON strings, the arguments of the geocode call."""
+    return F.concat(F.lit('{"place_names": ['), F.array_join(names, ", ", "null"), F.lit("]}"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def arc_arguments(points: pd.Series) -> pd.Series:
+def arc_arguments(numbers: Column) -> Column:
     """JSON arguments of the cyclic_order calls of a path, with unrounded numbers."""
-    pair = lambda p: [float(p["x"]), float(p["y"])]
-    return pd.Series([[json.dumps({"center": pair(ps[0]), "point_b": pair(ps[i]), "point_c": pair(ps[i + 1])}) for i in range(1, len(ps) - 1)] for ps in points], dtype=object)
+    pair = lambda i: F.concat(F.lit("["), F.get(numbers, 2 * i), F.lit(", "), F.get(numbers, 2 * i + 1), F.lit("]"))
+    one = lambda i: F.concat(F.lit('{"center": '), pair(F.lit(0)), F.lit(', "point_b": '), pair(i), F.lit(', "point_c": '), pair(i + 1), F.lit("}"))
+    return F.when(F.size(numbers) > 4, F.transform(F.sequence(F.lit(1), F.greatest(F.size(numbers) / 2 - 2, F.lit(1)).cast("int")), one)).otherwise(F.array().cast("array<string>"))
 
 
 def _filled(text: str, **parts: Column) -> Column:
@@ -101,19 +102,20 @@ def _filled(text: str, **parts: Column) -> Column:
     while "{" in rest:
         before, _, rest = rest.partition("{")
         field, _, rest = rest.partition("}")
-        out += [F.lit(before), parts[field].cast("string")]
+        out += [F.lit(before), parts[field.partition(":")[0]].cast("string")]  # a column for a number with a format is its text
     return F.concat(*out, F.lit(rest))
 
 
 def conversations(questions: DataFrame, pipelines: tuple[int, ...] = PIPELINES) -> DataFrame:
     """Records (question_id, pipeline, tools, messages, expected_answer, meta) of well-formed questions, and derived: the
-    label from geometry. A stored answer that differs stays as the expected one. Points, arcs and all texts from Python
-    are made once a question, before the fan-out; nothing is shuffled."""
+    label from geometry. A stored answer that differs stays as the expected one. Points, arcs and all number texts
+    are made once a question, before the fan-out; nothing is shuffled and no Python runs."""
     rows = validated(questions).where(~F.col("malformed"))
     rows = rows.withColumn("points", representative_points(F.col("geometries")))
-    rows = rows.withColumn("labels", F.transform(arcs(F.col("points")), lambda a: a["label"])).withColumn("derived", combine(F.col("labels")))
-    rows = rows.withColumns({"geo": geocode_json("location_names", "points"), "ask": names_json("location_names")})
-    rows = rows.withColumns({"trace": reasoning_trace("location_names", "points", "labels", "derived"), "args": arc_arguments("points")})
+    rows = rows.withColumn("arcs", arcs(F.col("points"))).withColumn("labels", F.col("arcs.label")).withColumn("derived", combine(F.col("labels")))
+    rows = number_texts(rows).withColumn("quoted", F.expr(f"transform(location_names, t -> {json_text('t')})"))
+    quoted = F.col("quoted")
+    rows = rows.withColumns({"geo": geocode_json(quoted, F.col("geo_numbers")), "ask": names_json(quoted), "trace": reasoning_trace(F.col("location_names"), F.col("shown"), F.col("dets"), F.col("labels"), F.col("derived")), "args": arc_arguments(F.col("raw_numbers"))})
     rows = fan_out(rows, pipelines)
     name = lambda i: F.get("location_names", i if isinstance(i, Column) else F.lit(i))
     head = F.array(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import infer_type, representative_point
+from ..functions.numbers import rounded
 from ..schemas import GEOMETRY_TYPES
 
 
@@ -70,9 +71,9 @@ def lookup(requests: DataFrame, store: DataFrame, wanted: str = "wanted") -> Dat
 
 
 def geocoded(requests: DataFrame, store: DataFrame, wanted: str = "wanted") -> DataFrame:
-    """requests with longitude and latitude, rounded to six places, or error."""
+    """requests with longitude and latitude, rounded to six places by their exact values, or error."""
     points = store.select(F.col("name").alias("found"), representative_point(F.col("type"), F.col("coordinates")).alias("__p"))
     rows = lookup(requests, store, wanted).join(points, "found", "left")
     return rows.withColumns(
-        {"longitude": F.round("__p.x", 6), "latitude": F.round("__p.y", 6), "error": F.when(F.col("__p").isNull(), F.concat(F.lit("unknown place "), F.col(wanted)))}
+        {"longitude": F.expr(rounded("__p.x", 6)), "latitude": F.expr(rounded("__p.y", 6)), "error": F.when(F.col("__p").isNull(), F.concat(F.lit("unknown place "), F.col(wanted)))}
     ).drop("__p", "found")

@@ -228,11 +228,30 @@ SELECT n_name || CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' "q"' WHEN 2 T
     "partitioned_parquet": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
     "tool_geocode": f"""SELECT c_custkey, '{{"' || n_name || '":' || {FOUND} || ',"' || lower(n_name) || '":' || {FOUND} || ',"Nowhere":{{"error":"unknown place Nowhere"}}}}' AS result FROM {OWN}""",
     "tool_loop": f"""
-SELECT c_custkey AS conv_id, CASE c_custkey % 3 WHEN 0 THEN 2 ELSE 3 END::BIGINT AS turns, c_custkey % 3 = 2 AS stopped, CASE c_custkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 7 END::BIGINT AS n_messages,
-  CASE c_custkey % 3 WHEN 0 THEN 'Done: {{"' || n_name || '":' || {FOUND} || '}}' WHEN 1 THEN 'Done: {{"result":"counterclockwise"}}' ELSE '{{"error":"unknown tool fly"}}' END AS last,
-  CASE c_custkey % 3 WHEN 2 THEN 'call_5_0' ELSE '' END AS call_id FROM {OWN}""",
-    "headroom_all": """
-SELECT s.status, coalesce(bool_and(8 - o_totalprice / 100000 > 2), true) AS safe FROM (VALUES ('F'), ('O'), ('none')) s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY s.status""",
+WITH t AS (SELECT c_custkey, n_name, {FOUND} AS found, c_custkey % 7 = 5 AS mute, c_custkey % 3 AS k FROM {OWN})
+SELECT c_custkey AS conv_id, CASE WHEN mute OR k = 0 THEN 2 ELSE 3 END::BIGINT AS turns, NOT mute AND k = 2 AS stopped,
+  CASE WHEN mute THEN 'no completion' WHEN k = 2 THEN 'calls left' ELSE 'answered' END AS outcome,
+  CASE WHEN mute THEN 3 WHEN k = 0 THEN 4 WHEN k = 1 THEN 6 ELSE 7 END::BIGINT AS n_messages,
+  CASE WHEN mute THEN '{{"' || n_name || '":' || found || '}}' WHEN k = 0 THEN 'Done: {{"' || n_name || '":' || found || '}}' WHEN k = 1 THEN 'Done: {{"result":"counterclockwise"}}' ELSE '{{"error":"unknown tool fly"}}' END AS last,
+  CASE WHEN mute THEN 'call_1_0' WHEN k = 2 THEN 'call_5_0' ELSE '' END AS call_id FROM t""",
+    "headroom_all": "SELECT o_orderstatus AS status, bool_and(8 - o_totalprice / 100000 > 2) AS safe FROM orders GROUP BY o_orderstatus",
     "device_lines": "SELECT (l_orderkey % 4)::INTEGER AS gpu_idx, max(l_extendedprice) AS peak FROM lineitem WHERE l_orderkey % 5 > 1 GROUP BY 1",
     "rep_point_exact": "SELECT vec_id, (2 * (vec_id % 17) / 8)::DOUBLE / 4 AS x, (2 * (vec_id % 17) / 8)::DOUBLE / 4 AS y FROM embeddings",
+    "tool_call_table": r"""
+WITH e AS (SELECT event_id, event_type AS t, '{"k": ' || regexp_extract(props, '(-?\d+)\}', 1) || '}' AS p, CASE event_id % 3 WHEN 0 THEN 'a  b  c' ELSE 'd' END AS narration FROM events WHERE event_id % 3 < 2)
+SELECT event_id, 0::BIGINT AS position, t AS name, p AS arguments, narration FROM e
+UNION ALL SELECT event_id, 1, 'geocode', '{"place_names": ["' || t || ' {"]}', narration FROM e WHERE event_id % 3 = 0""",
+    "tool_call_batches": """
+WITH c AS (SELECT event_id, event_type AS name, false AS second FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, 'geocode', true FROM events WHERE event_id % 3 = 0)
+SELECT name, second, count(*) AS calls, count(DISTINCT event_id) AS texts FROM c GROUP BY ALL""",
+    "tool_functions": f"""
+WITH a AS (SELECT c_custkey, unnest([0, 1, 2]) AS position, unnest([n_name, lower(n_name), 'Nowhere']) AS name, n_nationkey, n_regionkey FROM {OWN})
+SELECT c_custkey, position::BIGINT AS position, name, CASE WHEN position < 2 THEN n_nationkey::DOUBLE END AS longitude, CASE WHEN position < 2 THEN n_regionkey::DOUBLE END AS latitude,
+  CASE WHEN position = 2 THEN 'unknown place Nowhere' END AS error,
+  CASE WHEN position < 2 AND n_regionkey > 2 THEN 'counterclockwise' ELSE 'clockwise' END AS turn FROM a""",
+    "tool_schemas": """
+SELECT vec_id, CASE WHEN vec_id % 11 >= 8 THEN 'geocode' ELSE 'cyclic_order' END AS name,
+  CASE vec_id % 11 WHEN 0 THEN '{"result":"clockwise"}' ELSE '{"error":"bad arguments: ' ||
+    ['center has fewer than 2 items', 'point_b has more than 2 items', 'point_c holds an item that is no number', 'center is no array', 'point_b is missing', 'arguments are no object', 'arguments are no object',
+     'place_names holds an item that is no string', 'place_names is no array', 'place_names is missing'][vec_id % 11] || '"}' END AS result FROM embeddings""",
 }

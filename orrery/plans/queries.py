@@ -496,7 +496,7 @@ def tool_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tool_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads asked again until they call no tool: a third answers after one call, a third after two, a third never."""
+    """Threads asked again until they call no tool: a third answers after one call, a third after two, a third never; a seventh gets no second completion."""
     k = F.col("conv_id")
     own = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     threads = own.select(F.col("c_custkey").alias("conv_id"), F.array(records.message("user", F.col("n_name"))).alias("messages"))
@@ -509,18 +509,17 @@ def tool_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
         other = marked(F.lit('{"name": "fly"}'))
         last = F.concat(F.lit("Done: "), F.element_at("messages", -1)["content"])
         said = F.when(F.col("turn") == 0, first).when(k % 3 == 0, last).when((k % 3 == 1) & (F.col("turn") == 1), turn).when(k % 3 == 1, last).otherwise(other)
-        return asked.select("conv_id", said.alias("completion"))
+        return asked.where((k % 7 != 5) | (F.col("turn") == 0)).select("thread", said.alias("completion"))
 
     rows = dialogue.tool_loop(threads, model, places(spark, sf_dir), max_turns=3)
-    return rows.select("conv_id", F.col("turns").cast("long").alias("turns"), "stopped", F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last"), F.coalesce(F.element_at("messages", -1)["tool_call_id"], F.lit("")).alias("call_id"))
+    return rows.select("conv_id", F.col("turns").cast("long").alias("turns"), "stopped", "outcome", F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last"), F.coalesce(F.element_at("messages", -1)["tool_call_id"], F.lit("")).alias("call_id"))
 
 
 @query
 def headroom_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all orders of a status are safe, in one row each."""
-    rows = table(spark, sf_dir, "orders").select("o_orderstatus", monitor.headroom(8 - F.col("o_totalprice") / 100000).alias("verdict"))
-    status = [monitor.all_safe(rows.where(F.col("o_orderstatus") == s)).select(F.lit(s).alias("status"), "safe") for s in ("F", "O", "none")]
-    return status[0].unionAll(status[1]).unionAll(status[2])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), monitor.headroom(8 - F.col("o_totalprice") / 100000).alias("verdict"))
+    return monitor.all_safe(rows, by=["status"])
 
 
 @query
@@ -538,3 +537,56 @@ def rep_point_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     big, small = F.lit(float(1 << 53)), (v % 17).cast("double") / 8
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.array(big, small), F.array(small, big), F.array(small, -big), F.array(-big, small)).alias("c"))
     return rows.select("vec_id", g.representative_point(F.lit("line"), F.col("c")).alias("p")).select("vec_id", "p.x", "p.y")
+
+
+def two_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id and a text with two calls, with one, or with something that is none."""
+    props, kind, k = F.col("props"), F.col("event_type"), F.col("event_id") % 3
+    one = F.concat(F.lit('<tool_call>{"name": "'), kind, F.lit('", "arguments": '), props, F.lit("}</tool_call>"))
+    two = F.concat(F.lit('<tool_call> {"name": "geocode", "parameters": {"place_names": ["'), kind, F.lit(' {"]}} </tool_call>'))
+    text = F.when(k == 0, F.concat(F.lit("a "), one, F.lit(" b "), two, F.lit(" c"))).when(k == 1, F.concat(one, F.lit(" d "))).otherwise(F.lit("<tool_call>{1}</tool_call>"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
+@query
+def tool_call_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call of every text as a row, by SQL's LATERAL."""
+    toolcalls.register(spark)
+    two_calls(spark, sf_dir).createOrReplaceTempView("called_texts")
+    return spark.sql("SELECT event_id, CAST(position AS BIGINT) AS position, name, arguments, narration FROM called_texts, LATERAL tool_calls(text)")
+
+
+@query
+def tool_call_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function that takes a table, batch by batch; counted by name."""
+    toolcalls.register(spark)
+    two_calls(spark, sf_dir).createOrReplaceTempView("called_texts")
+    return spark.sql("SELECT name, position = 1 AS second, count(*) AS calls, count(DISTINCT key) AS texts FROM tool_call_rows(TABLE(SELECT event_id, text FROM called_texts)) GROUP BY ALL")
+
+
+@query
+def tool_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tools by name in SQL: places from a store, and the turn at each of them."""
+    pairs = places(spark, sf_dir)
+    toolcalls.register(spark, pairs.select("name", "seq", F.col("coordinates")[0][0].alias("longitude"), F.col("coordinates")[0][1].alias("latitude"), F.lit(None).cast("string").alias("error")))
+    own = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    own.select("c_custkey", F.array("n_name", F.lower("n_name"), F.lit("Nowhere"), "n_name").alias("names")).createOrReplaceTempView("place_asks")
+    return spark.sql(
+        """SELECT c_custkey, CAST(position AS BIGINT) AS position, name, longitude, latitude, error,
+          cyclic_order_of(array(0, 0), array(1, 0), array(longitude - 12, latitude - 2)) AS turn
+        FROM place_asks, LATERAL geocode(names)"""
+    )
+
+
+@query
+def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls whose arguments are not as the tool's schema declares them, and some that are."""
+    v = F.col("vec_id")
+    pair = F.concat(F.lit("["), (v % 5).cast("string"), F.lit(", 1.5]"))
+    body = lambda *parts: F.concat(F.lit('{"center": '), parts[0], F.lit(', "point_b": '), parts[1], F.lit(', "point_c": '), parts[2], F.lit("}"))
+    odd = [body(pair, pair, pair), body(F.lit("[1]"), pair, pair), body(pair, F.lit("[1, 2, 3]"), pair), body(pair, pair, F.lit('[1, "2"]')), body(F.lit('"x"'), pair, pair), F.lit('{"center": [0, 0]}'), F.lit("[]"), F.lit("oops"), F.lit('{"place_names": [1]}'), F.lit('{"place_names": "a"}'), F.lit("{}")]
+    arguments = odd[-1]
+    for i, text in enumerate(odd[:-1]):
+        arguments = F.when(v % 11 == i, text).otherwise(arguments)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(v % 11 >= 8, F.lit("geocode")).otherwise(F.lit("cyclic_order")).alias("name"), arguments.alias("arguments"))
+    return toolcalls.call_results(rows).select("vec_id", "name", "result")

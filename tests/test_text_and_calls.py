@@ -98,7 +98,7 @@ def test_markers():
 def test_dispatch_and_registry(spark):
     args = json.dumps({"center": [0, 0], "point_b": [1, 0], "point_c": [0, 1]})
     df = spark.createDataFrame([("cyclic_order", args), ("cyclic_order", "{}"), ("fly", args)], "name string, arguments string")
-    assert [json.loads(r.result) for r in c.call_results(df).collect()] == [{"result": "counterclockwise"}, {"error": "bad arguments"}, {"error": "unknown tool fly"}]
+    assert [json.loads(r.result) for r in c.call_results(df).collect()] == [{"result": "counterclockwise"}, {"error": "bad arguments: center is missing"}, {"error": "unknown tool fly"}]
     c.register(spark)
     assert spark.sql("select cyclic_order(0, 0, 0, 1, 1, 0) as a").first().a == "clockwise"
 
