@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import string
 
 from .. import fixed
-from .queries import ANSWER_TEXTS, STORED_ANSWERS, TEMPLATES
+from .queries import ANSWER_TEXTS, STORED_ANSWERS
 
 
 def _q(text: str | None) -> str:
@@ -223,8 +222,11 @@ WITH {M} SELECT CASE WHEN vec_id % 2 = 0 THEN 'train' ELSE 'val' END AS split, v
 SELECT n_name || CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' "q"' WHEN 2 THEN '\\' ELSE ' é' END AS name, n_nationkey::BIGINT - (n_nationkey > 4)::BIGINT AS seq, 'line' AS type,
   n_nationkey / 4 AS x0, n_regionkey::DOUBLE AS y0, -n_nationkey / 4 AS x1, 0.5::DOUBLE AS y1 FROM nation WHERE n_nationkey <> 4""",
     "csv_names": """SELECT p_name || ', "x"' AS name FROM part""",
-    "templates_json": "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {i}::BIGINT, {_q(fmt)}, {_q(','.join(map(str, order)))})" for n, forms in json.loads(TEMPLATES).items() for i, (fmt, order) in enumerate(forms)) + ") t(n, template_id, fmt, ord)",
-    "metric_log": "SELECT role, count(*) AS value FROM conversations GROUP BY role UNION ALL SELECT role, 2 * count(*) FROM conversations GROUP BY role",
+    "templates_json": """
+SELECT 3::BIGINT AS n, row_number() OVER (ORDER BY r_regionkey) - 1 AS template_id, r_name || ' "{}: {} to {}?"' AS fmt, '2,0,1' AS ord FROM region
+UNION ALL SELECT 4, row_number() OVER (ORDER BY n_nationkey) - 1, n_name || ' "{} {} {} {} {}"', '0,1,1,2,3' FROM nation""",
+    "metric_log": """
+SELECT role, step * count(*) AS value, run, step::BIGINT AS batch FROM conversations CROSS JOIN (VALUES ('a', 1), ('a', 2), ('b/1', 1)) t(run, step) GROUP BY role, run, step""",
     "partitioned_parquet": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
     "tool_geocode": f"""SELECT c_custkey, '{{"' || n_name || '":' || {FOUND} || ',"' || lower(n_name) || '":' || {FOUND} || ',"Nowhere":{{"error":"unknown place Nowhere"}}}}' AS result FROM {OWN}""",
     "tool_loop": f"""
@@ -254,4 +256,23 @@ SELECT vec_id, CASE WHEN vec_id % 11 >= 8 THEN 'geocode' ELSE 'cyclic_order' END
   CASE vec_id % 11 WHEN 0 THEN '{"result":"clockwise"}' ELSE '{"error":"bad arguments: ' ||
     ['center has fewer than 2 items', 'point_b has more than 2 items', 'point_c holds an item that is no number', 'center is no array', 'point_b is missing', 'arguments are no object', 'arguments are no object',
      'place_names holds an item that is no string', 'place_names is no array', 'place_names is missing'][vec_id % 11] || '"}' END AS result FROM embeddings""",
+    "ordered_export": "SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line FROM conversations",
+    "token_stream": """
+WITH c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole, count(*) AS n, max(text) FILTER (turn = 0) AS head FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE n END AS pieces, CASE WHEN conv_id % 3 = 0 THEN head || '<|end|>' ELSE whole END AS text, CASE WHEN conv_id % 3 = 0 THEN 'marker' ELSE 'silence' END AS ended FROM c""",
+    "stream_progress": "SELECT count(*)::BIGINT AS rows, 3::BIGINT AS batches, true AS timed, max(value) AS highest FROM events",
+    "natural_labels": "SELECT n, 1000 AS questions, 1000 AS right, n AS names FROM range(3, 11) r(n)",
+    "marker_calls": "SELECT event_id, '<<CALL>>' AS opening, '<<END>>' AS closing, event_type AS name, 'x  y <tool_call>{}</tool_call>' AS narration FROM events",
+    "memory_units": "SELECT o_orderkey, o_orderkey / 1024 AS gib, printf('%.2f', o_totalprice / 1024) AS shown FROM orders",
+    "missing_columns": "SELECT count(*) AS rows, 'missing columns [''answer'', ''geometries'', ''location_names'', ''question'', ''question_id'']; found [''doc_id'', ''quality'', ''toxic'']' AS said FROM labels",
 }
+ORACLE["accuracy_report"] = f"""
+WITH card AS ({ORACLE["scorecard"]}),
+s AS (SELECT *, CASE WHEN total > 0 THEN printf('%d/%d = %.1f%%', correct, total, 100 * accuracy) ELSE '0/0 (no examples)' END AS share FROM card),
+l AS (
+  SELECT 0 AS a, 0 AS b, repeat('-', 40) AS text UNION ALL SELECT 1, 0, 'total     ' || total FROM s WHERE level = 'all'
+  UNION ALL SELECT 2, 0, 'accuracy  ' || CASE WHEN total > 0 THEN share ELSE 'N/A' END FROM s WHERE level = 'all'
+  UNION ALL SELECT 3, 0, 'no answer ' || failures FROM s WHERE level = 'all'
+  UNION ALL SELECT 4, CASE key WHEN 'clockwise' THEN 0 WHEN 'counterclockwise' THEN 1 ELSE 2 END, '  ' || rpad(key, 17, ' ') || share FROM s WHERE level = 'class'
+  UNION ALL SELECT 5, key::INTEGER, '  n = ' || rpad(key, 13, ' ') || share FROM s WHERE level = 'n')
+SELECT row_number() OVER (ORDER BY a, b) - 1 AS line, text FROM l"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -10,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as g
+from ..functions import numbers
 from ..functions import text as t
 from ..functions import toolcalls
 from ..operators import dialogue, generate, monitor, records, scoring, store
 
 from ..session import shared_dir, written
-from ..schemas import RECORD
+from ..schemas import RECORD, require_columns
 from ..sources import io
-from ..streaming import peaks
+from ..streaming import peaks, progress, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -453,22 +455,23 @@ def csv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def templates_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question templates from a JSON document, which is made of the names of regions and nations."""
     path = f"{shared_dir(spark)}/templates-{uuid.uuid4().hex}"
-    spark.createDataFrame([(TEMPLATES,)], "value string").coalesce(1).write.text(path)
+    names = table(spark, sf_dir, "region").select(F.lit("3").alias("n"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"), F.lit("{}: {} to {}?").alias("rest"), F.lit("[2, 0, 1]").alias("ord"))
+    names = names.unionAll(table(spark, sf_dir, "nation").select(F.lit("4"), "n_nationkey", "n_name", F.lit("{} {} {} {} {}"), F.lit("[0, 1, 1, 2, 3]")))
+    forms = names.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit('["'), "name", F.lit(' \\"'), "rest", F.lit('\\"", '), "ord", F.lit("]")).alias("form")))), lambda x: x["form"]), ", ").alias("forms"))
+    body = forms.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "n", F.lit('": ['), "forms", F.lit("]")))), ",\n").alias("all"))
+    body.select(F.concat(F.lit("{"), "all", F.lit("}")).alias("value")).coalesce(1).write.text(path)
     return generate.templates_of_json(spark, path).select(F.col("n").cast("long").alias("n"), F.col("template_id").cast("long").alias("template_id"), "fmt", F.array_join("ord", ",").alias("ord"))
 
 
-#: A file of question templates.
-TEMPLATES = '{"3": [["From {}: {} to {}?", [0, 1, 2]], ["{}, {}, seen from {} ({})", [1, 2, 0, 0]]], "4": [["{} {} {} {}", [0, 1, 2, 3]]]}'
-
-
 @query
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics appended twice to a growing table."""
+    """Metrics of two batches of a run, of which one is sent twice, and of another run."""
     path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
-    for step in (1, 2):
-        io.append_metrics(table(spark, sf_dir, "conversations").groupBy("role").agg((F.count("*") * step).alias("value")), path)
-    return spark.read.parquet(path)
+    for run, step in (("a", 1), ("a", 2), ("a", 2), ("b/1", 1)):
+        io.append_metrics(table(spark, sf_dir, "conversations").groupBy("role").agg((F.count("*") * step).alias("value")), path, run, step)
+    return io.read_metrics(spark, path, "role string, value long")
 
 
 @query
@@ -590,3 +593,93 @@ def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
         arguments = F.when(v % 11 == i, text).otherwise(arguments)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(v % 11 >= 8, F.lit("geocode")).otherwise(F.lit("cyclic_order")).alias("name"), arguments.alias("arguments"))
     return toolcalls.call_results(rows).select("vec_id", "name", "result")
+
+
+@query
+def ordered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON lines in order over several files, and the number of each line as it is read back."""
+    rows = table(spark, sf_dir, "conversations")
+    path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    io.write_jsonl(rows, path, ["conv_id", "turn"])
+    return io.read_ordered_jsonl(spark, path, rows.schema)
+
+
+@query
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as pieces of a text that comes in four files, of which some come early: where it ends and by what.
+    A third of the texts holds a marker that is cut between two pieces."""
+    k, turn = F.col("conv_id") % 3 == 0, F.col("turn")
+    text = F.coalesce("text", F.lit(""))
+    piece = F.when(k & (turn == 0), F.concat(text, F.lit("<|e"))).when(k & (turn == 1), F.concat(F.lit("nd|>"), text)).otherwise(text)
+    ts = F.expr("timestamp_seconds(1700000000 + turn)")
+    pieces = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("thread"), turn.cast("long").alias("seq"), piece.alias("piece"), ts.alias("ts"))
+    path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    clock = spark.range(1).select(F.lit("clock").alias("thread"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("piece"), F.expr("timestamp_seconds(1700009000)").alias("ts"))
+    for part in [*(pieces.where((turn + F.col("conv_id")) % 3 == i) for i in range(3)), clock]:
+        part.coalesce(1).write.mode("append").parquet(path)
+    tokens.rocks(spark)
+    grown = tokens.growing_texts(peaks.read_stream(spark, path, pieces.schema), "<|end|>")
+    rows = peaks.drain(grown, "tokens", "update").where("ended is not null and thread <> 'clock'")
+    return rows.select(F.col("thread").cast("long").alias("conv_id"), "pieces", "text", "ended")
+
+
+@query
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of a stream of events by the engine's own progress, and whether their peaks are those of all events."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    path, metrics = (f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("events", "progress"))
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+    stream = peaks.running_peaks(peaks.read_stream(spark, path, events.schema), "user_id", "value")
+    found = progress.with_progress(spark, metrics, lambda: peaks.drain(stream, "told-peaks"))
+    batches = io.read_metrics(spark, metrics, progress.BATCH).agg(F.sum("rows").alias("rows"), F.count_if(F.col("rows") > 0).alias("batches"), F.bool_and((F.col("trigger_ms") >= F.col("add_batch_ms")) & (F.col("add_batch_ms") >= 0)).alias("timed"))
+    return batches.crossJoin(found.agg(F.max("peak").alias("highest")))  # one row each
+
+
+@query
+def natural_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of the natural split: how many there are for each n, and how many have the label of their geometry."""
+    made = generate.questions(generate.natural_grid(spark, 1000, 10), part_names(spark, sf_dir), generate.default_templates(spark))
+    label = g.path_label(g.representative_points(F.col("geometries"), exact=False))
+    rows = made.select(F.size("geometries").cast("long").alias("n"), (F.col("answer") == label).alias("right"), F.size(F.array_distinct("location_names")).alias("names"))
+    return rows.groupBy("n").agg(F.count("*").alias("questions"), F.count_if("right").alias("right"), F.min("names").cast("long").alias("names"))
+
+
+@query
+def marker_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between the markers that a chat template turns out to use."""
+
+    def render(messages: list[dict]) -> str:
+        return "".join(f"[{m['role']}]{m['content']}" + "".join(f"\n<<CALL {call['function']['name']}>>{json.dumps(call['function'])}<<END>>\n" for call in m.get("tool_calls", [])) for m in messages)
+
+    def plain(messages: list[dict]) -> str:
+        return render(messages).replace(" sentinel_tool_name>>", ">>")
+
+    opening, closing = toolcalls.markers(plain)
+    text = F.concat(F.lit("x <<CALL>>"), F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit('"}')), F.lit("<<END>> y <tool_call>{}</tool_call>"))
+    rows = table(spark, sf_dir, "events").select("event_id", toolcalls.extract_calls(text, opening, closing).alias("got"))
+    return rows.select("event_id", F.lit(opening).alias("opening"), F.lit(closing).alias("closing"), F.get("got.calls", F.lit(0))["name"].alias("name"), F.col("got.narration").alias("narration"))
+
+
+@query
+def memory_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", monitor.gib(F.col("o_orderkey") * 1048576).alias("gib"), F.expr(numbers.fixed("o_totalprice / 1024")).alias("shown"))
+
+
+@query
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check of a question table says of another table, beside that table's rows."""
+    rows = table(spark, sf_dir, "labels")
+    try:
+        require_columns(rows, set(records.REQUIRED))
+        said = ""
+    except ValueError as e:
+        said = str(e)
+    return require_columns(rows, {"doc_id"}).agg(F.count("*").alias("rows")).select("rows", F.lit(said).alias("said"))
+
+
+@query
+def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the text report of a scorecard."""
+    lines = scoring.report(scoring.scorecard(truths(spark, sf_dir))).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line long, text string")

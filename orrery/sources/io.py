@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.records import REQUIRED, conversations
 from ..schemas import QUESTION, RECORD, STORED, require_columns
+from ..session import written
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -61,8 +64,25 @@ def write_store(store: DataFrame, path: str) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """JSON lines; one file in a total order if order is given, which is for exports of a size that one task holds."""
-    (df.orderBy(*order).coalesce(1) if order else df).write.mode("overwrite").json(path)
+    """JSON lines; in a total order, if one is given, as ranges of it in as many files as shuffles have partitions: the order of the
+    files' names is that of their ranges, and lines are in order within. No task holds more than a range."""
+    if order:
+        df = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    df.write.mode("overwrite").json(path)
+
+
+def read_ordered_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines of files in order of their names, with line, the number of each line from 0 over all files.
+
+    Lines are counted within each file, and files by a row each, which is broadcast: there are as many as tasks wrote.
+    """
+    place = [F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id")]
+    rows = written(read_jsonl(spark, path, schema).select("*", *place), "lines")
+    files = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = files.select("__file", F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__file").orderBy("__block", "__id")
+    rows = rows.withColumn("__at", F.row_number().over(within) - 1).join(F.broadcast(before), "__file")
+    return rows.withColumn("line", (F.col("__before") + F.col("__at")).cast("long")).drop("__file", "__block", "__id", "__at", "__before")
 
 
 def write_parquet(df: DataFrame, path: str, *by: str) -> None:
@@ -83,6 +103,11 @@ def build_splits(spark: SparkSession, inputs: dict[str, str], out: str, pipeline
     every.drop("derived").write.mode("overwrite").partitionBy("split").json(out)
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Metric rows to a growing table."""
-    metrics.write.mode("append").parquet(path)
+def append_metrics(metrics: DataFrame, path: str, run: str, batch: int) -> None:
+    """Metric rows of a run's batch to a growing table: a batch that is sent again replaces its own rows, none of them included."""
+    metrics.write.mode("overwrite").parquet(f"{path}/run={quote(run, safe='')}/batch={batch}")
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All metric rows with run (string) and batch (long)."""
+    return spark.read.schema(f"{schema}, run string, batch long").parquet(path)

@@ -1,16 +1,18 @@
 """Records, scoring, store, monitor, generator, sources and streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery import fixed
 from orrery.functions.geometry import path_label, representative_points
-from orrery.operators import generate, monitor, records, scoring, store
+from orrery.operators import dialogue, generate, monitor, records, scoring, store
 from orrery.schemas import QUESTION, SAMPLE, STORED, require_columns
 from orrery.sources import io
-from orrery.streaming import peaks
+from orrery.streaming import peaks, progress, tokens
 
 
 def point(x, y):
@@ -170,8 +172,11 @@ def test_streams(spark, tmp_path):
     wide = peaks.drain(peaks.windowed_peaks(peaks.read_stream(spark, str(tmp_path / "in"), df.schema), "gpu_idx", "used_mb"), "windows_test")
     assert wide.agg(F.max("peak")).first()[0] == 29.0
     sink = str(tmp_path / "metrics")
-    peaks.each_batch(stream, lambda d, i: io.append_metrics(d.groupBy().count().withColumn("batch", F.lit(i)), sink), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(sink).agg(F.sum("count")).first()[0] == 30
+    for _ in range(2):  # the second time from the start again
+        peaks.each_batch(stream, lambda d, i: io.append_metrics(d.groupBy().count(), sink, "run", i), str(tmp_path / f"cp{_}")).awaitTermination()
+        assert io.read_metrics(spark, sink, "count long").agg(F.sum("count")).first()[0] == 30
+    io.append_metrics(spark.createDataFrame([], "count long"), sink, "run", 0)
+    assert io.read_metrics(spark, sink, "count long").where("batch = 0").isEmpty()
 
 
 @pytest.fixture(scope="module")
@@ -241,3 +246,73 @@ def test_shared_folder_must_be_named_on_clusters(monkeypatch):
     conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_ordered_lines(spark, tmp_path):
+    """A total order over several files, ties and nulls included; files of a size that is read in parts."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 97 > 0, F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("v"), F.repeat(F.lit("x"), 50).alias("t"))
+    io.write_jsonl(rows.repartition(9), str(tmp_path / "out"), ["k", "v"])
+    assert len(list((tmp_path / "out").glob("part-*.json"))) == 4
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = io.read_ordered_jsonl(spark, str(tmp_path / "out"), rows.schema).orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert [r.line for r in got] == list(range(5000))
+    assert [(r.k, r.v) for r in got] == sorted(((r.k, r.v) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    io.write_jsonl(rows.limit(0), str(tmp_path / "none"), ["k"])
+    assert io.read_ordered_jsonl(spark, str(tmp_path / "none"), rows.schema).count() == 0
+
+
+def test_progress_rows(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = peaks.read_stream(spark, str(tmp_path / "in"), spark.range(1).schema)
+    progress.with_progress(spark, str(tmp_path / "m"), lambda: peaks.drain(stream.groupBy().count(), "told"))
+    rows = io.read_metrics(spark, str(tmp_path / "m"), progress.BATCH).collect()
+    assert sum(r.rows for r in rows) == 10 and len({(r.run, r.batch) for r in rows}) == len(rows) and all(r.trigger_ms >= 0 for r in rows)
+
+
+def test_growing_texts(spark, tmp_path):
+    """Pieces early, again, after the end, with the marker in one piece, cut, or twice; threads that fall silent; null pieces."""
+    tokens.rocks(spark)
+    batches = [
+        [("cut", 0, "he", 0), ("cut", 1, "llo <en", 0), ("mute", 0, "never", 0), ("whole", 0, "a<end>b<end>", 0), ("odd", 1, "y", 0), ("odd", None, "q", 0)],
+        [("cut", 3, "late", 60), ("cut", 2, "d> more", 60), ("mute", 1, " ends", 60), ("mute", 0, "again", 60), ("odd", 0, None, 60), ("whole", 1, "c", 60), ("gap", 1, "x", 60)],
+        [("clock", 0, "", 7200)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "thread string, seq long, piece string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+        time.sleep(0.05)
+    stream = peaks.read_stream(spark, str(tmp_path / "p"), T.StructType.fromDDL("thread string, seq long, piece string, ts timestamp"))
+    got = peaks.drain(tokens.growing_texts(stream, "<end>"), "grown", "update").where("thread <> 'clock'").collect()
+    ended = {(r.thread, r.pieces, r.text, r.ended) for r in got if r.ended}
+    assert ended == {("cut", 3, "hello <end>", "marker"), ("whole", 1, "a<end>", "marker"), ("mute", 2, "never ends", "silence"), ("odd", 2, "y", "silence"), ("gap", 0, "", "silence")}
+    assert {(r.thread, r.text) for r in got if not r.ended} == {("cut", "hello <en"), ("mute", "never"), ("mute", "never ends"), ("odd", "y")}
+
+
+def test_threads_are_not_lost(spark):
+    """Null and repeated keys, null messages, completions that are null, missing or said twice, several calls at once."""
+    def say(*content):
+        return [("user", c, None, None, None) for c in content]
+
+    threads = spark.createDataFrame([(1, say("a")), (None, say("b")), (1, say("c")), (2, None), (3, say("d")), (4, say("e"))], f"conv_id long, messages {records.MESSAGES}")
+    store = spark.createDataFrame([("P", 0, "point", [[0.1234565, 2.0]])], STORED)
+    call = '<tool_call>{"name":"geocode","arguments":{"place_names":["p"]}}</tool_call>'
+
+    def model(asked):
+        first = F.when(F.col("conv_id") == 3, F.lit(None)).when(F.col("conv_id") == 4, F.lit(f"x {call} y {call}")).when(F.size("messages") == 0, F.lit("empty")).otherwise(F.concat(F.lit("to "), F.get("messages", F.lit(0))["content"]))
+        said = asked.where("turn = 0").select("thread", first.alias("completion"))
+        return said.unionAll(said.where("completion = 'to a'").select("thread", F.lit("zz")))
+
+    got = dialogue.tool_loop(threads, model, store, max_turns=3).collect()
+    told = sorted((str(r.conv_id), r.outcome, r.turns, [m.content for m in r.messages]) for r in got)
+    entry = '{"p":{"longitude":0.123456,"latitude":2.0}}'
+    assert told == [
+        ("1", "answered", 1, ["a", "to a"]),
+        ("1", "answered", 1, ["c", "to c"]),
+        ("2", "answered", 1, ["empty"]),
+        ("3", "no completion", 1, ["d"]),
+        ("4", "no completion", 2, ["e", "x  y", entry, entry]),
+        ("None", "answered", 1, ["b", "to b"]),
+    ]

@@ -137,3 +137,45 @@ def test_odd_calls(text, names, narration):
 def test_other_markers():
     assert c.extract('a [C]{"name":"f"}[/C]', " [C]\n", "[/C]") == ([{"name": "f", "arguments": "{}"}], "a")
     assert c.extract('a [C]{"name":"f"} b', "[C]", "") == ([{"name": "f", "arguments": "{}"}], "a  b")
+
+
+def test_call_tables(spark):
+    """Calls as rows by LATERAL and batch by batch, nulls and texts without calls included."""
+    rows = [(i, x) for i, (x, _, _) in enumerate(CALLS)] + [(100, None), (None, CALLS[0][0]), (7, CALLS[7][0])]
+    c.register(spark)
+    spark.createDataFrame(rows, "i long, x string").repartition(3).createOrReplaceTempView("texts_of_calls")
+    want = sorted((str(i), k, *call, narration) for i, x in rows for k, call, narration in [(k, (call["name"], call["arguments"]), c.extract(x or "")[1]) for k, call in enumerate(c.extract(x or "")[0])])
+    lateral = spark.sql("select i, t.* from texts_of_calls, lateral tool_calls(x) t").collect()
+    batches = spark.sql("select * from tool_call_rows(table(select i, x from texts_of_calls))").collect()
+    for got in (lateral, batches):
+        assert sorted((str(r[0]), *r[1:]) for r in got) == want
+
+
+VIOLATIONS = [
+    ("geocode", '{"place_names": []}', None),
+    ("geocode", '{"place_names": ["a", 1]}', "place_names holds an item that is no string"),
+    ("geocode", '{"place_names": null}', "place_names is missing"),
+    ("geocode", None, "arguments are no object"),
+    ("cyclic_order", '{"center": [1, 2.5], "point_b": [1e300, 0], "point_c": [-1, 12345678901234567890]}', None),
+    ("cyclic_order", '{"center": [1, null], "point_b": [1, 0], "point_c": [1, 0]}', "center holds an item that is no number"),
+    ("cyclic_order", '{"center": [1, 2], "point_b": [], "point_c": [1, 0]}', "point_b has fewer than 2 items"),
+    ("cyclic_order", '{"center": {"x": 1}, "point_b": [1, 0], "point_c": [1, 0]}', "center is no array"),
+]
+
+
+def test_schema_violations(spark):
+    df = spark.createDataFrame([(i, a) for i, (_, a, _) in enumerate(VIOLATIONS)], "i int, a string")
+    for tool, schema in c.SCHEMAS.items():
+        got = {r.i: r.v for r in df.select("i", c.violation(F.col("a"), schema).alias("v")).collect()}
+        assert {i: got[i] for i, (name, _, _) in enumerate(VIOLATIONS) if name == tool} == {i: v for i, (name, _, v) in enumerate(VIOLATIONS) if name == tool}
+    other = {"properties": {"n": {"type": "integer"}, "s": {"type": "string"}}, "required": ["n"]}
+    some = [('{"n": 1}', None), ('{"n": 1.5}', "n is no integer"), ('{"n": 1, "s": 2}', "s is no string"), ("{}", "n is missing")]
+    got = spark.createDataFrame(some, "a string, want string").select("want", c.violation(F.col("a"), other).alias("v")).collect()
+    assert [r.v for r in got] == [r.want for r in got]
+
+
+def test_geocode_in_sql(spark):
+    points = spark.createDataFrame([("Ab", 1, 1.0, 2.0, None), ("aB", 0, 3.0, 4.0, None), ("C", 2, None, None, "no coordinates")], "name string, seq long, longitude double, latitude double, error string")
+    c.register(spark, points)
+    got = spark.sql("select position, name, longitude, error from geocode(array('Ab', 'AB', 'c', 'x', 'Ab', null))").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(0, "Ab", 1.0, None), (1, "AB", 3.0, None), (2, "c", None, "no coordinates"), (3, "x", None, "unknown place x"), (4, None, None, None)], key=str)
