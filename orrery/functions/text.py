@@ -40,6 +40,10 @@ def prefix_message(messages: Column) -> Column:
 
 
 PAIRS = "array<array<double>>"
+#: A number, and texts that are pairs of numbers by line or semicolon throughout; the last repetition never goes back, as
+#: Java's patterns do so by recursion.
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+FLAT = rf"^{NUMBER}(?:[ \t]*,[ \t]*|[ \t]+){NUMBER}(?:[ \t]*[;\n][; \t\n]*{NUMBER}(?:[ \t]*,[ \t]*|[ \t]+){NUMBER})*+$"
 
 
 def parse_coords(text: Column) -> Column:
@@ -65,10 +69,13 @@ def parse_coords(text: Column) -> Column:
     one = lambda v: F.when(v.isNotNull() & (F.size(v) == 2) & F.forall(v, lambda x: x.isNotNull()), F.array(v))
 
     def of(t: Column) -> Column:
-        """By the first character: lists are tried as JSON, and what is none goes on as lines."""
+        """Pairs throughout are cut by one pattern. Else, by the first character, lists are tried as JSON, and what is none goes on as lines."""
         empty = F.struct(F.lit(None).cast(PAIRS).alias("coords"), F.lit("empty").alias("error"))
         json = F.when(F.startswith(t, F.lit("[")), F.coalesce(bind(F.from_json(t, PAIRS), pairs), bind(F.from_json(t, "array<double>"), one)))
-        found = lambda c: F.when(c.isNotNull(), F.struct(c.cast(PAIRS).alias("coords"), F.lit(None).cast("string").alias("error"))).otherwise(by_line(t))
-        return F.when(t.isNull() | (t == ""), empty).otherwise(bind(json, found))
+        told = lambda c: F.struct(c.cast(PAIRS).alias("coords"), F.lit(None).cast("string").alias("error"))
+        found = lambda c: F.when(c.isNotNull(), told(c)).otherwise(by_line(t))
+        numbers = F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)).cast("array<double>")
+        flat = bind(numbers, lambda v: told(F.transform(F.sequence(F.lit(0), (F.size(v) / 2).cast("int") - 1), lambda i: F.slice(v, 2 * i + 1, F.lit(2)))))
+        return F.when(t.isNull() | (t == ""), empty).when(F.rlike(t, F.lit(FLAT)), flat).otherwise(bind(json, found))
 
     return bind(strip(text), of)
