@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -102,13 +102,14 @@ def batches_of(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names)
 
 
-def nearest(vectors: DataFrame, is_query: Column | str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192, query_block: int = 16384) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column | str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192, query_block: int = 16384, live: int = 65536) -> DataFrame:
     """For each query, its k nearest other rows by cosine: query_id, rank (from 1), vec_id, score; ties to the lesser id.
 
     is_query: a condition on the column "id". Queries and candidates are cut into blocks, and every pair of blocks
     is one tile, made by an equi-join on the tile's number. A tile multiplies int8 codes, bounds what quantisation
     may have changed, recomputes in doubles the pairs that may be among the k best, and keeps k for a query. A
-    worker merges its tiles by heaps, and heaps once more merge the workers: nothing is approximate.
+    worker merges its tiles by heaps, of at most `live` queries (or one block's) at a time, and heaps once more merge the
+    workers, query by query: nothing is approximate, and no heaps are held for all queries.
 
     Null ids, and vectors that are null, zero, empty or hold null or non-finite parts, take no part. Each row is a
     candidate, and a query if its id is one: rows that repeat an id are found by each other, and each gives results
@@ -138,6 +139,7 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 5, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: Heaps = {}
+        flat = lambda: batches_of(((*q, -vec, score) for q, heap in heaps.items() for score, vec in heap), ["query_row", "query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()])
         for batch in batches:
             for dim, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 query_rows, query_ids, numbers, ids = (np.frombuffer(blob[j], "<i8") for j in (0, 1, 3, 4))
@@ -146,16 +148,21 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 5, id_col: str
                 for got in tile(query_rows, queries, numbers, ids, held, k):
                     for at, vec, score in zip(*(x.tolist() for x in got), strict=True):
                         push(heaps, k, own[at], score, vec)
-        flat = ((*q, -vec, score) for q, heap in heaps.items() for score, vec in heap)
-        yield from batches_of(flat, ["query_row", "query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()])
+                if len(heaps) > live - len(own):  # another tile might pass the bound
+                    yield from flat()
+                    heaps.clear()
+        yield from flat()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: Heaps = {}
-        for batch in batches:
-            for row, query_id, vec, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                push(heaps, k, (row, query_id), score, vec)
-        flat = ((q[1], rank, -vec, score) for q, heap in heaps.items() for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1))
-        yield from batches_of(flat, ["query_id", "rank", "vec_id", "score"], [pa.int64(), pa.int32(), pa.int64(), pa.float64()])
+        def best() -> Iterator[tuple[int, int, int, float]]:
+            rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for (_, query_id), found in groupby(rows, key=lambda row: row[:2]):
+                heaps: Heaps = {}
+                for _, _, vec, score in found:
+                    push(heaps, k, (0, query_id), score, vec)
+                yield from ((query_id, rank, -vec, score) for heap in heaps.values() for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1))
+
+        yield from batches_of(best(), ["query_id", "rank", "vec_id", "score"], [pa.int64(), pa.int32(), pa.int64(), pa.float64()])
 
     local = tiles.mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
-    return local.repartition(width(vectors), "query_row").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    return local.repartition(width(vectors), "query_row").sortWithinPartitions("query_row").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
