@@ -20,64 +20,72 @@ def _has_words(line: Column, words: int) -> Column:
     return (F.length(line) >= 2 * words - 1) & (F.size(F.split(line, r"\s+")) >= words)
 
 
-def fingerprints(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
-    """Winnowed lines, among those that are not blank and have `words` words or more: in every window of `window` lines the
-    least hash is a fingerprint, of equal ones the last, and windows that pick the same line share it.
-
-    doc, print (hash of the text), low (the fingerprint), pos (its line, from 1), first (first line of the first window that
-    picks it) and lines (at, hash): the lines of all windows that pick it. Any run of `window` lines that stands twice
-    has the same fingerprint in both places.
+def fingerprints(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", long_words: int = 0) -> DataFrame:
+    """Winnowed lines, among those that are not blank: in every window of `window` lines the least hash is a fingerprint, of
+    equal ones the last, and windows that pick the same line share it. If long_words, every line of so many words or more
+    is one, too, for the window that it is itself.
+
+    doc, print (hash of the text), w (lines of its windows), low (the fingerprint), pos (its line, from 1), first (first line of
+    the first window that picks it) and lines (at, hash): the lines of all windows that pick it. Any run of `window`
+    lines that stands twice has the same fingerprint in both places. Each text is read and cut once.
     """
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("print"), _lines(F.col(text_col)).alias("l"))
-    told = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda x: (x["line"] != "") & _has_words(x["line"], words) if words else x["line"] != "")
-    hashed = F.transform(told, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("hash")))
+    told = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda x: x["line"] != "")
+    long = (lambda x: _has_words(x["line"], long_words)) if long_words and window > 1 else (lambda x: F.lit(False))
+    hashed = F.transform(told, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("hash"), long(x).alias("long")))
 
     def picked(h: Column) -> Column:
+        plain = F.transform(h, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash")))
+        single = F.transform(h, lambda x, i: F.struct(F.lit(1).alias("w"), x["hash"].alias("low"), (i + 1).alias("pos"), (i + 1).alias("first"), F.array(F.struct(x["at"].alias("at"), x["hash"].alias("hash"))).alias("lines"), x["long"].alias("long")))
+        alone = F.transform(F.filter(single, lambda x: x["long"]), lambda x: x.dropFields("long"))
+
         def least(i: Column) -> Column:
             low = F.array_min(F.transform(F.slice(h, i, window), lambda x, k: F.struct(x["hash"].alias("hash"), (-k).alias("back"))))
             return bind(low, lambda m: F.struct(m["hash"].alias("low"), (i - m["back"]).alias("pos"), i.alias("first")))
 
-        def lines(w: Column) -> Column:
+        def lines(w: Column, h: Column) -> Column:
             new = F.filter(w, lambda x, k: (k == 0) | (F.get(w, F.greatest(k - 1, F.lit(0)))["pos"] != x["pos"]))
             until = lambda n, k: F.coalesce(F.get(n, k + 1)["first"], F.size(w) + 1)
-            held = lambda n: F.transform(n, lambda x, k: F.struct(x["low"].alias("low"), x["pos"].alias("pos"), x["first"].alias("first"), F.slice(h, x["first"], until(n, k) - x["first"] + window - 1).alias("lines")))
+            held = lambda n: F.transform(n, lambda x, k: F.struct(F.lit(window).alias("w"), x["low"].alias("low"), x["pos"].alias("pos"), x["first"].alias("first"), F.slice(h, x["first"], until(n, k) - x["first"] + window - 1).alias("lines")))
             return bind(new, held)
 
         windows = F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), least)
-        return F.when(F.size(h) >= window, bind(windows, lines))
+        found = F.when(F.size(h) >= window, bind(plain, lambda p: bind(windows, lambda w: lines(w, p))))
+        return F.concat(F.coalesce(found, F.filter(alone, lambda _: F.lit(False))), alone) if long_words and window > 1 else found
 
     rows = rows.select("doc", "print", F.explode(bind(hashed, picked)).alias("f"))
-    return rows.select("doc", "print", "f.low", "f.pos", "f.first", "f.lines")
+    return rows.select("doc", "print", "f.w", "f.low", "f.pos", "f.first", "f.lines")
 
 
-def repeated_windows(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
-    """Windows that occur earlier, with their first place: doc, print, i, at, from_doc, from_print, from_i.
+def repeated_windows(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int = 0) -> DataFrame:
+    """Windows that occur earlier, with their first place: doc, print, w, i, at, from_doc, from_print, from_i.
 
     Fingerprints are joined by their hash; those that stand in one place only end there. The others are extended both
     ways, to the windows that picked them, and matched to the first place of the same lines. Both sides of each join
     are written tables, so that AQE can split the rows of a hot fingerprint.
     """
-    f = materialise(fingerprints(docs, window, id_col, text_col, words), "fingerprints")
+    f = materialise(fingerprints(docs, window, id_col, text_col, long_words), "fingerprints")
     place = F.struct("doc", "print", "pos")
-    twice = materialise(f.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("low"), "twice")
-    joined = f.join(twice, "low", "left_semi").select("doc", "print", "first", "lines")
-    around = F.transform(F.sequence(F.lit(1), F.size("lines") - window + 1), lambda k: bind(F.slice("lines", k, window), lambda w: F.struct((F.col("first") + k - 1).alias("i"), w["at"].alias("at"), w["hash"].alias("key"))))
-    held = materialise(joined.select("doc", "print", F.explode(around).alias("w")).select("doc", "print", "w.*"), "candidates")
+    twice = materialise(f.groupBy("w", "low").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("w", "low"), "twice")
+    joined = f.join(twice, ["w", "low"], "left_semi").select("doc", "print", "w", "first", "lines")
+    around = F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("w") + 1), lambda k: bind(F.slice("lines", k, F.col("w")), lambda w: F.struct((F.col("first") + k - 1).alias("i"), w["at"].alias("at"), w["hash"].alias("key"))))
+    held = materialise(joined.select("doc", "print", "w", F.explode(around).alias("v")).select("doc", "print", "w", "v.*"), "candidates")
     me = F.struct("doc", "print", "i")
     first = materialise(held.groupBy("key").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("not (first <=> last)").select("key", "first"), "first")
     later = held.join(first, "key").where(~me.eqNullSafe(F.col("first")))
-    return later.select("doc", "print", "i", "at", F.col("first.doc").alias("from_doc"), F.col("first.print").alias("from_print"), F.col("first.i").alias("from_i"))
+    return later.select("doc", "print", "w", "i", "at", F.col("first.doc").alias("from_doc"), F.col("first.print").alias("from_print"), F.col("first.i").alias("from_i"))
 
 
-def repeated_runs(found: DataFrame, window: int = 2) -> DataFrame:
-    """Matches extended both ways: runs of windows on one diagonal of two documents: doc, print, start, lines, from_doc,
+def repeated_runs(found: DataFrame, window: int | None = None) -> DataFrame:
+    """Matches extended both ways, of windows of any number of lines or of `window` lines only: runs of windows on one diagonal of two documents: doc, print, w, start, lines, from_doc,
     from_print, from_start (numbers of lines that are not blank, from 1) and at (places of the lines in the text)."""
-    diagonal = ["doc", "print", "from_doc", "from_print", "shift"]
+    diagonal = ["doc", "print", "w", "from_doc", "from_print", "shift"]
+    found = found if window is None else found.where(F.col("w") == window)
     on = found.distinct().withColumn("shift", F.col("from_i") - F.col("i"))
     island = on.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("i")))
     return island.groupBy(*diagonal, "island").agg(
         F.min("i").alias("start"),
-        (F.count("*") + window - 1).alias("lines"),
+        (F.count("*") + F.first("w") - 1).alias("lines"),
         F.min("from_i").alias("from_start"),
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
     ).drop("shift", "island")
@@ -97,9 +105,8 @@ def dedup_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_c
     document and get the same text; ids with several texts are ordered by a hash of the text. Columns of docs are
     kept, n_deleted and n_lines are added if counts. An empty table gives no rows.
     """
-    runs = repeated_runs(repeated_windows(docs, window, id_col, text_col), window).select("doc", "print", "at")
-    if long_words and window > 1:  # the first place of a line is in no run that goes, so one copy stays
-        runs = runs.unionAll(repeated_windows(docs, 1, id_col, text_col, long_words).select("doc", "print", "at"))
+    # The first place of a long line is in no run that goes, so one copy stays. A document loses the lines of all its runs.
+    runs = repeated_runs(repeated_windows(docs, window, id_col, text_col, long_words))
     gone = runs.groupBy(F.col("doc").alias("__doc"), F.col("print").alias("__print")).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__gone"))
     own = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__print")) & F.col(text_col).isNotNull()
     joined = docs.join(gone, own, "left")
