@@ -380,8 +380,10 @@ def score(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str
     The corpus becomes chunks in a written table. Chunks send sorted runs of their distinct contexts and words with
     counts to buckets. About `gather` chunks are one part, and a bucket's runs are added up part by part before they are
     added up in all, so no group holds more than so many runs, or the distinct contexts of a bucket. Each part of a
-    bucket then gives its chunks the values of their own contexts. So what is counted grows with the input, no table is
-    broadcast but the 256 x 256 top of the tree, and no worker holds more than a chunk or a bucket's part.
+    bucket then gives its chunks the values of their own contexts. So what is counted grows with the input, and no table is
+    broadcast but the 256 x 256 top of the tree. A worker holds a chunk, or the distinct contexts of a bucket, which all
+    contexts of one pair of bytes share; and each part gets all that its bucket has learnt, so what is shuffled grows
+    faster than the input from a second part on.
 
     Null and empty texts: the end token alone. A null id counts as training; repeated rows count and are returned
     each. No training text: every estimate is one half a bit. Empty table: no rows. Other columns are not read. A very
