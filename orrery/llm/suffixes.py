@@ -12,11 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, gram_hashes, materialise, release, width
+from ._common import bound_batches, bucketed, gram_hashes, materialise, release, width
 
 #: Bytes of the grams whose least hash names a window's shard, and low bits of a hash that give way to a place.
 GRAM = 16
 PLACE = np.uint64((1 << 18) - 1)
+#: Parts of the names whose segments are dealt out one after the other.
+PASSES = 2
 FIRST = np.iinfo(np.int64).min  # a null id: before all others
 
 
@@ -121,6 +123,31 @@ def least_holder(segments: list[bytes], holders: np.ndarray, length: int) -> lis
     return [out[e - s : e - length + 1] for s, e in zip(sizes, ends, strict=True)]
 
 
+def meeting(segments: list[bytes], length: int) -> np.ndarray:
+    """For each of distinct segments, whether it can share a window of `length` bytes with another one.
+
+    All windows of a segment hold its least gram, and so half of their other bytes at least, rounded up, on one side of it:
+    segments that share a window agree in that half and the gram. Hashes that differ rule this out; equal ones only may.
+    """
+    x = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    grams = gram_hashes(x, GRAM)
+    at = starts + (grams[starts[:, None] + np.arange(length - GRAM + 1)] & ~PLACE).argmin(1)  # the first, as in minima
+    half = (length - GRAM + 1) // 2
+    met = np.zeros(len(segments), bool)
+    for first in (at - half, at):
+        has = np.nonzero((first >= starts) & (first + half + GRAM <= ends))[0]
+        side = np.zeros(len(has), np.uint64)
+        for off in (*range(0, half, GRAM), half):
+            side = (side ^ grams[first[has] + off]) * np.uint64(0x9E3779B97F4A7C15)
+            side ^= side >> np.uint64(31)
+        _, inverse, count = np.unique(side, return_inverse=True, return_counts=True)
+        met[has] |= count[inverse] > 1
+    return met
+
+
 def minima(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows (first, last, name): all windows of `length` bytes within texts, by the least hash of their grams.
 
@@ -154,7 +181,8 @@ def minima(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, ste
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 6) -> DataFrame:
-    """A table of chunks of about `mb` MB of text: chunk, docs, sizes (bytes), body (zstd of the texts)."""
+    """A table of chunks of about `mb` MB of text: chunk, docs, sizes (bytes), body (zstd of the texts); bucketed by chunk, so
+    that texts are read where they lie, and not shuffled, when replies come to them."""
     bound_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +204,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, mb: int = 6) -> DataFra
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(run, "chunk long, docs array<long>, sizes array<long>, body binary"), "chunks")
+    return bucketed(rows.mapInArrow(run, "chunk long, docs array<long>, sizes array<long>, body binary"), "chunks", "chunk")
 
 
 class Chunk:
@@ -214,23 +242,33 @@ class Chunk:
         return runs, of, list(number), least, name
 
 
-def _slices(name: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Ranges of sorted names: (bucket, its slice)."""
-    bucket = ((name >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield b, slice(cuts[b], cuts[b + 1])
+def _place(name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each name, and its place in the bucket's range in 32 bits: in order of names, and rarely the same for two."""
+    at = (name >> np.uint64(18)) * np.uint64(buckets)
+    return (at >> np.uint64(46)).astype(np.int64), ((at >> np.uint64(14)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _deal(name: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Segments by the bucket of their name, in their own order."""
-    bucket = (((name >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
+def _slices(bucket: np.ndarray, low: int, high: int) -> Iterator[tuple[int, slice]]:
+    """Ranges of sorted bucket numbers from low until high: (bucket, its slice)."""
+    cuts = np.searchsorted(bucket, np.arange(low, high + 1))
+    for b in range(high - low):
         if cuts[b] < cuts[b + 1]:
-            yield b, order[cuts[b] : cuts[b + 1]]
+            yield low + b, slice(cuts[b], cuts[b + 1])
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length by planes of their bytes, as zstd: high bytes, which are much alike, come together."""
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, *kinds: type) -> list[np.ndarray]:
+    n, wide, out = int.from_bytes(packed[:8], "little"), [np.dtype(k).itemsize for k in kinds], []
+    raw, at = np.frombuffer(pa.decompress(packed[8:], n * sum(wide), "zstd", asbytes=True), np.uint8), 0
+    for k, w in zip(kinds, wide, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).ravel())
+        at += n * w
+    return out
 
 
 def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +282,15 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     Result, a row for each row of docs: doc_id, n_bytes, n_removed, n_spans (maximal runs), kept_sha256 (and kept, the
     bytes left, if with_text). Texts are UTF-8 bytes; strings are those of the input and never cross texts.
 
-    The corpus becomes chunks in a written table. A window of `length` bytes is named by the least hash of its grams,
-    and windows side by side with one name are one segment. Chunks send their sorted distinct names to ranges of names,
-    where runs are merged by binary search; only names of several ids come back. For those a chunk sends its distinct
-    segments, each with its least id, to the name's shard. A shard takes segments whose name has just one wording as
-    they are, and builds one suffix array of all others by Larsson-Sadakane refinement and their common prefixes by
-    Kasai's bound: suffixes that share `length` bytes give each window the least id that holds it. Equal windows have
-    equal names, so no match lies between shards. Copies in a chunk are one segment, so a hot passage costs a shard one
-    row a chunk.
+    The corpus becomes chunks in a table bucketed by chunk, so that replies are shuffled to the texts and no text to replies.
+    A window of `length` bytes is named by the least hash of its grams, and windows side by side with one name are one
+    segment. Chunks send their sorted distinct names, 32 bits each, to ranges of names, where runs are merged by binary
+    search; only names of several ids come back. For those a chunk sends its distinct segments, each with its least id, to
+    the name's shard, a part of the names at a time: the shuffle of a part goes when its replies are written. A shard takes
+    segments that can share no window with another wording as they are, and builds suffix arrays of all others, of about
+    6 MB at most, by Larsson-Sadakane refinement and their common prefixes by Kasai's bound: suffixes that share `length`
+    bytes give each window the least id that holds it. Equal windows have equal names, so no match lies between shards.
+    Copies in a chunk are one segment, so a hot passage costs a shard one row a chunk.
 
     Null and empty texts: no bytes. A null id comes before all others; rows of one id never remove each other's bytes.
     An empty table gives no rows. Other columns are not read. A text longer than a chunk is a chunk of its own, which
@@ -259,86 +298,117 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
-    buckets = 4 * width(docs)  # shards: several to a task, one at a time in memory
+    buckets = min(2 * width(docs), 1 << 17)  # ranges of names
     chunks = chunked(docs, id_col, text_col)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 name, several = Chunk(row["docs"], row["sizes"], row["body"], length).names()
-                marked = name | several.astype(np.uint64)
-                yield from _batch([(b, row["chunk"], marked[s].tobytes()) for b, s in _slices(name, buckets)], {"bucket": pa.int32(), "chunk": pa.int64(), "names": pa.binary()})
+                bucket, key = _place(name, buckets)
+                rows = [(b, row["chunk"], key[s].tobytes(), np.packbits(several[s]).tobytes()) for b, s in _slices(bucket, 0, buckets)]
+                yield from _batch(rows, {"bucket": pa.int32(), "chunk": pa.int64(), "names": pa.binary(), "several": pa.binary()})
         release()
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        marked = [np.frombuffer(b, np.uint64) for b in part.names]
-        every = np.sort(np.concatenate(marked) & ~np.uint64(1))
+        keys = [np.frombuffer(b, np.uint32) for b in part.names]
+        every = np.sort(np.concatenate(keys))
         rows = []
-        for chunk, bucket, m in zip(part.chunk, part.bucket, marked, strict=True):
-            plain = m & ~np.uint64(1)
-            several = (np.searchsorted(every, plain, "right") - np.searchsorted(every, plain) > 1) | (m & np.uint64(1)).astype(bool)
+        for chunk, bucket, key, own in zip(part.chunk, part.bucket, keys, part.several, strict=True):
+            several = np.searchsorted(every, key, "right") - np.searchsorted(every, key) > 1
+            several |= np.unpackbits(np.frombuffer(own, np.uint8), count=len(key)).astype(bool)
             rows.append((0, int(bucket), int(chunk), np.packbits(several).tobytes()))
         return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "reply"])
 
     reply = "kind int, bucket int, chunk long, reply binary"
-    asked = chunks.mapInArrow(names, "bucket int, chunk long, names binary")
-    active = materialise(asked.groupBy("bucket").applyInPandas(merge, reply), "names")
+    asked = chunks.mapInArrow(names, "bucket int, chunk long, names binary, several binary")
+    active = materialise(asked.groupBy("bucket").applyInPandas(merge, reply), "names", once=True)
 
-    def read(chunk: pd.DataFrame, got: pd.DataFrame) -> tuple[Chunk, np.ndarray]:
+    def read(chunk: pd.DataFrame, got: pd.DataFrame, low: int = 0, high: int = buckets) -> tuple[Chunk, np.ndarray]:
         c = Chunk([None if pd.isna(d) else int(d) for d in chunk["docs"].iloc[0]], list(chunk["sizes"].iloc[0]), chunk["body"].iloc[0], length)
         name, _ = c.names()
         by = {int(b): r for k, b, r in zip(got.kind, got.bucket, got.reply, strict=True) if k == 0}
         bits = np.zeros(len(name), bool)
-        for b, s in _slices(name, buckets):
+        for b, s in _slices(_place(name, buckets)[0], low, high):
             bits[s] = np.unpackbits(np.frombuffer(by[b], np.uint8), count=s.stop - s.start)
         return c, bits
 
-    def segments(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        c, bits = read(chunk, got)
-        _, _, found, least, name = c.shared(bits)
-        rows = []
-        for b, i in _deal(name, buckets):
-            mine = [found[k] for k in i.tolist()]
-            body = b"".join(mine)
-            rows.append((b, int(chunk.chunk.iloc[0]), np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes(), least[i].tobytes(), name[i].tobytes(), len(body), pa.compress(body, "zstd", asbytes=True)))
-        del c, found
-        release()
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "sizes", "least", "name", "bytes", "body"])
-
-    def shard(part: pd.DataFrame) -> pd.DataFrame:
+    def sent(low: int, high: int) -> DataFrame:
+        """Segments of names of several ids in buckets from low until high, a row for each chunk and bucket."""
+
+        def segments(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            c, bits = read(chunk, got, low, high)
+            _, _, found, least, name = c.shared(bits)
+            order, rows = np.argsort(name, kind="stable"), []
+            bucket, key = _place(name[order], buckets)
+            for b, s in _slices(bucket, low, high):
+                mine = [found[k] for k in order[s].tolist()]
+                body = b"".join(mine)
+                side = _pack(key[s], np.fromiter(map(len, mine), np.uint32, len(mine)), least[order[s]])
+                rows.append((b, int(chunk.chunk.iloc[0]), side, len(body), pa.compress(body, "zstd", asbytes=True)))
+            del c, found
+            release()
+            return pd.DataFrame(rows, columns=["bucket", "chunk", "side", "bytes", "body"])
+
+        mine = active.where(F.col("bucket").between(low, high - 1))
+        return chunks.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInPandas(segments, "bucket int, chunk long, side binary, bytes long, body binary")
+
+    def answers(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]], cuts: list[np.ndarray], r: int) -> Iterator[np.ndarray]:
+        """For each row, the least ids of its windows in range r of the keys: the shard."""
         number: dict[bytes, int] = {}
         of, least, name = [], [], []
-        for sizes, mins, names_, n, body in zip(part.sizes, part.least, part.name, part.bytes, part.body, strict=True):
-            whole = pa.decompress(body, int(n), "zstd", asbytes=True)
-            ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
-            of.append(np.fromiter((number.setdefault(whole[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)), np.int64, len(ends)))
-            least.append(np.frombuffer(mins, np.int64))
-            name.append(np.frombuffer(names_, np.uint64))
+        for (key, _, mins, body, ends), cut in zip(rows, cuts, strict=True):
+            s = slice(cut[r], cut[r + 1])
+            stops = ends[s].tolist()
+            starts = [int(ends[s.start - 1]) if s.start else 0, *stops[:-1]]
+            of.append(np.fromiter((number.setdefault(body[a:b], len(number)) for a, b in zip(starts, stops, strict=False)), np.int64, len(stops)))
+            least.append(mins[s])
+            name.append(key[s])
         found, flat = list(number), np.concatenate(of)
+        del number
         holder = np.full(len(found), np.iinfo(np.int64).max)
         np.minimum.at(holder, flat, np.concatenate(least))
-        called = np.zeros(len(found), np.uint64)
+        called = np.zeros(len(found), np.uint32)
         called[flat] = np.concatenate(name)
         _, inverse, count = np.unique(called, return_inverse=True, return_counts=True)
         several = np.nonzero(count[inverse] > 1)[0]
+        if len(several):
+            several = several[meeting([found[k] for k in several.tolist()], length)]
         windows = np.fromiter(map(len, found), np.int64, len(found)) - length + 1
-        value: list[np.ndarray] = [np.empty(0)] * len(found)
+        first = np.cumsum(windows) - windows
+        value = np.repeat(holder, windows)
         if len(several):
             for k, v in zip(several.tolist(), least_holder([found[k] for k in several.tolist()], holder[several], length), strict=True):
-                value[k] = v
-        alone = count[inverse] == 1
+                value[first[k] : first[k] + len(v)] = v
+        del found
+        for o in of:
+            n = windows[o]
+            yield value[np.repeat(first[o] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def shard(part: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for chunk, bucket, o in zip(part.chunk, part.bucket, of, strict=True):
-            each = [np.full(windows[k], holder[k]) if alone[k] else value[k] for k in o.tolist()]
-            line = np.concatenate(each)
-            new = np.nonzero(np.concatenate([[True], line[1:] != line[:-1]]))[0]
-            rows.append((1, int(bucket), int(chunk), np.diff(np.append(new, len(line))).astype(np.uint32).tobytes() + line[new].tobytes()))
-        del number, found, value
+        for side, n, body in zip(part.side, part.bytes, part.body, strict=True):
+            key, sizes, least = _unpack(side, np.uint32, np.uint32, np.int64)
+            rows.append((key, sizes, least, pa.decompress(body, int(n), "zstd", asbytes=True), np.cumsum(sizes, dtype=np.int64)))
+        ranges = max(1, -(-int(part.bytes.sum()) // (6 << 20)))  # one suffix array at a time, of about 6 MB at most
+        cuts = [np.searchsorted((key.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1)) for key, *_ in rows]
+        out: list[list[np.ndarray]] = [[] for _ in rows]
+        for r in range(ranges):
+            for mine, line in zip(out, answers(rows, cuts, r), strict=True):
+                new = np.nonzero(np.concatenate([[True], line[1:] != line[:-1]]))[0] if len(line) else np.empty(0, np.int64)
+                mine.append(np.stack([np.diff(np.append(new, len(line))), line[new]]))
+        replies = []
+        for bucket, chunk, mine in zip(part.bucket, part.chunk, out, strict=True):
+            times, ids = np.concatenate(mine, axis=1)
+            replies.append((1, int(bucket), int(chunk), _pack(times.astype(np.uint32), ids)))
+        del rows, out
         release()
-        return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "reply"])
+        return pd.DataFrame(replies, columns=["kind", "bucket", "chunk", "reply"])
 
-    sent = chunks.groupBy("chunk").cogroup(active.groupBy("chunk")).applyInPandas(segments, "bucket int, chunk long, sizes binary, least binary, name binary, bytes long, body binary")
-    holders = materialise(sent.groupBy("bucket").applyInPandas(shard, reply), "holders")
+    replies = active
+    for k in range(PASSES):  # the segments of one part of the names at a time lie on disk
+        low, high = buckets * k // PASSES, buckets * (k + 1) // PASSES
+        replies = replies.union(materialise(sent(low, high).groupBy("bucket").applyInPandas(shard, reply), "holders", once=True))
 
     def finish(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         c, bits = read(chunk, got)
@@ -347,10 +417,11 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
         windows = np.fromiter(map(len, found), np.int64, len(found)) - length + 1
         at = np.zeros(len(found), np.int64)  # where each segment's windows begin in line
         lines, total = [], 0
-        for b, i in _deal(name, buckets):
-            blob = by[b]
-            n = len(blob) // 12
-            line = np.repeat(np.frombuffer(blob, np.int64, n, 4 * n), np.frombuffer(blob, np.uint32, n))
+        order = np.argsort(name, kind="stable")
+        for b, s in _slices(_place(name[order], buckets)[0], 0, buckets):
+            i = order[s]
+            times, ids = _unpack(by[b], np.uint32, np.int64)
+            line = np.repeat(ids, times)
             at[i] = total + np.cumsum(windows[i]) - windows[i]
             lines.append(line)
             total += len(line)
@@ -376,5 +447,4 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
         return out.assign(doc_id=out.doc_id.astype("Int64"))
 
-    replies = active.union(holders)
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -187,3 +188,33 @@ def test_equal_windows_have_equal_names():
         first, last, name = suffixes.minima(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), 50, step=64)
         named.append({i: n for f, e, n in zip(first, last, name, strict=True) for i in range(f, e + 1)})
     assert all(named[0][70 + i] == named[1][i] for i in range(351))
+
+
+def test_segments_that_can_meet():
+    rng = random.Random(9)
+    base = [bytes(rng.choice(b"abcdefgh ") for _ in range(200)) for _ in range(4)]
+    pieces = set()
+    for t in [*base, *(b[:k] + b"#" + b[k + 1 :] for b in base for k in (60, 95, 130)), bytes(rng.choice(b"xyz") for _ in range(150))]:
+        first, last, _ = suffixes.minima(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), 50)
+        pieces |= {t[a : b + 50] for a, b in zip(first, last, strict=True)}
+    pieces = sorted(pieces)
+    windows = [{s[i : i + 50] for i in range(len(s) - 49)} for s in pieces]
+    shares = [any(w & v for j, v in enumerate(windows) if j != i) for i, w in enumerate(windows)]
+    met = suffixes.meeting(pieces, 50)
+    assert any(shares) and not met.all() and all(m for m, s in zip(met, shares, strict=True) if s)
+
+
+def test_texts_are_read_in_place(spark, docs, capsys):
+    """Replies come to the chunks' table by its buckets; texts are not shuffled to them, and shuffles go when they were read."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {n for n in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before = left()
+    got = suffixes.dedup_substrings(docs)
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Bucketed: true") == 1 and plan.count("Exchange hashpartitioning") == 1
