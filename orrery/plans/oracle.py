@@ -236,7 +236,9 @@ SELECT c_custkey AS conv_id, CASE WHEN mute OR k = 0 THEN 2 ELSE 3 END::BIGINT A
   CASE WHEN mute THEN 3 WHEN k = 0 THEN 4 WHEN k = 1 THEN 6 ELSE 7 END::BIGINT AS n_messages,
   CASE WHEN mute THEN '{{"' || n_name || '":' || found || '}}' WHEN k = 0 THEN 'Done: {{"' || n_name || '":' || found || '}}' WHEN k = 1 THEN 'Done: {{"result":"counterclockwise"}}' ELSE '{{"error":"unknown tool fly"}}' END AS last,
   CASE WHEN mute THEN 'call_1_0' WHEN k = 2 THEN 'call_5_0' ELSE '' END AS call_id FROM t""",
-    "headroom_all": "SELECT o_orderstatus AS status, bool_and(8 - o_totalprice / 100000 > 2) AS safe FROM orders GROUP BY o_orderstatus",
+    "headroom_all": """
+WITH s AS (SELECT * FROM (VALUES ('F'), ('O'), ('none')) v(status) UNION SELECT o_orderstatus FROM orders)
+SELECT s.status, coalesce(bool_and(8 - o_totalprice / 100000 > 2), true) AS safe FROM s LEFT JOIN orders ON o_orderstatus IS NOT DISTINCT FROM s.status GROUP BY s.status""",
     "device_lines": "SELECT (l_orderkey % 4)::INTEGER AS gpu_idx, max(l_extendedprice) AS peak FROM lineitem WHERE l_orderkey % 5 > 1 GROUP BY 1",
     "rep_point_exact": "SELECT vec_id, (2 * (vec_id % 17) / 8)::DOUBLE / 4 AS x, (2 * (vec_id % 17) / 8)::DOUBLE / 4 AS y FROM embeddings",
     "tool_call_table": r"""

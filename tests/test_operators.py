@@ -3,6 +3,7 @@
 import json
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 from orrery import fixed
 from orrery.functions.geometry import path_label, representative_points
 from orrery.operators import dialogue, generate, monitor, records, scoring, store
+from orrery.plans.oracle import ORACLE
+from orrery.plans.queries import QUERIES
 from orrery.schemas import QUESTION, SAMPLE, STORED, require_columns
 from orrery.sources import io
 from orrery.streaming import peaks, progress, tokens
@@ -162,6 +165,17 @@ def test_verdicts(spark):
     assert [(r.gpu_idx, r.used_mb) for r in monitor.samples_of_lines(lines).collect()] == [(0, 12.5)]
 
 
+def test_headroom_of_all_statuses(spark, tmp_path):
+    """Every status of orders has a row, and so has each that is asked for, with orders or without."""
+    path = f"{tmp_path}/orders.parquet"
+    orders = spark.createDataFrame([("F", 9e5), ("F", 1.0), ("P", 1.0), (None, 7e5)], "o_orderstatus string, o_totalprice double")
+    for rows, want in ((orders, {"F": False, "O": True, "P": True, None: False, "none": True}), (orders.limit(0), {"F": True, "O": True, "none": True})):
+        rows.coalesce(1).write.parquet(path, mode="overwrite")
+        got = [tuple(r) for r in QUERIES["headroom_all"](spark, str(tmp_path)).select("status", "safe").collect()]
+        sql = duckdb.sql(f"WITH orders AS (SELECT * FROM '{path}/*.parquet') SELECT status, safe FROM ({ORACLE['headroom_all']})").fetchall()
+        assert len(got) == len(sql) == len(want) and dict(got) == dict(sql) == want
+
+
 def test_streams(spark, tmp_path):
     rows = [(None, k % 3, float(k)) for k in range(30)]
     df = spark.createDataFrame(rows, SAMPLE).withColumn("ts", F.timestamp_seconds(F.col("used_mb") * 10))
