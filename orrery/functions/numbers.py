@@ -46,6 +46,14 @@ def rounded(x: str, digits: int) -> str:
     return let(f"CAST({x} AS DOUBLE)", lambda v: let(f"{v} * {scale}", lambda p: f"CASE WHEN abs({p}) < {_WHOLE} THEN {_nearest(v, scale, p)} / {scale} ELSE {v} END"))
 
 
+def rounded_away(x: str, digits: int) -> str:
+    """x to some decimal places, as DuckDB's round does: its product with the power of ten, a double, to the nearest whole number, ties
+    away from zero. Null, NaN, infinities and what has no finite product stay."""
+    scale = f"1E{digits}D"
+    whole = lambda p: let(f"rint({p})", lambda r: f"CASE WHEN abs({p} - {r}) = 0.5D THEN {p} + signum({p}) * 0.5D ELSE {r} END")
+    return let(f"CAST({x} AS DOUBLE)", lambda v: let(f"{v} * {scale}", lambda p: f"CASE WHEN abs({p}) < double('inf') THEN {whole(p)} / {scale} ELSE {v} END"))
+
+
 def _signed(v: str, special: tuple[str, str], number: str) -> str:
     """A number's text behind its sign, that of zero, too; other texts for NaN and infinities."""
     sign = f"CASE WHEN {v} < 0 OR ({v} = 0 AND startswith(CAST({v} AS STRING), '-')) THEN '-' ELSE '' END"

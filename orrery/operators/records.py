@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +55,14 @@ def message(role: str, content: Column | None = None, name: str | None = None, c
     )
 
 
-def number_texts(rows: DataFrame) -> DataFrame:
-    """rows (points, labels, arcs) with the texts of their numbers: of coordinates to six places (geo_numbers) and unrounded
+def number_texts(rows: DataFrame, rounding: Callable[[str, int], str] = rounded) -> DataFrame:
+    """rows (points, labels, arcs) with the texts of their numbers: of coordinates by rounding to six places (geo_numbers) and unrounded
     (raw_numbers), and with two places of coordinates and of the vectors from the first point (shown), x and y in turn, and of determinants (dets)."""
     xy = lambda p: F.flatten(F.transform(p, lambda q: F.array(q["x"], q["y"])))
     first = F.get("points", F.lit(0))
     away = F.transform("points", lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
     rows = rows.withColumns({"xy": xy(F.col("points")), "away": xy(away)})
-    of = {"geo_numbers": ("xy", json_number(rounded("v", 6))), "raw_numbers": ("xy", json_number("v")), "shown": ("concat(xy, away)", fixed_text("v")), "dets": ("arcs.det", fixed_text("v"))}
+    of = {"geo_numbers": ("xy", json_number(rounding("v", 6))), "raw_numbers": ("xy", json_number("v")), "shown": ("concat(xy, away)", fixed_text("v")), "dets": ("arcs.det", fixed_text("v"))}
     return rows.withColumns({name: F.expr(f"transform({values}, v -> {text})") for name, (values, text) in of.items()}).drop("xy", "away")
 
 
@@ -106,14 +108,15 @@ def _filled(text: str, **parts: Column) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
-def conversations(questions: DataFrame, pipelines: tuple[int, ...] = PIPELINES) -> DataFrame:
+def conversations(questions: DataFrame, pipelines: tuple[int, ...] = PIPELINES, rounding: Callable[[str, int], str] = rounded) -> DataFrame:
     """Records (question_id, pipeline, tools, messages, expected_answer, meta) of well-formed questions, and derived: the
-    label from geometry. A stored answer that differs stays as the expected one. Points, arcs and all number texts
+    label from geometry. A stored answer that differs stays as the expected one. Geocoded coordinates are rounded as Python does, or by
+    another function of functions.numbers. Points, arcs and all number texts
     are made once a question, before the fan-out; nothing is shuffled and no Python runs."""
     rows = validated(questions).where(~F.col("malformed"))
     rows = rows.withColumn("points", representative_points(F.col("geometries")))
     rows = rows.withColumn("arcs", arcs(F.col("points"))).withColumn("labels", F.col("arcs.label")).withColumn("derived", combine(F.col("labels")))
-    rows = number_texts(rows).withColumn("quoted", F.expr(f"transform(location_names, t -> {json_text('t')})"))
+    rows = number_texts(rows, rounding).withColumn("quoted", F.expr(f"transform(location_names, t -> {json_text('t')})"))
     quoted = F.col("quoted")
     rows = rows.withColumns({"geo": geocode_json(quoted, F.col("geo_numbers")), "ask": names_json(quoted), "trace": reasoning_trace(F.col("location_names"), F.col("shown"), F.col("dets"), F.col("labels"), F.col("derived")), "args": arc_arguments(F.col("raw_numbers"))})
     rows = fan_out(rows, pipelines)

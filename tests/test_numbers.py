@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -30,6 +31,15 @@ def test_as_python(doubles, sql, python):
     assert len(got) > 50_000 and [(x, y, python(x)) for x, y in got if y != python(x)] == []
 
 
+@pytest.mark.parametrize("digits", [2, 6])
+def test_rounded_away_as_duckdb(doubles, digits):
+    """Ties go away from zero, and doubles whose product with the power of ten is none as that product does."""
+    got = [(repr(r.x), repr(r.y)) for r in doubles.select("x", F.expr(numbers.rounded_away("x", digits)).alias("y")).collect()]
+    held = pa.table({"x": values(6000)})  # noqa: F841
+    want = [(repr(x), repr(y)) for x, y in duckdb.sql(f"SELECT x, round(x, {digits}) FROM held").fetchall()]
+    assert sorted(got) == sorted(want) and any(y != repr(round(float(x), digits)) for x, y in got)
+
+
 def test_whatever_the_bits(spark):
     """Any double is rounded and formatted as Python does; beyond the stated range its JSON text reads back the same."""
     rng = np.random.default_rng(4)

@@ -60,6 +60,16 @@ def test_conversations(questions):
     assert len(json.loads(got[0, 1].tools)) == 1
 
 
+def test_messages_round_ties_as_sql(spark, tmp_path):
+    """Coordinates half-way between two numbers of six places, as odd multiples of 1/128 are: every message is that of the query's SQL."""
+    path = f"{tmp_path}/embeddings.parquet"
+    duckdb.sql(f"COPY (SELECT v AS vec_id, list_transform(range(64), lambda i: ((v * 64 + i) * 37 % 4001 - 2000) / 128)::FLOAT[] AS embedding FROM range(60) t(v)) TO '{path}'")
+    columns = "question_id, pipeline, pos, role, content, name, call_name, call_arguments"
+    got = [tuple(r) for r in QUERIES["record_messages"](spark, str(tmp_path)).select(*columns.split(", ")).collect()]
+    sql = duckdb.sql(f"WITH embeddings AS (SELECT * FROM '{path}') SELECT {columns} FROM ({ORACLE['record_messages']})").fetchall()
+    assert len(got) == len(sql) > 900 and sorted(got, key=lambda r: r[:3]) == sorted(sql, key=lambda r: r[:3])
+
+
 def test_prompts_and_display(questions):
     made = records.conversations(questions)
     assert {len(r.prompt) for r in records.prompts(made, 1).collect()} == {4}
